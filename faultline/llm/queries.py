@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_dedup, packing, quality_rules
+from . import chat, fingerprints, line_dedup, mixing, near_dedup, packing, passages, quality_rules, toxicity, warc
 from .common import Scratch
 
 
@@ -31,6 +31,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), Scratch(spark, "op2"), tokenizer())
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_components(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
     return found.select("doc_id", near_dedup.fingerprint_hex("fp").alias("fingerprint"), "component_id")
@@ -47,13 +51,36 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *[F.col(f"fl_{n}").alias(n) for n in names], F.col("fl_base_failed").alias("base_failed"), F.col("fl_kept").alias("kept"), F.col("fl_rule").alias("rule"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"), Scratch(spark, "op6"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+def held_out(doc_id) -> F.Column:
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), lambda doc_id: ~held_out(doc_id))
+    return toxicity.scored(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.linked(table(spark, sf_dir, "conversations"), Scratch(spark, "op8"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
     return m.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_packing, op4_near_dedup, op5_quality_rules, op9_mixing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_packing, op3_fingerprints, op4_near_dedup, op5_quality_rules, op6_warc, op7_toxicity, op8_chat_formatting, op9_mixing, op10_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
