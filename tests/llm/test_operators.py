@@ -160,6 +160,22 @@ def test_line_dedup(spark, none):
     assert line_dedup.deduplicated(none, Scratch(spark, "t")).count() == 0
 
 
+def test_edit_bound_is_one(spark):
+    r = random.Random(12)
+    rows = []
+    for _ in range(400):
+        a = words(r.randrange(1, 25), r.randrange(9999), 30).split()
+        b = [w for w in a if r.random() > 0.15]
+        b = [r.choice(["zz", "w1"]) if r.random() < 0.1 else w for w in b] or ["q"]
+        b.insert(r.randrange(len(b) + 1), "new")
+        rows.append((" ".join(a), " ".join(b)))
+    d = spark.createDataFrame(rows, "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    got = d.select("a", "b", line_dedup.edits_at_most(a, b).alias("most"), F.levenshtein(a, b).alias("edits"), line_dedup.edits_within(a, b, F.lit(12)).alias("within")).collect()
+    assert all(x.most >= x.edits and x.within == (x.edits <= 12) for x in got)
+    assert sum(x.most <= x.edits + 4 for x in got) > 100
+
+
 def test_line_simhash_of_long_lines(spark):
     rows = [(1, words(70_000, 1, 90), "a"), (2, words(400, 2), "a")]
     got = {x.doc_id: x.fp & ((1 << 64) - 1) for x in line_dedup.lines_with_simhash(docs_of(spark, rows)).collect()}
