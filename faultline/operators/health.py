@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -175,11 +177,14 @@ def quality_gate(inputs: DataFrame) -> DataFrame:
     broken = some & ((c("ast_nodes") <= 1) | (c("s_ast") == 0))
     d = d.withColumn("graph_status", F.when(broken, "FAILED").when(some & (failed > 0), "DEGRADED").otherwise("VALID"))
     d = d.withColumn("s_graph", F.when(c("graph_status") == "FAILED", 0.0).when(c("graph_status") == "DEGRADED", 0.6).otherwise(1.0))
-    exact = lambda x: F.lit(str(x)).cast("decimal(4,2)")  # noqa: E731  sums of hundredths have no binary ties
-    flag = lambda x: F.when(x, exact(1)).otherwise(exact(0))
-    score = lambda n: c(n).cast("decimal(4,2)")
-    total = exact(0.20) * flag(c("has_git_diff")) + exact(0.10) * flag(discovered > 0) + exact(0.25) * score("s_ast") + exact(0.20) * score("s_graph") + exact(0.15) * score("s_graph") + exact(0.10) * flag(c("has_test_analysis"))
-    d = d.withColumn("evidence_completeness", F.bround(F.greatest(F.least(total, exact(0.98)), exact(0.10)), 2).cast("double"))
+    # few stage scores occur, so the sums are tabled as doubles are added and rounded, ties in binary included
+    stages = ((0.20, c("has_git_diff"), (0.0, 1.0)), (0.10, discovered > 0, (0.0, 1.0)), (0.25, c("s_ast"), (0.0, 0.5, 1.0)), (0.35, c("s_graph"), (0.0, 0.6, 1.0)), (0.10, c("has_test_analysis"), (0.0, 1.0)))
+    place = F.lit(0)
+    for _, value, scores in stages:
+        step = F.when(value, 1).otherwise(0) if len(scores) == 2 else F.when(value == scores[0], 0).when(value == scores[1], 1).otherwise(2)
+        place = place * len(scores) + step
+    sums = [round(max(min(0.20 * a + 0.10 * b + 0.25 * t + 0.20 * g + 0.15 * g + 0.10 * q, 0.98), 0.10), 2) for a, b, t, g, q in product(*[x[2] for x in stages])]
+    d = d.withColumn("evidence_completeness", F.get(F.array(*[F.lit(x) for x in sums]), place))
     quality = F.when((c("evidence_completeness") >= 0.90) & (c("graph_status") == "VALID"), "FULL").when(c("evidence_completeness") >= 0.45, "DEGRADED").otherwise("FAILED")
     warnings = F.array_compact(F.array(
         F.when(c("parser_health") == "PARTIAL", F.format_string("Parser parsed %d of %d source files (%d failed).", "files_parsed", "supported_source_files", "files_failed")),

@@ -553,8 +553,7 @@ def q_export_health(spark, d):
  b AS (SELECT *, CASE WHEN parser_health IN ('PASS', 'N/A') THEN 1.0 WHEN parser_health = 'PARTIAL' THEN 0.5 ELSE 0.0 END AS s_ast FROM a),
  c AS (SELECT *, CASE WHEN sup > 0 AND (ast <= 1 OR s_ast = 0) THEN 'FAILED' WHEN sup > 0 AND failed > 0 THEN 'DEGRADED' ELSE 'VALID' END AS graph_status FROM b),
  e AS (SELECT *, CAST(CASE graph_status WHEN 'FAILED' THEN 0.0 WHEN 'DEGRADED' THEN 0.6 ELSE 1.0 END AS DOUBLE) AS s FROM c),
- t AS (SELECT *, greatest(least(200 * CAST(diff AS INT) + 100 * CAST(disc > 0 AS INT) + CAST(250 * s_ast AS INT) + CAST(200 * s AS INT) + CAST(150 * s AS INT) + 100 * CAST(tests AS INT), 980), 100) AS mil FROM e),
- f AS (SELECT *, ((mil // 10) + CASE WHEN mil % 10 > 5 OR (mil % 10 = 5 AND (mil // 10) % 2 = 1) THEN 1 ELSE 0 END) / 100.0 AS v FROM t)
+ f AS (SELECT *, CAST(printf('%.2f', greatest(least(0.20e0 * CAST(diff AS INT) + 0.10e0 * CAST(disc > 0 AS INT) + 0.25e0 * CAST(s_ast AS DOUBLE) + 0.20e0 * s + 0.15e0 * s + 0.10e0 * CAST(tests AS INT), 0.98e0), 0.10e0)) AS DOUBLE) AS v FROM e)
  SELECT analysis_id, parser_health, graph_status, CAST(v AS DOUBLE) AS evidence_completeness, CASE WHEN v >= 0.90 AND graph_status = 'VALID' THEN 'FULL' WHEN v >= 0.45 THEN 'DEGRADED' ELSE 'FAILED' END AS analysis_quality FROM f""")
 def q_quality_gate(spark, d):
     k, s = F.col("p_partkey"), F.col("p_size")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from ..functions import paths as P
 
@@ -90,7 +91,6 @@ def typescript(files: DataFrame) -> DataFrame:
     return files.withColumns({"imports": imports, "defined_classes": _all(t, TS_CLASS), "defined_functions": F.array_distinct(F.concat(_all(t, TS_FUNCTION), methods))})
 
 
-@pandas_udf(f"struct<imports:array<{IMPORT}>,classes:array<string>,functions:array<string>,status:string>")
 def python_facts(texts: pd.Series, extended: pd.Series) -> pd.DataFrame:
     """Plain `import a.b` statements without alias (from-imports and aliases only if extended), classes, functions."""
     out = []
@@ -115,8 +115,16 @@ def python_facts(texts: pd.Series, extended: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["imports", "classes", "functions", "status"])
 
 
+_NAMES = ArrayType(StringType())
+_IMPORT = StructType([
+    StructField("source_module", StringType()), StructField("imported_name", StringType()), StructField("alias", StringType()),
+    StructField("is_relative", BooleanType()), StructField("import_type", StringType()), StructField("line_number", IntegerType()),
+])
+PYTHON_FACTS = StructType([StructField("imports", ArrayType(_IMPORT)), StructField("classes", _NAMES), StructField("functions", _NAMES), StructField("status", StringType())])
+
+
 def python(files: DataFrame, extended: bool = False) -> DataFrame:
-    d = files.withColumn("f", python_facts("text", F.lit(extended)))
+    d = files.withColumn("f", pandas_udf(python_facts, PYTHON_FACTS)("text", F.lit(extended)))
     return d.select(*files.columns, "f.imports", F.col("f.classes").alias("defined_classes"), F.col("f.functions").alias("defined_functions"), F.col("f.status").alias("parse_status"))
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import paths as P
 
@@ -58,9 +60,12 @@ def package_scripts(text: Column) -> Column:
     return F.coalesce(F.map_keys(F.from_json(F.get_json_object(text, "$.scripts"), "map<string,string>")), F.array().cast("array<string>"))
 
 
-@pandas_udf("array<string>")
-def package_entrypoints(texts):
-    """Declared entry points of package.json texts, whole and by name, sorted; exports nest to any depth."""
+def package_entrypoints(text: Column | str) -> Column:
+    """Declared entry points of a package.json text, whole and by name, sorted; exports nest to any depth."""
+    return pandas_udf(_entrypoints, ArrayType(StringType()))(text)
+
+
+def _entrypoints(texts: pd.Series) -> pd.Series:
 
     def leaves(v):
         if isinstance(v, str):
