@@ -169,11 +169,29 @@ def test_edit_bound_is_one(spark):
         b = [r.choice(["zz", "w1"]) if r.random() < 0.1 else w for w in b] or ["q"]
         b.insert(r.randrange(len(b) + 1), "new")
         rows.append((" ".join(a), " ".join(b)))
-    d = spark.createDataFrame(rows, "a string, b string")
-    a, b = F.col("a"), F.col("b")
-    got = d.select("a", "b", line_dedup.edits_at_most(a, b).alias("most"), F.levenshtein(a, b).alias("edits"), line_dedup.edits_within(a, b, F.lit(12)).alias("within")).collect()
-    assert all(x.most >= x.edits and x.within == (x.edits <= 12) for x in got)
-    assert sum(x.most <= x.edits + 4 for x in got) > 100
+    d = spark.createDataFrame([(f"a{k}", f"b{k}", a, b) for k, (a, b) in enumerate(rows)], "a string, b string, x string, y string")
+    x, y = F.col("x"), F.col("y")
+    got = d.select(line_dedup.edits_at_most(F.split(x, " "), F.split(y, " "), F.length(y)).alias("most"), F.levenshtein(x, y).alias("edits")).collect()
+    assert all(r.most >= r.edits for r in got) and sum(r.most <= r.edits + 4 for r in got) > 100
+    texts = d.select(F.col("a").alias("line_id"), x.alias("norm")).union(d.select("b", "y"))
+    alike = {r.a for r in line_dedup.verified(d.select("a", "b"), texts).collect()}
+    assert alike == {f"a{k}" for k, (a, b) in enumerate(rows) if distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)}
+
+
+def test_lines_of_one_fingerprint(spark):
+    # words in another order have the same SimHash; some lines are far apart in edits
+    r = random.Random(3)
+    base = words(12, 3).split()
+    rows = []
+    for k in range(40):
+        w = list(base)
+        for _ in range(k % 5):
+            i, j = r.randrange(12), r.randrange(12)
+            w[i], w[j] = w[j], w[i]
+        rows.append((k, " ".join(w), "a"))
+    gone = plain_lines(rows)
+    got = line_dedup.deduplicated(docs_of(spark, rows), Scratch(spark, "t")).collect()
+    assert {x.doc_id for x in got if x.fl_removed} == {d for d, _ in gone}
 
 
 def test_line_simhash_of_long_lines(spark):
