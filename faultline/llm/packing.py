@@ -199,7 +199,8 @@ def packed(docs: DataFrame, scratch: Scratch, tokenizer: str, limit: int = 1024,
 
     Null and empty texts are the end token alone; repeated rows are packed each; a null doc_id stays null.
     """
-    return pack(tokenized_pieces(docs, tokenizer, limit, end), scratch, limit)
+    # the sort samples its input first, so the pieces are written before; texts are tokenised once
+    return pack(scratch.keep(tokenized_pieces(docs, tokenizer, limit, end)), scratch, limit)
 
 
 def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, limit: int = 1024, end: int = 2) -> DataFrame:
