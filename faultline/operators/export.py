@@ -121,3 +121,11 @@ def markdown(scored: DataFrame, factors: DataFrame, ledger: DataFrame, analysis_
     for title, kind in (("Facts", "FACT"), ("Inferences", "INFERENCE"), ("Recommendations", "RECOMMENDATION")):
         out += ["", f"## {title}", ""] + [f"- **{r['id']}** {r['claim']}" for r in own(ledger, "ord") if r["statement_type"] == kind]
     return "\n".join(out) + "\n"
+
+
+def canonical(scored: DataFrame, factors: DataFrame, ledger: DataFrame, files: DataFrame) -> DataFrame:
+    """One nested row an analysis: its score, its factors by rank, its statements in order and its changed files."""
+    listed = lambda df, by, columns, name: df.groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct(by, *columns))).alias(name))
+    d = scored.join(listed(factors, "rank", ["id", "signal", "points", "raw_points", "description"], "risk_breakdown"), "analysis_id", "left")
+    d = d.join(listed(ledger, "ord", ["id", "statement_type", "claim", "traceability_ref"], "statements"), "analysis_id", "left")
+    return d.join(listed(files, "ord", ["path", "category", "language", "module", "test_change_status"], "changed_files"), "analysis_id", "left")

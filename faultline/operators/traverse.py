@@ -191,3 +191,9 @@ def folder_metrics(files: DataFrame, edges: DataFrame, folders: DataFrame) -> Da
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     d = base.join(incoming, "folder", "left").join(outgoing, "folder", "left").join(reach, "folder", "left")
     return d.select("folder", "n_files", zero("external_importers").alias("external_importers"), zero("external_targets").alias("external_targets"), zero("internal_edges").alias("internal_edges"), (zero("n_in") + zero("n_out")).alias("external_edges"), zero("reach").alias("reach"))
+
+
+def match_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """edges (repo_id, source, target, …) both of whose ends are nodes (id, repo_id) of the repository."""
+    ids = nodes.select("repo_id", "id").distinct()
+    return edges.join(ids.withColumnRenamed("id", "source"), ["repo_id", "source"], "left_semi").join(ids.withColumnRenamed("id", "target"), ["repo_id", "target"], "left_semi")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import paths as P
-from ..operators import centrality, diff, experiments, export, graph, health, policy, risk, store, traverse, views
+from ..operators import centrality, diff, experiments, export, graph, health, policy, reconstruct, risk, store, traverse, views
 from ..sources import adapters as A
 from ..sources import parsers, readers
 from . import sql_views as S
@@ -685,6 +685,67 @@ def q_summary_text(spark, d):
     return export.summary(risk.scores(_evidence(spark, d), i), i).select("analysis_id", F.regexp_replace("summary", r" Evidence completeness.*", "").alias("head"))
 
 
+@query(f"WITH {SCORED}, s AS (SELECT analysis_id, CAST(sum(round_even(weight * score * 100, 0)) AS DOUBLE) AS raw FROM ev GROUP BY 1) SELECT analysis_id, raw AS raw_rule_score, round_even(CASE WHEN raw > 60 THEN 60 + (raw - 60) * 0.5e0 ELSE raw END, 2) AS normalized_score FROM s")
+def q_rebuilt_points(spark, d):
+    return reconstruct.points(_evidence(spark, d))
+
+
+@query(f"""WITH {SCORED}, f AS (SELECT analysis_id, 'FACT' AS t, 0 AS part, 0 AS o FROM down UNION ALL SELECT analysis_id, 'FACT', 0, 1 FROM down WHERE len(modules) > 0 UNION ALL SELECT analysis_id, 'INFERENCE', 0, 2 FROM down WHERE len(modules) >= 3
+ UNION ALL SELECT analysis_id, 'FACT', 1, ord FROM ev WHERE signal IN {S.inside(reconstruct.FACT_SIGNALS)} UNION ALL SELECT analysis_id, 'INFERENCE', 1, ord FROM ev WHERE signal IN ('missing_tests', 'critical_component_modified') OR (signal = 'large_blast_radius' AND analysis_id % 2 = 0)
+ UNION ALL SELECT analysis_id, 'RECOMMENDATION', 1, ord FROM ev) SELECT analysis_id, t AS statement_type, count(*) AS n FROM f GROUP BY ALL""")
+def q_rebuilt_statements(spark, d):
+    i = A.inputs(spark, d)
+    edges = i.select("analysis_id", F.when(F.col("analysis_id") % 2 == 0, "elsewhere").otherwise(F.get("files", F.lit(0))).alias("target"), F.lit("IMPORTS").alias("relationship"), F.lit("SOURCE_IMPORT").alias("edge_type"))
+    s = reconstruct.statements(_evidence(spark, d), i, reconstruct.reaches_further(edges, A.changed(spark, d)))
+    return s.groupBy("analysis_id", "statement_type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SCORED} SELECT analysis_id, CAST(n_evidence AS BIGINT) AS n_factors, n_files FROM levels")
+def q_canonical_model(spark, d):
+    ev, i = _evidence(spark, d), A.inputs(spark, d)
+    factors = export.risk_factors(ev, i.select("analysis_id", F.lit(1).alias("indirect")))
+    m = export.canonical(risk.scores(ev, i), factors, risk.ledger(ev, i), export.changed_files(A.changed(spark, d), ev))
+    return m.select("analysis_id", big(F.coalesce(F.size("risk_breakdown"), F.lit(0)), "n_factors"), big(F.size("changed_files"), "n_files"))
+
+
+@query(f"WITH {S.GRAPH} SELECT source, target FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target WHERE a.ord % 2 = 0 AND b.ord % 2 = 0")
+def q_edge_ends(spark, d):
+    nodes, edges, _ = tables(spark, d)
+    half = nodes.where("ord % 2 = 0").withColumn("repo_id", F.lit("r"))
+    return traverse.match_ends(half, edges.withColumn("repo_id", F.lit("r"))).select("source", "target")
+
+
+@query(f"WITH {SCORED} SELECT analysis_id, CASE WHEN analysis_id % 2 = 0 THEN 0.5 ELSE CAST({COMPLETE} AS DOUBLE) END AS confidence FROM levels")
+def q_gated_scores(spark, d):
+    s = risk.scores(_evidence(spark, d), A.inputs(spark, d))
+    gate = s.where("analysis_id % 2 = 0").select("analysis_id", F.lit(0.5).alias("evidence_completeness"), F.lit("DEGRADED").alias("analysis_quality"))
+    return health.gated(s, gate).select("analysis_id", "confidence")
+
+
+@query(f"WITH {S.GRAPH}, m AS (SELECT id, row_number() OVER (ORDER BY ord) AS k FROM nodes WHERE kind = 'class' AND id IN (SELECT node FROM seeds)) SELECT string_agg(id, '|' ORDER BY k) AS ids FROM m WHERE k <= 5")
+def q_hubs_in_blast(spark, d):
+    nodes, _, seeds = tables(spark, d)
+    return traverse.in_blast(nodes.where("kind = 'class'"), seeds).select(join_list("ids"))
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING' OR c_mktsegment IS NULL")
+def q_repositories_of_user(spark, d):
+    r = A.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("user_id"))
+    return store.repositories(r, "BUILDING").select("id")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE NOT (o_orderkey % 3 = 0 AND o_orderdate < TIMESTAMP '1999-01-01')")
+def q_purge_ephemeral(spark, d):
+    a = _snapshots(spark, d).withColumn("is_ephemeral", F.col("id") % 3 == 0)
+    return store.purge_ephemeral(a, "1999-01-01 00:00:00").select("id")
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 5 WHEN 1 THEN 15 WHEN 2 THEN 40 WHEN 3 THEN 65 WHEN 4 THEN 85 ELSE 100 END AS progress FROM events")
+def q_job_progress(spark, d):
+    status = A.pick(["PENDING", "CLONING", "PARSING", "BUILDING_GRAPH", "SCORING", "COMPLETED"], F.col("event_id") % 6)
+    return A.table(spark, d, "events").select("event_id", store.progress(status).alias("progress"))
+
+
 # --- stores, lists, experiments ----------------------------------------------------------------------------------------
 @query("SELECT c_custkey AS repository_id, arg_min(o_orderkey, o_orderkey) AS id FROM (SELECT o_custkey AS c_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS k FROM orders) WHERE k = 1 GROUP BY 1")
 def q_latest_graph(spark, d):
