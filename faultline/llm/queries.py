@@ -84,4 +84,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only the archive round trip has an SQL form; hashes, tokens and learned models of the others have none."""
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+    twenty_bits = [f"CAST('0x' || substr(hex, {5 * g + 1}, 5) AS BIGINT)" for g in range(8)]
+    base32 = " || ".join(f"substr({letters}, (({v} >> {k}) & 31) + 1, 1)" for v in twenty_bits for k in (15, 10, 5, 0))
+    op6 = f"""WITH p AS (SELECT page_id, regexp_replace(coalesce(url, ''), '[\\x00-\\x20\\x7f]+', '%20', 'g') AS url, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS hex FROM pages),
+ f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+ SELECT page_id, octet_length(encode(h)) AS payload_bytes, {base32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, url FROM f"""
+    return {"op6_warc": op6}
