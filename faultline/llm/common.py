@@ -39,6 +39,11 @@ def schema_with(schema: StructType, more: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(more).fields])
 
 
+def carried(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns beside fl_all, a struct of all columns, so that no other name of the table can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("fl_all"), *needed)
+
+
 class Scratch:
     """Parquet tables in the shared folder that cut lineage and survive the loss of executors.
 

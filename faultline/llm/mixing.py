@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch
+from .common import WORD, Scratch, carried
 
 #: Bits of a rank, and how many of them each refinement round settles.
 RANK_BITS, ROUND_BITS = 52, 13
@@ -110,6 +110,7 @@ def mix(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
 def mixed_documents(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
     """The rows of docs as the mix has them: not at all, once or as often as their copies say; columns as in docs."""
     weight, seed = how.get("weight"), how.get("seed", 9)
-    plan = fit_mix(docs, scratch, **how).drop("source_size", "target")
-    got = apply_mix(docs, plan, weight, seed)
-    return got.withColumn("fl_copy", F.explode(F.array_repeat(F.lit(0), F.col("fl_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = fit_mix(docs.select("doc_id", "text", "source", *([weight] if weight else [])), scratch, **how).drop("source_size", "target")
+    own = carried(docs, "doc_id", "text", "source", *([weight] if weight else []))
+    got = apply_mix(own, plan, weight, seed)
+    return got.withColumn("fl_copy", F.explode(F.array_repeat(F.lit(0), F.col("fl_copies")))).select("fl_all.*")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, partitions, runs, schema_with
+from .common import Scratch, carried, connected_components, partitions, runs, schema_with
 
 BITS = 64
 #: A bucket of more distinct fingerprints than this is split by a second covering family over its free bits.
@@ -159,7 +159,7 @@ def deduplicated(docs: DataFrame, scratch: Scratch, radius: int = 3, words: int
     least = marked.groupBy("fp").agg(first).join(_roots(marked, scratch, radius), "fp")
     keep = least.groupBy("root").agg(F.min("x").alias("x")).select(F.col("x.doc_id").alias("fl_id"), F.col("x.text_hash").alias("fl_hash"))
     keep = scratch.keep(keep.distinct())
-    rows = docs.withColumn("fl_text", F.xxhash64("text"))
+    rows = carried(docs, "doc_id", "text").withColumn("fl_text", F.xxhash64("text")).drop("text")
     kept = rows.join(keep, (rows["fl_text"] == keep["fl_hash"]) & rows["doc_id"].eqNullSafe(keep["fl_id"]))
     one = F.row_number().over(Window.partitionBy("fl_text", "fl_id").orderBy("fl_text"))
-    return kept.withColumn("fl_row", one).where("fl_row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.withColumn("fl_row", one).where("fl_row = 1").select("fl_all.*")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACES, Scratch
+from .common import SPACE, SPACES, Scratch, carried
 
 SYMBOLS = r"[^#*$%&|<>]+"
 #: What rules may test: name and value over the statistics below; 0 where a text has no words.
@@ -176,4 +176,4 @@ def with_verdict(stats: DataFrame, rules: DecisionList) -> DataFrame:
 def filtered(docs: DataFrame, labels: DataFrame, scratch: Scratch, **how) -> DataFrame:
     """The rows of docs that are kept; columns as in docs."""
     rules = fit(docs, labels, scratch, **how)
-    return with_verdict(with_statistics(docs), rules).where("fl_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_verdict(with_statistics(carried(docs, "text")), rules).where("fl_kept").select("fl_all.*")

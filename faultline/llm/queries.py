@@ -23,8 +23,8 @@ def tokenizer() -> str:
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = line_dedup.deduplicated(docs, Scratch(spark, "op1"))
-    return out.select("doc_id", "text", F.coalesce(F.size("fl_removed"), F.lit(0)).cast("long").alias("n_removed"), F.array_join(F.sort_array("fl_removed"), ",").alias("removed_lines"))
+    out = line_dedup.deduplicated(docs, Scratch(spark, "op1"), removed="lines")
+    return out.select("doc_id", "text", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), F.array_join(F.sort_array("lines"), ",").alias("removed_lines"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

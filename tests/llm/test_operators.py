@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from faultline.llm import chat, fingerprints, line_dedup, mixing, near_dedup, packing, passages, quality_rules, queries, toxicity, warc
 from faultline.llm.common import Scratch, connected_components
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fl_extra string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fl_text string, fl_id long, target double, size int, lines int"
 SF = "/root/testdata/sf0.001"
 words = lambda n, seed, vocab=400: " ".join(f"w{random.Random(seed * 7919 + i).randrange(vocab)}" for i in range(n))
 
 
 def docs_of(spark, rows):
-    full = [(d, t, "en", s, len(t or ""), "x") for d, t, s in rows]
+    full = [(d, t, "en", s, len(t or ""), "x", 5, 0.5, 7, None) for d, t, s in rows]
     return spark.createDataFrame(full, SCHEMA).repartition(3)
 
 
@@ -149,13 +149,13 @@ def test_line_dedup(spark, none):
     base = [words(n, 50 + n) for n in (5, 9, 30, 60, 90)]
     edit = lambda s, k: s + f" w{k}"
     rows = [(1, "\n".join(base), "a"), (2, "\n".join([base[0].upper(), "", "--", edit(base[3], 1), "own line of two"]), "a"), (3, "\n".join([edit(base[4], 1), edit(base[4], 2), edit(base[4], 2) + "!"]), "b"), (4, None, "a"), (5, "", "a"), (None, base[2], "a"), (6, base[1] + "\nx", "b"), (6, base[1] + "\nx", "b")]
-    got = line_dedup.deduplicated(docs_of(spark, rows), Scratch(spark, "t")).collect()
+    got = line_dedup.deduplicated(docs_of(spark, rows), Scratch(spark, "t"), removed="gone").collect()
     gone = plain_lines(rows)
     assert len(got) == len(rows)
     for x in got:
         text = next(t for d, t, _ in rows if d == x.doc_id)
         drop = gone[x.doc_id, xxhash_row(x.doc_id, text)]
-        assert set(x.fl_removed or []) == drop
+        assert set(x.gone or []) == drop and (x.fl_text, x.fl_id, x.size) == ("x", 5, 7)
         assert x.text == (None if text is None else "\n".join(v for k, v in enumerate(text.split("\n")) if k not in drop))
     assert line_dedup.deduplicated(none, Scratch(spark, "t")).count() == 0
 
@@ -190,8 +190,8 @@ def test_lines_of_one_fingerprint(spark):
             w[i], w[j] = w[j], w[i]
         rows.append((k, " ".join(w), "a"))
     gone = plain_lines(rows)
-    got = line_dedup.deduplicated(docs_of(spark, rows), Scratch(spark, "t")).collect()
-    assert {x.doc_id for x in got if x.fl_removed} == {d for d, _ in gone}
+    got = line_dedup.deduplicated(docs_of(spark, rows), Scratch(spark, "t"), removed="gone").collect()
+    assert {x.doc_id for x in got if x.gone} == {d for d, _ in gone}
 
 
 def test_line_simhash_of_long_lines(spark):
@@ -404,7 +404,7 @@ def test_mixing(spark, odd, none):
     key = lambda x: (x.doc_id, x.source, x.size, x.taken)
     assert Counter(map(key, got)) == Counter(map(key, again))
     mixed = mixing.mixed_documents(docs, Scratch(spark, "t"))
-    assert mixed.columns == docs.columns and mixed.count() == sum(x.copies for x in got)
+    assert mixed.columns == docs.columns and {x.target for x in mixed.collect()} == {0.5} and mixed.count() == sum(x.copies for x in got)
     assert mixing.mix(none, Scratch(spark, "t")).count() == 0
 
 
