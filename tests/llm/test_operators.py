@@ -453,6 +453,32 @@ def test_chains_are_best():
         assert score >= passages.WORDS
 
 
+def test_chains_have_the_best_score_within_the_gap():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n, span in ((40, 60), (60, 200), (80, 400)):
+        a, b = rng.integers(0, span, n), rng.integers(0, span, n)
+        best = {}
+        for k in sorted(range(n), key=lambda i: (b[i], -a[i])):
+            near = [(int(a[k] - a[j]), int(b[k] - b[j]), s) for j, s in best.items() if 0 < a[k] - a[j] <= passages.GAP + passages.WORDS and 0 < b[k] - b[j] <= passages.GAP + passages.WORDS]
+            best[k] = max([float(passages.WORDS)] + [s - passages.GAP_COST / 2 * (da + db) + min(passages.WORDS, da, db) for da, db, s in near])
+        score, first = float(passages.WORDS), passages.chains(a, b)[0]
+        for j, k in zip(first, first[1:]):
+            da, db = int(a[k] - a[j]), int(b[k] - b[j])
+            score += min(passages.WORDS, da, db) - passages.GAP_COST / 2 * (da + db)
+        assert abs(score - max(best.values())) < 1e-9
+
+
+def test_passages_apart_are_all_found(spark):
+    one, two = words(300, 31, 100000), words(100, 32, 100000)
+    rows = [(0, f"{one} {words(400, 33, 100000)} {two}", "a"), (1, f"{one} {words(100, 34, 100000)} {two}", "a")]
+    rows += [(2, f"{words(60, 35, 100000)} {words(60, 36, 100000)} {words(60, 37, 100000)}", "a"), (3, f"{words(60, 35, 100000)} {words(60, 38, 100000)} {words(60, 37, 100000)}", "a")]
+    got = passages.passages(docs_of(spark, rows), Scratch(spark, "t")).collect()
+    spans = {(x.a_doc_id, x.b_doc_id, x.a_start, x.a_end, x.b_start, x.b_end) for x in got}
+    assert spans == {(0, 1, 0, 300, 0, 300), (0, 1, 700, 800, 400, 500), (2, 3, 0, 60, 0, 60), (2, 3, 120, 180, 120, 180)}
+
+
 def test_alignment():
     a = [w.encode() for w in words(90, 5, 9999).split()]
     b = a[:30] + [b"new"] + a[31:60] + a[62:]
