@@ -479,6 +479,21 @@ def test_passages_apart_are_all_found(spark):
     assert spans == {(0, 1, 0, 300, 0, 300), (0, 1, 700, 800, 400, 500), (2, 3, 0, 60, 0, 60), (2, 3, 120, 180, 120, 180)}
 
 
+def test_passage_whose_fragments_lie_before_and_between(spark):
+    common = words(120, 41, 100000).split()
+    own = lambda k, n=30: words(n, 500 + k, 100000).split()
+    rows = [(20, own(20) + common + own(21)), (60, own(60) + common + own(61))]
+    # 20-word fragments that overlap by 10, in documents before both and in documents between them
+    rows += [(base + k, own(100 + base + k) + common[10 * k : 10 * k + 20] + own(200 + base + k)) for base in (1, 30) for k in range(11)]
+    # here the first place of each seed in the first document is a fragment's place, not the passage's
+    other = words(120, 43, 100000).split()
+    torn = [w for k in range(11, -1, -1) for w in other[10 * k : 10 * k + 20] + own(300 + k, 50)]
+    rows += [(70, torn + other + own(71)), (80, own(80) + other + own(81))]
+    got = passages.passages(docs_of(spark, [(d, " ".join(t), "a") for d, t in rows]), Scratch(spark, "t")).collect()
+    spans = {(x.a_doc_id, x.b_doc_id): (x.a_start, x.a_end, x.b_start, x.b_end) for x in got}
+    assert len(got) == 2 and spans == {(20, 60): (30, 150, 30, 150), (70, 80): (len(torn), len(torn) + 120, 30, 150)}
+
+
 def test_alignment():
     a = [w.encode() for w in words(90, 5, 9999).split()]
     b = a[:30] + [b"new"] + a[31:60] + a[62:]
