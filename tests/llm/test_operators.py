@@ -430,44 +430,26 @@ def test_passages(spark, odd, none):
     assert passages.passages(none, Scratch(spark, "t")).count() == 0
 
 
-def test_chains_are_best():
-    import numpy as np
-
-    r = random.Random(6)
-    for _ in range(30):
-        pts = sorted({(r.randrange(60), r.randrange(60)) for _ in range(25)})
-        a, b = np.array([p[0] for p in pts]), np.array([p[1] for p in pts])
-        best = {}
-        for k in sorted(range(len(pts)), key=lambda k: (b[k], -a[k])):
-            best[k] = float(passages.WORDS)
-            for j in best:
-                if j != k and a[j] < a[k] and b[j] < b[k]:
-                    da, db = int(a[k] - a[j]), int(b[k] - b[j])
-                    best[k] = max(best[k], best[j] - passages.GAP_COST / 2 * (da + db) + min(passages.WORDS, da, db)) if max(da, db) <= passages.GAP + passages.WORDS else best[k]
-        first = passages.chains(a, b)[0]
-        score = float(passages.WORDS)
-        for j, k in zip(first, first[1:]):
-            assert a[j] < a[k] and b[j] < b[k]
-            da, db = int(a[k] - a[j]), int(b[k] - b[j])
-            score += min(passages.WORDS, da, db) - passages.GAP_COST / 2 * (da + db)
-        assert score >= passages.WORDS
-
-
-def test_chains_have_the_best_score_within_the_gap():
+def test_chains_have_the_best_score():
     import numpy as np
 
     rng = np.random.default_rng(5)
-    for n, span in ((40, 60), (60, 200), (80, 400)):
+    for n, span in ((25, 60), (40, 60), (60, 200), (80, 400), (30, 5000)):
         a, b = rng.integers(0, span, n), rng.integers(0, span, n)
         best = {}
         for k in sorted(range(n), key=lambda i: (b[i], -a[i])):
-            near = [(int(a[k] - a[j]), int(b[k] - b[j]), s) for j, s in best.items() if 0 < a[k] - a[j] <= passages.GAP + passages.WORDS and 0 < b[k] - b[j] <= passages.GAP + passages.WORDS]
-            best[k] = max([float(passages.WORDS)] + [s - passages.GAP_COST / 2 * (da + db) + min(passages.WORDS, da, db) for da, db, s in near])
-        score, first = float(passages.WORDS), passages.chains(a, b)[0]
-        for j, k in zip(first, first[1:]):
-            da, db = int(a[k] - a[j]), int(b[k] - b[j])
-            score += min(passages.WORDS, da, db) - passages.GAP_COST / 2 * (da + db)
-        assert abs(score - max(best.values())) < 1e-9
+            before = [s - passages.GAP_COST / 2 * (a[k] - a[j] + b[k] - b[j]) for j, s in best.items() if a[j] < a[k] and b[j] < b[k]]
+            best[k] = 1 + max([0.0, *before])
+        score, back = passages.best_scores(a, b)
+        assert np.allclose(score, [best[k] for k in range(n)])
+        assert all(a[j] < a[k] and b[j] < b[k] and abs(score[j] + 1 - passages.GAP_COST / 2 * (a[k] - a[j] + b[k] - b[j]) - score[k]) < 1e-9 for k, j in enumerate(back) if j >= 0)
+        found = passages.chains(a, b)
+        assert sorted(k for c in found for k in c) == list(range(n))
+        for c in found:
+            steps = list(zip(c, c[1:]))
+            assert all(0 < a[k] - a[j] <= passages.GAP + passages.WORDS and 0 < b[k] - b[j] <= passages.GAP + passages.WORDS for j, k in steps)
+    in_order = np.array([3, 9, 11, 200, 204])
+    assert passages.chains(in_order, in_order + 7) == [[0, 1, 2], [3, 4]]
 
 
 def test_passages_apart_are_all_found(spark):
@@ -494,10 +476,89 @@ def test_passage_whose_fragments_lie_before_and_between(spark):
     assert len(got) == 2 and spans == {(20, 60): (30, 150, 30, 150), (70, 80): (len(torn), len(torn) + 120, 30, 150)}
 
 
+def test_passage_that_others_hold_in_part(spark):
+    whole = words(60, 45, 100000).split()
+    own = lambda k: words(40, 700 + k, 100000).split()
+    rows = [(d, " ".join([*own(2 * d), *(whole[:42] if d % 2 else whole), *own(2 * d + 1)]), "a") for d in (1, 2, 3, 4)]
+    got = passages.passages(docs_of(spark, rows), Scratch(spark, "t")).collect()
+    assert [(x.a_doc_id, x.b_doc_id, x.a_start, x.a_end, x.b_start, x.b_end) for x in got] == [(2, 4, 40, 100, 40, 100)]
+
+
+def test_passages_of_repeated_ids(spark):
+    common = words(80, 46, 100000)
+    rows = [(5, words(3, 47), "a"), (5, words(70, 48, 100000) + " " + common, "a"), (9, common + " end", "a"), (9, common + " end", "a"), (9, words(20, 49) + " " + common, "a"), (None, common, "a")]
+    got = passages.passages(docs_of(spark, rows), Scratch(spark, "t")).collect()
+    assert {(x.a_doc_id, x.b_doc_id, x.a_start, x.a_end) for x in got} == {(5, 9, 70, 150)} and {(x.b_start, x.b_end) for x in got} <= {(0, 80), (20, 100)}
+
+
+def plain_alike(x, y):
+    """The longest part of x, in words, that some part of y is alike to at 0.8, both of 50 words or more: edit distance of
+    every part of x against all parts of y at once (a part of y may begin and end anywhere)."""
+    best = 0
+    for s in range(len(x) - 49):
+        row = [0] * (len(y) + 1)
+        start = list(range(len(y) + 1))
+        for n, u in enumerate(x[s:], 1):
+            new, at = [n], [0]
+            for j, v in enumerate(y, 1):
+                options = [(row[j - 1] + (u != v), start[j - 1]), (row[j] + 1, start[j]), (new[j - 1] + 1, at[j - 1])]
+                e, f = min(options)
+                new.append(e)
+                at.append(f)
+            row, start = new, at
+            if n >= 50 and any(j - start[j] >= 50 and row[j] <= 0.2 * max(n, j - start[j]) for j in range(50, len(y) + 1)):
+                best = max(best, n)
+    return best
+
+
+def test_passages_against_all_pairs(spark):
+    r = random.Random(11)
+    bank = [words(r.randrange(45, 80), 800 + k, 100000).split() for k in range(6)]
+    rows = []
+    for d in range(24):
+        text = words(r.randrange(5, 40), 850 + d, 100000).split()
+        for p in r.sample(bank, r.randrange(0, 3)):
+            keep = [w if r.random() > 0.04 else f"edit{r.randrange(99999)}" for w in p]
+            text += keep + words(r.randrange(5, 30), r.randrange(9999), 100000).split()
+        rows.append((d, text))
+    want = {(i, j) for i, x in rows for j, y in rows if i < j and plain_alike(x, y)}
+    got = passages.passages(docs_of(spark, [(d, " ".join(t), "a") for d, t in rows]), Scratch(spark, "t")).collect()
+    pairs = {(x.a_doc_id, x.b_doc_id) for x in got}
+    text = dict(rows)
+    assert pairs <= want and len(want) > 10
+    for x in got:
+        u, v = text[x.a_doc_id][x.a_start : x.a_end], text[x.b_doc_id][x.b_start : x.b_end]
+        assert distance(u, v) <= x.edits and min(len(u), len(v)) >= 50 and x.similarity == pytest.approx(1 - x.edits / max(len(u), len(v))) and x.similarity >= 0.8
+    joined = closure(24, lambda i, j: (min(i, j), max(i, j)) in pairs)
+    assert sum(joined[i] == joined[j] for i, j in want) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize(("share", "least"), [(0.05, 1.0), (0.1, 0.95), (0.15, 0.9)])
+def test_recall_of_edited_passages(spark, share, least):
+    r = random.Random(int(share * 100))
+    rows = []
+    for k in range(60):
+        base = words(80, 2000 + k, 100000).split()
+        spots = r.sample(range(80), int(share * 80))
+        other = [f"edit{r.randrange(99999)}" if i in spots else w for i, w in enumerate(base)]
+        rows += [(2 * k, words(30, 3000 + k, 100000).split() + base), (2 * k + 1, other + words(30, 4000 + k, 100000).split())]
+    got = passages.passages(docs_of(spark, [(d, " ".join(t), "a") for d, t in rows]), Scratch(spark, "t")).collect()
+    pairs = {(x.a_doc_id, x.b_doc_id) for x in got}
+    assert pairs <= {(2 * k, 2 * k + 1) for k in range(60)} and len(pairs) >= least * 60
+
+
 def test_alignment():
     a = [w.encode() for w in words(90, 5, 9999).split()]
     b = a[:30] + [b"new"] + a[31:60] + a[62:]
-    assert passages.align(a, b, [(10, 10), (40, 40), (75, 73)]) == (0, 90, 0, 88, 3)
+    found = passages.blocks(a, b, [(10, 10), (40, 40), (75, 73)])
+    assert passages.best_parts(found, 50, 0.8) == [(0, 90, 0, 88, 3)]
+    assert all(x[1] == y[0] and x[3] == y[2] for x, y in zip(found, found[1:]))
+    r = random.Random(3)
+    for _ in range(60):
+        x = [r.choice("abcd") for _ in range(r.randrange(0, 30))]
+        y = [c for c in x if r.random() > 0.2] + [r.choice("abcd") for _ in range(r.randrange(0, 6))]
+        assert passages.edits_between(x, y) == distance(x, y)
+    assert passages.best_parts([(0, 60, 0, 60, 0), (60, 120, 60, 120, 60), (120, 150, 120, 150, 0)], 50, 0.8) == [(0, 60, 0, 60, 0)]
 
 
 def test_runs_splits_big_groups():
