@@ -83,69 +83,89 @@ class DecisionList:
         return F.lit(0) if out is None else out.otherwise(0)
 
 
-def learn(rows: DataFrame, bins: int = 32, max_rules: int = 8, max_conditions: int = 3, min_precision: float = 0.9, min_support: float = 0.001) -> DecisionList:
-    """Sequential covering over rows of statistics and `quality` (0 is what rules look for; null rows are ignored).
+def with_condition(rule: tuple[Condition, ...], more: Condition) -> tuple[Condition, ...]:
+    """The rule with one condition more; of two on one feature in one direction the narrower stays."""
+    same = [c for c in rule if (c.feature, c.at_least) == (more.feature, more.at_least)]
+    if not same:
+        return (*rule, more)
+    narrow = max if more.at_least else min
+    one = Condition(more.feature, more.at_least, narrow(same[0].threshold, more.threshold))
+    return tuple(one if c is same[0] else c for c in rule)
+
+
+def best_condition(counts: dict[str, list[tuple[int, int, int]]], cut: dict[str, list[float]], banned: set[tuple[str, bool]]) -> Condition | None:
+    """The condition with the greatest FOIL gain: counts has, for each feature, (bin, rows looked for, other rows), where bin k
+    holds the values from cut k - 1 up to below cut k. None if no condition gains.
+    """
+    best, found = 1e-9, None
+    for f, bins in counts.items():
+        p0, n0 = sum(x[1] for x in bins), sum(x[2] for x in bins)
+        if not p0 or not n0:
+            continue
+        base, at, p, n = math.log2(p0 / (p0 + n0)), {b: (q, m) for b, q, m in bins}, 0, 0
+        for k, threshold in enumerate(cut[f]):
+            q, m = at.get(k, (0, 0))
+            p, n = p + q, n + m  # the rows below this cut
+            for at_least, pp, nn in ((False, p, n), (True, p0 - p, n0 - n)):
+                gain = pp * (math.log2(pp / (pp + nn)) - base) if pp and (f, at_least) not in banned else 0.0
+                if gain > best:
+                    best, found = gain, Condition(f, at_least, float(threshold))
+    return found
+
+
+def pruned(counts: list[tuple[int, int]]) -> int:
+    """How many first conditions to keep, given what the rule then matches of the pruning rows (looked for, others): the most
+    by (p - n) / (p + n), the fewest of equals.
+    """
+    return max(range(len(counts)), key=lambda k: ((counts[k][0] - counts[k][1]) / max(1, sum(counts[k])), -k)) + 1
 
-    Two thirds of the rows grow a rule, condition by condition, by FOIL gain over `bins` quantiles of each feature; the
-    rest prune its last conditions by (p - n) / (p + n). A rule stays in the list if it is right on `min_precision` of
-    the pruning rows it matches and of the growing rows, and finds `min_support` of all; what it matches is then
-    covered. Every step is one aggregation of at most features x bins rows. Without rows of both kinds: no rules.
+
+def learn(rows: DataFrame, bins: int = 32, max_rules: int = 8, max_conditions: int = 3, min_precision: float = 0.9, min_support: float = 0.001) -> DecisionList:
+    """Sequential covering over rows of statistics and `quality` (0 is what rules look for; null rows are ignored). Rows that the
+    base test fails never reach the list, so it doesn't learn from them.
+
+    Two thirds of the rows grow a rule, condition by condition, by FOIL gain over `bins` quantiles of each feature among the rows of
+    either kind; the rest prune its last conditions by (p - n) / (p + n). A rule stays in the list if it is right on
+    `min_precision` of the pruning rows it matches and of the growing rows, and finds `min_support` of all and three rows; what it
+    matches is then covered. If it does not stay, the condition it began with may begin no other rule until one stays.
+    Every step is one aggregation of at most features x bins rows. Without rows of both kinds: no rules.
     """
     names = list(FEATURES)
-    d = rows.where("quality IS NOT NULL").select("quality", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)).alias("part"), *[F.expr(FEATURES[f]).alias(f) for f in names])
-    cuts = d.agg(*[F.percentile_approx(f, [i / bins for i in range(1, bins)], 10_000).alias(f) for f in names]).first()
-    if cuts[0] is None:
+    d = rows.where("quality IS NOT NULL").where(~base_failed()).select("quality", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)).alias("part"), *[F.expr(FEATURES[f]).alias(f) for f in names])
+    share = [i / bins for i in range(bins)]
+    cuts = d.groupBy(F.col("quality") == 0).agg(*[F.percentile_approx(f, share, 10_000).alias(f) for f in names]).collect()
+    if len(cuts) < 2:
         return DecisionList(())
-    cut = {f: sorted(set(cuts[f])) for f in names}
-    cut = {f: v for f, v in cut.items() if v}
+    cut = {f: sorted({x for r in cuts for x in r[f]}) for f in names}
     stacked = ", ".join(f"'{f}', size(filter(array({', '.join(f'{x!r}D' for x in v)}), x -> x <= {f}))" for f, v in cut.items())
     found: list[tuple[Condition, ...]] = []
-    plain = {c: c for c in names}
+    banned: set[tuple[str, bool]] = set()
 
     def holds(rule: tuple[Condition, ...]) -> str:
-        return " AND ".join(f"({plain[c.feature]} {'>=' if c.at_least else '<'} {c.threshold!r}D)" for c in rule) or "true"
+        return " AND ".join(f"({c.feature} {'>=' if c.at_least else '<'} {c.threshold!r}D)" for c in rule) or "true"
 
     while len(found) < max_rules:
         left = d.where(" AND ".join(f"NOT ({holds(r)})" for r in found) or "true")
-        rule: tuple[Condition, ...] = ()
-        total = None
-        while len(rule) < max_conditions:
+        grown: list[tuple[Condition, ...]] = []
+        while len(grown) < max_conditions:
+            rule = grown[-1] if grown else ()
             grid = left.where("part < 2").where(holds(rule)).selectExpr("quality", f"stack({len(cut)}, {stacked}) AS (f, b)")
             got = grid.groupBy("f", "b").agg(F.sum((F.col("quality") == 0).cast("long")).alias("p"), F.sum((F.col("quality") != 0).cast("long")).alias("n")).collect()
-            by = {f: sorted((r["b"], r["p"], r["n"]) for r in got if r["f"] == f) for f in cut}
-            p0, n0 = (sum(x[i] for x in next(iter(by.values()), [])) for i in (1, 2))
-            total = total or (p0, n0)
-            if not p0 or not n0:
+            best = best_condition({f: sorted((r["b"], r["p"], r["n"]) for r in got if r["f"] == f) for f in cut}, cut, set() if grown else banned)
+            if best is None:
                 break
-            base, best = math.log2(p0 / (p0 + n0)), (0.0, None)
-            for f, counts in by.items():
-                p = n = 0
-                edge = dict((b, (q, m)) for b, q, m in counts)
-                for k in range(1, len(cut[f]) + 1):
-                    q, m = edge.get(k - 1, (0, 0))
-                    p, n = p + q, n + m  # below cut k
-                    for at_least, pp, nn in ((False, p, n), (True, p0 - p, n0 - n)):
-                        if pp:
-                            gain = pp * (math.log2(pp / (pp + nn)) - base)
-                            if gain > best[0] + 1e-9:
-                                best = (gain, Condition(f, at_least, float(cut[f][k - 1])))
-            if best[1] is None:
-                break
-            rule += (best[1],)
-        if not rule:
+            grown.append(with_condition(rule, best))
+        if not grown:
             break
-        cols = []
-        for k in range(1, len(rule) + 1):
-            for part in ("part < 2", "part = 2"):
-                for kind in ("quality = 0", "quality <> 0"):
-                    cols.append(F.sum(F.expr(f"CAST({holds(rule[:k])} AND {part} AND {kind} AS BIGINT)")))
-        v = [x or 0 for x in left.agg(*cols, F.count("*")).first()]
-        worth = [((v[4 * k + 2] - v[4 * k + 3]) / max(v[4 * k + 2] + v[4 * k + 3], 1), -k) for k in range(len(rule))]
-        k = -max(worth)[1]
+        count = lambda rule, part, kind: F.sum(F.expr(f"CAST({holds(rule)} AND part {part} AND quality {kind} AS BIGINT)"))
+        v = [x or 0 for x in left.agg(*[count(r, part, kind) for r in grown for part in ("< 2", "= 2") for kind in ("= 0", "<> 0")], F.count("*")).first()]
+        k = pruned([(v[4 * i + 2], v[4 * i + 3]) for i in range(len(grown))]) - 1
         p, n, pp, pn = v[4 * k : 4 * k + 4]
         if p < min_precision * (p + n) or pp < min_precision * (pp + pn) or p + pp < max(3, min_support * v[-1]):
-            break
-        found.append(rule[: k + 1])
+            banned.add((grown[0][0].feature, grown[0][0].at_least))
+            continue
+        found.append(grown[k])
+        banned.clear()
     return DecisionList(tuple(found))
 
 
@@ -174,6 +194,10 @@ def with_verdict(stats: DataFrame, rules: DecisionList) -> DataFrame:
 
 
 def filtered(docs: DataFrame, labels: DataFrame, scratch: Scratch, **how) -> DataFrame:
-    """The rows of docs that are kept; columns as in docs."""
+    """The rows of docs that pass the base test and that no rule learned from labels rejects; columns as in docs.
+
+    Null and empty texts have no words and fail the base test; repeated rows are treated alike; a text counts whole. Without
+    labels of both kinds there are no rules and the base test alone decides. No rows: no rows.
+    """
     rules = fit(docs, labels, scratch, **how)
     return with_verdict(with_statistics(carried(docs, "text")), rules).where("fl_kept").select("fl_all.*")
