@@ -78,8 +78,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each passage that two documents share, once for each of them: doc_id, start, end (word places) and where it is in other_doc_id."""
     found = passages.passages(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
-    side = lambda one, two: found.select(F.col(f"{one}_doc_id").alias("doc_id"), F.col(f"{one}_start").alias("start"), F.col(f"{one}_end").alias("end"), F.col(f"{two}_doc_id").alias("other_doc_id"), F.col(f"{two}_start").alias("other_start"), F.col(f"{two}_end").alias("other_end"), "edits", "similarity")
-    return side("a", "b").union(side("b", "a"))
+    names = ("doc_id", "start", "end")
+    side = lambda one, two: F.struct(*[F.col(f"{one}_{c}").alias(c) for c in names], *[F.col(f"{two}_{c}").alias(f"other_{c}") for c in names], "edits", "similarity")
+    return found.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("x")).select("x.*")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
