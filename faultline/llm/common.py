@@ -70,6 +70,26 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bits of the map of wanted values in maybe_wanted, in rows of WORDS_A_ROW longs: 8 MB, whatever the input.
+MAP_BITS, WORDS_A_ROW = 1 << 26, 512
+
+
+def maybe_wanted(rows: DataFrame, column: str, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows whose `column` is among the values of the same column of wanted, and few others: a bitmap of fixed size over
+    hashes is broadcast, so rows that can't match go before they are shuffled. An exact join has to settle the rest.
+    """
+    place = lambda: F.pmod(F.xxhash64(column), F.lit(MAP_BITS))
+    bit, word = F.col("fl_map_place").bitwiseAND(F.lit(63)).cast("int"), F.shiftright("fl_map_place", 6)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    words = wanted.select(place().alias("fl_map_place")).groupBy(word.alias("word")).agg(F.bit_or(one).alias("bits"))
+    entries = F.map_from_entries(F.collect_list(F.struct((F.col("word") % WORDS_A_ROW).cast("int").alias("k"), "bits")))
+    table = words.groupBy(F.floor(F.col("word") / WORDS_A_ROW).alias("fl_map_row")).agg(entries.alias("m"))
+    table = table.select("fl_map_row", F.transform(F.sequence(F.lit(0), F.lit(WORDS_A_ROW - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("long"))).alias("fl_map_bits"))
+    table = F.broadcast(scratch.keep(table))
+    met = rows.withColumn("fl_map_place", place()).join(table, F.floor(F.shiftright("fl_map_place", 6) / WORDS_A_ROW) == F.col("fl_map_row"))
+    return met.where(F.getbit(F.get("fl_map_bits", (word % WORDS_A_ROW).cast("int")), bit) == 1).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def runs(batches: Iterator[pd.DataFrame], keys: list[str], limit: int) -> Iterator[tuple[pd.DataFrame, bool]]:
     """Groups of equal keys with two rows or more, from frames sorted by keys; rows alone are skipped.
 

@@ -87,69 +87,71 @@ class Gaps:
     """Open sequences by the room they have left, as runs (first sequence, how many), newest last."""
 
     def __init__(self) -> None:
-        self.runs: dict[int, list[list[int]]] = {}
-        self.sizes: list[int] = []
+        self.runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
 
     def put(self, room: int, first: int, n: int) -> None:
-        if room <= 0 or n <= 0:
-            return
-        if room not in self.runs:
-            bisect.insort(self.sizes, room)
-            self.runs[room] = []
-        self.runs[room].append([first, n])
-
-    def successor(self, size: int) -> int | None:
-        k = bisect.bisect_left(self.sizes, size)
-        return self.sizes[k] if k < len(self.sizes) else None
-
-    def take(self, room: int, n: int) -> tuple[int, int]:
-        run = self.runs[room][-1]
-        n = min(n, run[1])
-        first = run[0]
-        run[0] += n
-        run[1] -= n
-        if not run[1]:
-            self.runs[room].pop()
-            if not self.runs[room]:
-                del self.runs[room]
-                self.sizes.remove(room)
-        return first, n
-
-
-def best_fit(counts: dict[int, int], limit: int) -> tuple[dict[int, list[tuple[int, int, int]]], int]:
-    """Best-fit over length classes: for each length the places (rank from, first sequence, offset), in rank order.
-
-    Lengths and rooms are whole numbers up to `limit`, so documents and gaps are held as runs of equals: a superstep
-    takes the longest class left, sweeps for the smallest room that holds it, matches documents to gaps by rank and
-    gives the gaps their new room, until the class is placed; what finds no room opens sequences. The state is bounded by
-    `limit`, not by the input. The rank from of the next place ends a place; the second result counts the sequences.
+        if room > 0 and n > 0:
+            self.runs[room].append((first, n))
+
+    def rooms(self) -> list[int]:
+        return sorted(room for room, runs in self.runs.items() if runs)
+
+    def take(self, room: int, n: int) -> list[tuple[int, int]]:
+        """Runs of at most n sequences in all."""
+        out, runs = [], self.runs[room]
+        while n and runs:
+            first, size = runs.pop()
+            if size > n:
+                runs.append((first + n, size - n))
+                size = n
+            out.append((first, size))
+            n -= size
+        return out
+
+
+def best_fit(counts: dict[int, int], limit: int) -> tuple[dict[int, list[tuple[int, int, int]]], int, int]:
+    """Best-fit in bulk-synchronous supersteps: for each length the places (rank from, first sequence, offset), in rank order, the
+    number of sequences and the number of supersteps.
+
+    Lengths and rooms are whole numbers up to `limit`, so documents and gaps are held sorted, as runs of equals. A superstep
+    is one successor sweep: every length looks up the smallest room that holds it, longer documents go first where several
+    lengths meet at one room, each gap takes as many of a length as it holds, and only then do gaps get their new
+    rooms. What is longer than every room opens the sequences it needs. The state has at most 2 x limit classes, whatever
+    the input. The rank from of the next place ends a place.
     """
-    gaps, opened, out = Gaps(), 0, {}
-    for size in sorted(counts, reverse=True):
-        rank, n, places = 0, counts[size], []
-        while rank < n:
-            room = gaps.successor(size)
-            if room is not None:
-                first, k = gaps.take(room, n - rank)
-                places.append((rank, first, limit - room))
-                gaps.put(room - size, first, k)
-                rank += k
+    gaps, opened, steps = Gaps(), 0, 0
+    left, done, out = dict(counts), dict.fromkeys(counts, 0), defaultdict(list)
+    while left:
+        steps += 1
+        rooms, moved, outside = gaps.rooms(), [], []
+        for size in sorted(left, reverse=True):
+            k = bisect.bisect_left(rooms, size)
+            if k == len(rooms):
+                outside.append(size)
                 continue
-            a_sequence = limit // size
-            full, rest = divmod(n - rank, a_sequence)
-            for j in range(a_sequence if full else 0):
-                places.append((rank, opened, j * size))
-                rank += full
-            gaps.put(limit - a_sequence * size, opened, full)
-            opened += full
-            for j in range(rest):
-                places.append((rank, opened, j * size))
-                rank += 1
-            if rest:
-                gaps.put(limit - rest * size, opened, 1)
-                opened += 1
-        out[size] = places
-    return out, opened
+            room, each = rooms[k], rooms[k] // size
+            for first, n in gaps.take(room, -(-left[size] // each)):
+                full, rest = divmod(min(left[size], n * each), each)
+                for j in range(each if full else 0):
+                    out[size].append((done[size], first, limit - room + j * size))
+                    done[size] += full
+                for j in range(rest):
+                    out[size].append((done[size], first + full, limit - room + j * size))
+                    done[size] += 1
+                left[size] -= full * each + rest
+                moved += [(room - each * size, first, full), (room - rest * size, first + full, 1 if rest else 0)]
+                if not left[size]:
+                    del left[size]
+                    break
+        for room, first, n in moved:
+            gaps.put(room, first, n)
+        if outside and outside[0] == max(left):
+            for k, size in enumerate(outside):
+                if k == 0 or 2 * size > limit:  # two of more than half a sequence never share one
+                    n = -(-left[size] // (limit // size))
+                    gaps.put(limit, opened, n)
+                    opened += n
+    return dict(out), opened - sum(n for _, n in gaps.runs[limit]), steps
 
 
 def pack(pieces: DataFrame, scratch: Scratch, limit: int = 1024) -> DataFrame:
@@ -176,7 +178,7 @@ def pack(pieces: DataFrame, scratch: Scratch, limit: int = 1024) -> DataFrame:
     for size, at, n in counts:
         base[at, size] = total[size]
         total[size] += n
-    places, _ = best_fit(dict(total), limit)
+    places, _, _ = best_fit(dict(total), limit)
     table = {s: tuple(np.array(x, np.int64) for x in zip(*p)) for s, p in places.items()}
     shared = spark.sparkContext.broadcast((base, table))  # at most partitions + limit ranks; places are bounded by limit
 

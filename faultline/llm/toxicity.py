@@ -13,102 +13,126 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of each of the two parts of a dictionary: the part both share and the part of its own.
-SHARED_BYTES, OWN_BYTES = 32_768, 16_384
-WINDOW, STRIDE = 8, 6
-#: Labelled documents of each kind that training reads at most.
-SAMPLE = 4_000
+#: Bytes of the dictionary part that is trained on ordinary text and shared, and the (segment bytes, bytes) of the own parts
+#: of each pair of dictionaries.
+SHARED_BYTES, PAIRS = 32_768, ((16, 2_048), (24, 4_096))
+WINDOW, STRIDE = 8, 8
+#: Labelled documents of each kind that training reads at most, and the characters of the longest of them.
+SAMPLE, LONGEST = 4_000, 65_536
+#: Standard deviations by which a word must be commoner in one kind to be in its training text.
+EXCESS = 4.0
+#: Bytes saved by a window, for all pairs together, whose excess over ordinary windows a text is judged by.
+LEVELS = (4, 5, 6, 8, 10, 12, 16)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Two raw-content dictionaries and the calibration of what their windows say about a text."""
+    """Pairs of dictionaries (ordinary, toxic) and the calibration of what their windows say about a text."""
 
-    ordinary: bytes
-    toxic: bytes
-    threshold: int
+    pairs: tuple[tuple[bytes, bytes], ...]
+    rates: tuple[float, ...]
     weights: tuple[float, ...]
     window: int = WINDOW
     stride: int = STRIDE
 
     def margins(self, text: str | None) -> np.ndarray:
-        """Bytes that the toxic dictionary saves over the ordinary one, for each window of the text."""
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, np.int64)
-        parts = [b" " + b" ".join(words[i : i + self.window]) + b" " for i in range(0, max(1, len(words) - self.window + self.stride), self.stride)]
-        a, b = _compressors(self)
-        return np.fromiter((len(a.compress(p)) for p in parts), np.int64, len(parts)) - np.fromiter((len(b.compress(p)) for p in parts), np.int64, len(parts))
+        """Bytes that the toxic dictionaries save over the ordinary ones, for each window of the text."""
+        parts = windows(text, self.window, self.stride)
+        out = np.zeros(len(parts), np.int64)
+        for ordinary, toxic in _compressors(self):
+            out += np.fromiter((len(ordinary.compress(p)) - len(toxic.compress(p)) for p in parts), np.int64, len(parts))
+        return out
 
     def features(self, margins: np.ndarray) -> list[float]:
-        over = margins[margins >= self.threshold]
-        top = float(margins.max()) if len(margins) else 0.0
-        return [1.0, top, math.log1p(len(over)), math.log1p(1000 * len(over) / max(1, len(margins)))]
+        """How far the windows at each level exceed the share they have in ordinary text, in standard deviations."""
+        n, rate = len(margins), np.array(self.rates)
+        over = (margins[:, None] >= np.array(LEVELS)).sum(0)
+        z = (over - n * rate) / np.sqrt(n * rate * (1 - rate) + 1)
+        return [1.0, *np.log1p(np.maximum(z, 0)).tolist(), *np.minimum(z, 0).tolist()]
 
     def score(self, text: str | None) -> float:
         z = sum(w * x for w, x in zip(self.weights, self.features(self.margins(text))))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-_MADE: dict[int, tuple] = {}
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _compressors(m: Model) -> tuple:
-    key = hash((m.ordinary, m.toxic))
+def windows(text: str | None, window: int = WINDOW, stride: int = STRIDE) -> list[bytes]:
+    """The overlapping windows of a text, each with a space on both sides; none without words."""
+    w = words_of(text)
+    return [b" " + b" ".join(w[i : i + window]) + b" " for i in range(0, max(1, len(w) - window + stride), stride)] if w else []
+
+
+_MADE: dict[int, list] = {}
+
+
+def _compressors(m: Model) -> list:
+    key = hash(m.pairs)
     if key not in _MADE:
-        # a thorough search: a word that the dictionary holds must not be missed
-        bare = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, window_log=17, hash_log=17, chain_log=17, search_log=6, min_match=5, target_length=32, write_content_size=False, write_checksum=False, write_dict_id=False)
+        # a thorough search: what the dictionary holds must not be missed
+        bare = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, window_log=17, hash_log=17, chain_log=17, search_log=6, min_match=4, target_length=32, write_content_size=False, write_checksum=False, write_dict_id=False)
         make = lambda d: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=bare)
-        _MADE[key] = make(m.ordinary), make(m.toxic)
+        _MADE[key] = [(make(o), make(t)) for o, t in m.pairs]
     return _MADE[key]
 
 
-def _content(words: list[tuple[float, bytes]], size: int) -> bytes:
-    """The best words that fit, best last: near the text a match costs least."""
-    out, n = [], 0
-    for _, w in sorted(words, reverse=True):
-        if n + len(w) + 1 > size:
-            break
-        out.append(w)
-        n += len(w) + 1
-    return b" " + b" ".join(reversed(out)) + b" "
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary of at most `size` bytes that zstandard trains on the samples; what there is of them if it can't."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+    except zstandard.ZstdError:  # too few or too short
+        return b"".join(samples)[:size]
 
 
-def train(texts: list[str], labels: list[int], shared: int = SHARED_BYTES, own: int = OWN_BYTES, window: int = WINDOW, stride: int = STRIDE) -> Model:
-    """Dictionaries of a part that both share, the commonest words of ordinary text, and a part of their own, the words that
-    documents of the kind hold much oftener than those of the other; the window threshold and the weights of a logistic regression are
-    then calibrated on every fourth document, which the dictionaries don't see. Without documents of both kinds every score is 0.
+def peculiar(texts: list[list[bytes]], other: Counter, n_other: int, own: Counter, n_own: int, window: int) -> list[bytes]:
+    """Training text of one kind: windows over the words that its documents have at least twice as often as the other kind's
+    and by more than EXCESS standard deviations of that count, so that the trainer sees what sets it apart and not what both share.
+    """
+    out = []
+    for w in texts:
+        left = [x for x in w if own[x] - (mean := (other[x] + 0.5) * n_own / n_other) > max(mean, EXCESS * math.sqrt(mean + 1))]
+        out += [b" " + b" ".join(left[i : i + window]) + b" " for i in range(0, len(left), window)]
+    return out
+
+
+def _balanced(z: np.ndarray, ys: np.ndarray) -> float:
+    """The cut of z with the best share of label 1 above it less the share of label 0 above it, the latter counted threefold."""
+    cuts = np.unique(z)
+    gain = [(z[ys == 1] >= c).mean() - 3 * (z[ys == 0] >= c).mean() for c in cuts]
+    k = int(np.argmax(gain))
+    return float((cuts[k] + cuts[k - 1]) / 2 if k else cuts[k])
+
+
+def train(texts: list[str], labels: list[int], shared: int = SHARED_BYTES, pairs: tuple = PAIRS, window: int = WINDOW, stride: int = STRIDE) -> Model:
+    """Dictionaries trained by zstandard: a part that all share, on windows of ordinary text, and behind it, for each of `pairs`,
+    one on text peculiar to toxic documents and one on text peculiar to ordinary ones. How often ordinary windows reach each
+    level, the weights of a logistic regression and its cut at score 0.5 are then calibrated on every fourth document, which
+    the dictionaries don't see. Without documents of both kinds in both parts every score is 0.
     """
-    halves = ([], [])
+    halves: tuple[list, list] = ([], [])
     for k, (t, y) in enumerate(zip(texts, labels)):
         halves[k % 4 == 3].append((t or "", int(y)))
+    none = Model((), (0.0,) * len(LEVELS), (-30.0, *(0.0,) * (2 * len(LEVELS))), window, stride)
     if not {0, 1} <= {y for _, y in halves[0]} or not {0, 1} <= {y for _, y in halves[1]}:
-        return Model(b"", b"", 1, (-30.0, 0.0, 0.0, 0.0), window, stride)
-    df = (Counter(), Counter())
-    n = [0, 0]
-    for t, y in halves[0]:
-        n[y] += 1
-        df[y].update(set(t.encode("utf-8", "surrogatepass").lower().split()))
-    words = df[0].keys() | df[1].keys()
-    least = math.log(len(words) + 1) + 2  # so that hardly any word of all gets over it by chance
-
-    def evidence(w: bytes, y: int) -> float:
-        """Log likelihood ratio of the word's share of documents of kind y against equal shares; 0 if it has no greater share."""
-        a, b = df[y][w], df[1 - y][w]
-        ea, eb = (a + b) * n[y] / sum(n), (a + b) * n[1 - y] / sum(n)
-        return a * math.log(a / ea) + (b * math.log(b / eb) if b else 0) if a > ea else 0.0
-
-    base = _content([(c, w) for w, c in df[0].items() if len(w) > 2], shared)
-    kind = [_content([(g, w) for w, c in df[y].items() if len(w) > 2 and (g := evidence(w, y)) >= least], own) for y in (0, 1)]
-    # equal lengths: what both dictionaries hold stands equally far from the text in both and costs the same
-    kind = [k.rjust(max(map(len, kind)), b"\n") for k in kind]
-    model = Model(base + kind[0], base + kind[1], 1, (0.0,) * 4, window, stride)
+        return none
+    split = [[words_of(t) for t, y in halves[0] if y == kind] for kind in (0, 1)]
+    df = [Counter(x for w in part for x in set(w)) for part in split]
+    n = [len(part) for part in split]
+    base = trained([x for t, y in halves[0] if y == 0 for x in windows(t, window, window)], shared, 64)
+    samples = [peculiar(split[kind], df[1 - kind], n[1 - kind], df[kind], n[kind], window) for kind in (0, 1)]
+    made = []
+    for segment, size in pairs:
+        own = [trained(s, size, segment) for s in samples]
+        # equal lengths: what both dictionaries hold stands equally far from the text in both and costs the same
+        made.append(tuple(base + d.rjust(max(map(len, own)), b"\n") for d in own))
+    model = Model(tuple(made), (0.0,) * len(LEVELS), none.weights, window, stride)
     margins = [(model.margins(t), y) for t, y in halves[1]]
-    tops = np.array([m.max() if len(m) else 0 for m, _ in margins])
-    ys = np.array([y for _, y in margins])
-    best = max(range(1, 12), key=lambda c: (((tops >= c) & (ys == 1)).sum() / max(1, (ys == 1).sum()) - ((tops >= c) & (ys == 0)).sum() / max(1, (ys == 0).sum()), c))
-    model = Model(model.ordinary, model.toxic, best, (0.0,) * 4, window, stride)
-    x = np.array([model.features(m) for m, _ in margins])
+    plain = np.concatenate([m for m, y in margins if y == 0])
+    rates = tuple(float((plain >= c).mean()) + 1e-4 if len(plain) else 1e-4 for c in LEVELS)
+    model = Model(model.pairs, rates, none.weights, window, stride)
+    x, ys = np.array([model.features(m) for m, _ in margins]), np.array([y for _, y in margins])
     scale = np.maximum(np.abs(x).max(0), 1e-9)
     z, w = x / scale, np.zeros(x.shape[1])
     for _ in range(50):  # Newton steps with a ridge
@@ -118,20 +142,25 @@ def train(texts: list[str], labels: list[int], shared: int = SHARED_BYTES, own:
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
-    return Model(model.ordinary, model.toxic, best, tuple(float(v) for v in w / scale), window, stride)
+    w = w / scale
+    w[0] -= _balanced(x @ w, ys)
+    return Model(model.pairs, rates, tuple(float(v) for v in w), window, stride)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE) -> tuple[list[str], list[int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE, longest: int = LONGEST) -> tuple[list[str], list[int]]:
     """Texts and labels of at most `sample` documents of each kind for which keep(doc_id) holds, chosen by hash.
 
-    Labels are bounded by two top-k selections before texts are joined; a doc_id with contrary labels counts as toxic.
+    Labels are bounded by two top-k selections before texts are joined, and of the texts those of more than `longest` characters
+    don't count here. A doc_id with contrary labels counts as toxic; of several texts of one, the first by hash counts.
     """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(keep(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(7))
     picked = known.where("toxic = 1").orderBy(order).limit(sample).union(known.where("toxic = 0").orderBy(order).limit(sample))
     ids = {r["doc_id"]: int(r["toxic"]) for r in picked.collect()}
     found = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")  # at most 2 x sample ids
-    got = sorted((r["doc_id"], r["text"] or "") for r in found.dropDuplicates(["doc_id"]).toLocalIterator())
+    found = found.where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
+    first = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("doc_id", "x.text")
+    got = sorted((r["doc_id"], r["text"] or "") for r in first.toLocalIterator())
     got.sort(key=lambda r: hash((r[0] * 2654435761) % 1000003))
     return [t for _, t in got], [ids[d] for d, _ in got]
 

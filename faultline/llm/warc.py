@@ -60,7 +60,8 @@ def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
 
 def plan_records(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     """page_id, url, html, refers_to: of equal payloads of at least min_payload bytes the smallest page_id answers, the
-    others revisit it. Payload groups are reduced to a minimum before they meet their pages again; html is not shuffled.
+    others revisit it. Payload groups are reduced to a minimum before they meet their pages again; pages are shuffled by digest for that
+    unless the groups are few enough for Spark to broadcast them, and a payload of very many pages is split by Spark's skew join.
     Rows of one page_id and payload are one page and alike; without any page_id in a group all of it are responses.
     """
     text = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -150,11 +151,12 @@ def starts_record(window: Window, at: int) -> bool:
         return False
 
 
-def records(path_fs, path: str, start: int, end: int, size: int) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of the records that start in the bytes [start, end) of a file.
+def records(path_fs, path: str, start: int, end: int, size: int) -> Iterator[tuple[dict[str, str] | None, bytes]]:
+    """(headers, block) of the records that start in the bytes [start, end) of a file; (None, b"") for one that is damaged.
 
     The range is scanned for gzip magic; a candidate counts if it inflates to a WARC header, so that bytes that look
-    like magic inside a member are passed over. From then on members follow each other.
+    like magic inside a member are passed over. From then on members follow each other. Behind a member that breaks off or
+    has no whole header, the scan for magic goes on.
     """
     with path_fs.open_input_file(path) as f:
         window, at = Window(f, size), start
@@ -173,19 +175,51 @@ def records(path_fs, path: str, start: int, end: int, size: int) -> Iterator[tup
                 at += 1
                 continue
             whole, n = [], 0
-            for x in member(window, at):
-                if isinstance(x, int):
-                    n = x
-                else:
-                    whole.append(x)
+            try:
+                for x in member(window, at):
+                    if isinstance(x, int):
+                        n = x
+                    else:
+                        whole.append(x)
+            except ValueError:
+                yield None, b""
+                at += 1
+                continue
             raw = b"".join(whole)
             head = headers(raw)
-            if head is not None:
-                body = raw[raw.index(b"\r\n\r\n") + 4 :]
-                yield head, body[: int(head.get("content-length", len(body)))]
+            if head is None:
+                yield None, b""
+            else:
+                body, length = raw[raw.index(b"\r\n\r\n") + 4 :], head.get("content-length", "")
+                short = length.isdecimal() and len(body) < int(length)
+                yield (None, b"") if short else (head, body[: int(length)] if length.isdecimal() else body)
             at += n
 
 
+def parsed(head: dict[str, str] | None, block: bytes) -> tuple:
+    """(status, page_id, url, payload_digest, payload_bytes, record_type, refers_to, payload) of a record: ok for a whole response,
+    revisit or resource, foreign for other types, damaged where it breaks off or its payload isn't the one its header names.
+    """
+    if head is None:
+        return ("damaged", *(None,) * 7)
+    kind, number = head.get("warc-type", ""), lambda x: int(x) if re.fullmatch(r"-?\d+", x or "") else None
+    fields = (number(head.get("x-page-id")), head.get("warc-target-uri"))
+    if kind not in ("response", "revisit", "resource"):
+        return ("foreign", *fields, None, None, kind, None, None)
+    http, found, payload = block.partition(b"\r\n\r\n") if kind != "resource" else (b"", b"x", block)
+    named = head.get("warc-payload-digest", "")
+    named = named[5:].upper() if named[:5].lower() == "sha1:" else None
+    length = re.search(rb"(?im)^content-length:[ \t]*(\d+)", http)
+    if kind == "revisit":
+        n = int(length[1]) if length else None
+    else:
+        n, own = len(payload), digest(payload)
+        if not found or named not in (None, own) or length and int(length[1]) != n:
+            return ("damaged", *fields, named, None, kind, None, None)
+        named = own
+    return ("ok", *fields, named, n, kind, number(head.get("x-refers-to-page-id")), payload if kind != "revisit" else b"")
+
+
 def splits(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(path, bytes, start, end): byte ranges of files (path, bytes)."""
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.col("bytes") - 1), F.lit(split_bytes).cast("long"))
@@ -193,29 +227,20 @@ def splits(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BYTES
     return cut.withColumn("end", F.least(F.col("start") + split_bytes, F.col("bytes"))).repartition(partitions(spark), "path", "start")
 
 
-def read(spark: SparkSession, files: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES, with_payload: bool = False) -> DataFrame:
-    """page_id, url, payload_digest, payload_bytes, record_type, refers_to (and payload) of all records of files.
-
-    The digest of a response is computed from the payload and must equal the header's; that of a revisit, and its
-    payload's size, are those its header names.
+def scan(spark: SparkSession, files: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES, with_payload: bool = False) -> DataFrame:
+    """status, page_id, url, payload_digest, payload_bytes, record_type, refers_to (and payload) of all records of files
+    (path, bytes), as parsed() gives them; no record stops the job.
     """
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, _ = file_system(folder)
-        whole = lambda x: int(x) if x else None
         for f in frames:
             for path, size, start, end in zip(f["path"], f["bytes"], f["start"], f["end"]):
                 out, held = [], 0
                 for head, block in records(system, path, int(start), int(end), int(size)):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    named, kind = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"]
-                    n = int(re.search(rb"(?i)content-length: *(\d+)", http)[1])
-                    if kind == "response":
-                        if digest(payload) != named or n != len(payload):
-                            raise ValueError(f"the payload of {head['warc-record-id']} in {path} is damaged")
-                    row = (whole(head.get("x-page-id")), head["warc-target-uri"], named, n, kind, whole(head.get("x-refers-to-page-id")))
-                    out.append((*row, payload) if with_payload else row)
-                    held += len(payload) if with_payload else 100
+                    row = parsed(head, block)
+                    out.append(row if with_payload else row[:-1])
+                    held += len(block) if with_payload else 100
                     if held > 8 << 20:
                         yield frame(out)
                         out, held = [], 0
@@ -223,10 +248,23 @@ def read(spark: SparkSession, files: DataFrame, folder: str, split_bytes: int =
                     yield frame(out)
 
     def frame(rows: list) -> pd.DataFrame:
-        names = [x.split()[0] for x in SCHEMA.split(", ")] + ["payload"] * with_payload
-        return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+        names = ["status", *[x.split()[0] for x in SCHEMA.split(", ")], *["payload"] * with_payload]
+        return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+
+    return splits(spark, files, split_bytes).mapInPandas(each, "status string, " + SCHEMA + ", payload binary" * with_payload)
+
+
+def read(spark: SparkSession, files: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES, with_payload: bool = False) -> DataFrame:
+    """page_id, url, payload_digest, payload_bytes, record_type, refers_to (and payload) of the whole responses, revisits and resources
+    of files. The digest of a payload is computed and must equal the header's; that of a revisit, and its payload's size,
+    are those its header names. Records of other types and damaged ones are left out; skipped() counts them.
+    """
+    return scan(spark, files, folder, split_bytes, with_payload).where("status = 'ok'").drop("status")
+
 
-    return splits(spark, files, split_bytes).mapInPandas(each, SCHEMA + ", payload binary" * with_payload)
+def skipped(spark: SparkSession, files: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """status, record_type, n: how many records read() leaves out."""
+    return scan(spark, files, folder, split_bytes).where("status <> 'ok'").groupBy("status", "record_type").agg(F.count("*").alias("n"))
 
 
 def round_trip(pages: DataFrame, scratch: Scratch, min_payload: int = 0) -> DataFrame:

@@ -66,6 +66,18 @@ def test_components(spark):
     assert got == {v: ids[want[at[v]]] for v in ids}
 
 
+def test_maybe_wanted_keeps_all_wanted(spark):
+    from faultline.llm.common import maybe_wanted
+
+    rows = spark.range(20_000).withColumn("x", F.xxhash64("id")).withColumn("fl_row", F.lit(1))
+    wanted = rows.where("id % 50 = 0").select("x")
+    got = maybe_wanted(rows, "x", wanted, Scratch(spark, "t"))
+    assert got.columns == rows.columns
+    ids = {r.id for r in got.collect()}
+    assert ids >= set(range(0, 20_000, 50)) and len(ids) < 500
+    assert maybe_wanted(rows, "x", wanted.limit(0), Scratch(spark, "t")).count() == 0
+
+
 def test_covering_masks_cover():
     masks, r = near_dedup.covering_masks(3, list(range(64)), 4), random.Random(1)
     assert len(masks) == 15
@@ -160,7 +172,7 @@ def test_line_dedup(spark, none):
     assert line_dedup.deduplicated(none, Scratch(spark, "t")).count() == 0
 
 
-def test_edit_bound_is_one(spark):
+def test_verified_lines(spark):
     r = random.Random(12)
     rows = []
     for _ in range(400):
@@ -170,9 +182,7 @@ def test_edit_bound_is_one(spark):
         b.insert(r.randrange(len(b) + 1), "new")
         rows.append((" ".join(a), " ".join(b)))
     d = spark.createDataFrame([(f"a{k}", f"b{k}", a, b) for k, (a, b) in enumerate(rows)], "a string, b string, x string, y string")
-    x, y = F.col("x"), F.col("y")
-    got = d.select(line_dedup.edits_at_most(F.split(x, " "), F.split(y, " "), F.length(y)).alias("most"), F.levenshtein(x, y).alias("edits")).collect()
-    assert all(r.most >= r.edits for r in got) and sum(r.most <= r.edits + 4 for r in got) > 100
+    x = F.col("x")
     texts = d.select(F.col("a").alias("line_id"), x.alias("norm")).union(d.select("b", "y"))
     prints = line_dedup.simhashes(texts)
     found = {r.a for r in line_dedup.verified(d.select("a", "b"), texts, prints).collect()}
@@ -217,9 +227,9 @@ def test_line_simhash_of_long_lines(spark):
     assert got == {d: line_simhash(t) for d, t, _ in rows}
 
 
-def test_best_fit_is_exact():
+def test_best_fit():
     r = random.Random(2)
-    for limit, n in ((16, 300), (64, 200), (1024, 400)):
+    for limit, n in ((16, 300), (64, 200), (64, 5000), (1024, 400), (1024, 5000)):
         sizes = sorted((min(limit, 1 + int(r.expovariate(3 / limit))) for _ in range(n)), reverse=True)
         rooms = []
         for s in sizes:  # best-fit decreasing, one by one
@@ -228,7 +238,21 @@ def test_best_fit_is_exact():
                 rooms.append(limit - s)
             else:
                 rooms[k] -= s
-        assert packing.best_fit(Counter(sizes), limit)[1] == len(rooms)
+        places, n, steps = packing.best_fit(Counter(sizes), limit)
+        assert n <= len(rooms) + (len(rooms) > 100) and steps < 8 * limit
+        # every document in a place of its own, without holes
+        rest, used = Counter(sizes), defaultdict(list)
+        for size, runs in places.items():
+            for (rank, first, offset), end in zip(runs, [r[0] for r in runs[1:]] + [rest[size]]):
+                for i in range(end - rank):
+                    used[first + i].append((offset, size))
+        assert len(used) == n and sum(map(len, used.values())) == len(sizes)
+        for row in used.values():
+            at = 0
+            for offset, size in sorted(row):
+                assert offset == at
+                at += size
+            assert at <= limit
 
 
 def test_packing(spark, odd, none):
@@ -393,6 +417,31 @@ def test_warc_magic_inside_a_member():
     assert got == [str(k) for k in range(40)]
 
 
+def test_warc_foreign_and_damaged_records(spark, tmp_path):
+    import zlib as z
+
+    def member_of(raw):
+        c = z.compressobj(6, z.DEFLATED, 31)
+        return c.compress(raw) + c.flush()
+
+    plain = lambda kind, block, more="": member_of(f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: http://f\r\n{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    whole = [warc.record(k, "http://a", b"page %d" % k, None) for k in range(3)]
+    wrong = plain("response", http + b"other", "WARC-Payload-Digest: sha1:" + warc.digest(b"it was") + "\r\n")
+    parts = [plain("warcinfo", b"software: x"), whole[0], plain("request", b"GET / HTTP/1.1\r\n\r\n"), plain("response", http + b"no digest, no length"), plain("resource", b"bare"), wrong,
+             plain("metadata", b"via: y"), member_of(b"WARC/1.0 and no more"), whole[1], whole[2][: len(whole[2]) - 20]]
+    path = str(tmp_path / "f.warc.gz")
+    with open(path, "wb") as f:
+        f.write(b"".join(parts))
+    files = spark.createDataFrame([(path, sum(map(len, parts)))], "path string, bytes long")
+    for size in (60, 1 << 20):
+        got = warc.read(spark, files, str(tmp_path), size, with_payload=True).collect()
+        assert Counter((x.page_id, x.record_type, bytes(x.payload)) for x in got) == Counter([(0, "response", b"page 0"), (1, "response", b"page 1"), (None, "response", b"no digest, no length"), (None, "resource", b"bare")])
+        assert all(x.payload_digest == warc.digest(bytes(x.payload)) and x.payload_bytes == len(x.payload) for x in got)
+        counts = {(x.status, x.record_type): x.n for x in warc.skipped(spark, files, str(tmp_path), size).collect()}
+        assert counts == {("foreign", "warcinfo"): 1, ("foreign", "request"): 1, ("foreign", "metadata"): 1, ("damaged", "response"): 1, ("damaged", None): 2}
+
+
 def test_toxicity(spark, odd, none):
     bad = ["vilewort", "grimsnark", "foulbeast"]
     r = random.Random(4)
@@ -426,6 +475,44 @@ def test_chat_linking(spark):
     assert chat.linked(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_threads_in_reply_order(spark):
+    r = random.Random(21)
+    rows, want = [], {}
+    for conv in range(25):
+        texts, parent = [], {}
+        for turn in range(r.randrange(1, 14)):
+            own = f"message {conv} number {turn} {words(4, conv * 50 + turn)}"
+            lines = []
+            if turn and r.random() < 0.75:
+                p = r.randrange(turn)
+                parent[turn] = p
+                if r.random() < 0.5:
+                    lines.append("On Monday, somebody wrote:")
+                if p in parent and r.random() < 0.5:  # the quote's own quote, one level deeper
+                    lines.append("> > " + texts[parent[p]])
+                lines.append(("> " if r.random() < 0.5 else ">") + texts[p].upper())
+            texts.append(own)
+            rows.append((conv, turn, "user", "\n".join([*lines, own])))
+
+        def walk(k, top, depth, found):
+            found.append((k, top, depth, len(found)))
+            for c in sorted(c for c in parent if parent[c] == k):
+                walk(c, top, depth + 1, found)
+            return found
+
+        for k in range(len(texts)):
+            if k not in parent:
+                for turn, top, depth, place in walk(k, k, 0, []):
+                    want[conv, turn] = (parent.get(turn), top, depth, place, texts[turn])
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.linked(df, Scratch(spark, "t"))
+    assert {(x.conv_id, x.turn): (x.reply_to, x.thread_turn, x.depth, x.place, x.text) for x in got.collect()} == want
+    lines = [(x.conv_id, x.thread_turn, x.place) for x in chat.ordered(got, 3).collect()]
+    assert lines == sorted(lines)
+    chain = spark.createDataFrame([(1, k, "user", (f"> message {k - 1} of many\n" if k else "") + f"message {k} of many") for k in range(300)], "conv_id long, turn long, role string, text string")
+    assert {x.turn: (x.depth, x.place) for x in chat.linked(chain, Scratch(spark, "t")).collect()} == {k: (k, k) for k in range(300)}
+
+
 def plain_targets(sizes):
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     w = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
@@ -463,6 +550,55 @@ def test_mixing(spark, odd, none):
     assert mixing.mix(none, Scratch(spark, "t")).count() == 0
 
 
+def plain_mix(rows, power, seed=9):
+    """Copies of each (doc_id, text, source) by the book: certain ones, then Pareto order up to the size that comes nearest."""
+    size = lambda t: len((t or "").encode().split())
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += size(t)
+    target, out = plain_targets(sizes), {}
+    for s in sizes:
+        mine = [(d, t, size(t), (size(t) ** power) if size(t) or power else 0.0) for d, t, q in rows if q == s]
+        whole = int(target[s] // sizes[s]) if sizes[s] else 0
+        need, sure = target[s] - whole * sizes[s], set()
+        while True:
+            open_ = sum(n * w for d, _, n, w in mine if d not in sure)
+            level = max(0.0, need - sum(n for d, _, n, _ in mine if d in sure)) / open_ if open_ else 0.0
+            more = {d for d, _, n, w in mine if d not in sure and level * w >= 1}
+            if not more:
+                break
+            sure |= more
+        rest, ranked = need - sum(n for d, _, n, _ in mine if d in sure), []
+        for d, t, n, w in mine:
+            if d not in sure and level * w > 0:
+                h = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), xxhash_pair(d, t))
+                u = ((h if h < 1 << 63 else h - (1 << 64)) % (1 << 50) + 0.5) / (1 << 50)
+                ranked.append((u / (1 - u) * (1 - level * w) / (level * w), d, n))
+        for d, _, _, _ in mine:
+            out[d] = whole + (d in sure)
+        taken = 0
+        for _, d, n in sorted(ranked):
+            if taken >= rest or abs(taken + n - rest) > rest - taken:
+                break
+            out[d] += 1
+            taken += n
+    return out
+
+
+def xxhash_pair(d, t):
+    h = xxhash.xxh64_intdigest(d.to_bytes(8, "little", signed=True), 42)
+    return xxhash.xxh64_intdigest(xxhash.xxh64_intdigest((t or "").encode(), 42).to_bytes(8, "little"), h)
+
+
+@pytest.mark.parametrize("power", [0.0, 0.5, 2.0])
+def test_mix_takes_the_documents_of_a_plain_one(spark, power):
+    r = random.Random(18)
+    rows = [(k, words(int(r.expovariate(1 / 60)) + 1 + 900 * (k % 97 == 0), k), r.choice(["a", "a", "a", "b", "c", "d", "e", None])) for k in range(700)]
+    got = {x.doc_id: x.copies for x in mixing.mix(docs_of(spark, rows), Scratch(spark, "t"), power=power).collect()}
+    want = plain_mix(rows, power)
+    assert got == want and len(set(got.values())) > 1
+
+
 def test_passages(spark, odd, none):
     common = words(80, 77, 100000)
     fuzzy = common.split()
