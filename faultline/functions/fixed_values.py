@@ -159,4 +159,28 @@ REFACTOR_SKIP_ENDINGS = [".png", ".webp", ".jpg", ".jpeg", ".ico", ".svg", ".jar
 INTERNAL_ROOTS = ["app", "features", "components", "lib", "types", "services", "models", "utils", "core", "domain"]
 EXTERNAL_ROOTS = ["android.", "java.", "javax.", "kotlin.", "kotlinx.", "androidx.", "react", "next", "@"]
 DB_BASES = ["Base", "Model", "RoomDatabase", "Entity"]
-IMPORT_EXTENSIONS = ["", ".ts", ".tsx", ".js", ".jsx", ".py", ".mjs", ".json", ".kt", ".java", ".kts"]
+
+# What counts as a package, import, class, function, method and table in Kotlin and Java; results hang on the
+# exact expressions
+KOTLIN_PACKAGE = r"(?m)^\s*package\s+([a-zA-Z0-9_.]+)"
+KOTLIN_IMPORT = r"^\s*import\s+([a-zA-Z0-9_.*]+)(?:\s+as\s+([a-zA-Z0-9_]+))?"
+KOTLIN_CLASS = r"(?m)^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:data|sealed|abstract|enum|open|inner)\s+)*(?:class|interface|object)\s+([a-zA-Z0-9_]+)(?:\s*<[^>]*>)?(?:\s*:\s*([^{]+))?"
+KOTLIN_FUN = r"(?m)^\s*(?:@(\w+)(?:\([^)]*\))?\s+)*fun\s+(?:<[^>]*>\s+)?([a-zA-Z0-9_]+)\s*\("
+KOTLIN_TABLE = r'@Entity\s*\(\s*tableName\s*=\s*"([^"]+)"'
+JAVA_PACKAGE = r"(?m)^\s*package\s+([a-zA-Z0-9_.]+);"
+JAVA_IMPORT = r"^\s*import\s+(?:static\s+)?([a-zA-Z0-9_.*]+);"
+JAVA_CLASS = r"(?m)^\s*(?:public|protected|private|abstract|static|final|\s)*\s*(?:class|interface|enum)\s+([a-zA-Z0-9_]+)"
+JAVA_METHOD = r"(?m)^\s*(?:public|protected|private|static|final|\s)*\s*[\w<>\[\]]+\s+([a-zA-Z0-9_]+)\s*\([^)]*\)\s*(?:throws\s+[\w,\s]+)?\s*\{"
+
+# Include statements of Gradle settings
+GRADLE_INCLUDE = r"""include\s*\(?['":]([a-zA-Z0-9_\-:]+)['"]?\)?|\binclude\s+['"]([^'"]+)['"]"""
+
+# Suffixes that an analysis counts as source
+SUPPORTED_SOURCE = [".kt", ".kts", ".java", ".ts", ".tsx", ".js", ".jsx", ".py", ".rs", ".go", ".c", ".cpp", ".cs"]
+
+# What the quality gate says of an analysis
+GATE_EXPLANATIONS = {
+    "FULL": "Complete deterministic evidence from Git diff, multi-language AST, and dependency graph topology.",
+    "DEGRADED": "Analysis quality is degraded: AST parsing or graph topology is partial; risk score derived from Git diff.",
+    "FAILED": "Core language parsing failed. Source dependency analysis and health scoring are unavailable.",
+}

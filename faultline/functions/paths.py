@@ -151,15 +151,19 @@ def is_safe_ref(ref: Column) -> Column:
     return F.coalesce((ref != "") & ~ref.contains("..") & ref.rlike(r"^[A-Za-z0-9_.~^/@{}\-]+$"), F.lit(False))
 
 
-def impacted_module(path: Column, declared: list[str] | None = None) -> Column:
-    """The architectural module a changed path belongs to, null for none; declared modules go first, in their order."""
+def impacted_module(path: Column, declared: list[str] | Column | None = None) -> Column:
+    """The architectural module a changed path belongs to, null for none; declared modules, a list or an array column, go first,
+    in their order.
+    """
     norm = F.trim(slashed(path))
     kind, seg = file_type(norm), parts(norm)
     first, second = F.get(seg, F.lit(0)), F.get(seg, F.lit(1))
     top = F.lower(first)
     out = F.when(one_of(kind, ["IDE_METADATA", "ASSET", "GENERATED", "BACKUP"]) | (F.size(seg) == 0), F.lit(None).cast("string"))
-    for m in declared or []:
-        out = out.when(norm.startswith(m + "/") | (norm == m) | norm.contains(f"/{m}/"), ":" + m.replace("/", ":"))
+    if declared is not None:
+        names = declared if isinstance(declared, Column) else F.array(*[F.lit(m) for m in declared]).cast("array<string>")
+        named = F.get(F.filter(names, lambda m: norm.startswith(F.concat(m, F.lit("/"))) | (norm == m) | norm.contains(F.concat(F.lit("/"), m, F.lit("/")))), F.lit(0))
+        out = out.when(named.isNotNull(), F.concat(F.lit(":"), F.replace(named, F.lit("/"), F.lit(":"))))
     return (
         out.when(one_of(top, V.NESTED_MODULE_DIRS) & (F.size(seg) > 1), F.concat(top, F.lit("/"), second))
         .when(one_of(top, V.MODULE_DIRS), first)

@@ -8,91 +8,116 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scope import KEY, first_of, scope, scoped
+
 HUB_EXCLUDED = ["file", "folder", "package", "repository"]
+#: Sources of one repository whose paths one task follows.
+CHUNK = 64
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes with in_degree, out_degree and degree over all edges, parallel ones counted each."""
-    ends = edges.select(F.col("source").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("target", F.lit(0), F.lit(1)))
-    d = ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+    """nodes with in_degree, out_degree and degree over all edges of their repository, parallel ones counted each."""
+    keys = scope(nodes)
+    ends = edges.select(*keys, F.col("source").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select(*keys, "target", F.lit(0), F.lit(1)))
+    d = ends.groupBy(*keys, "id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
     zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("in_degree", "out_degree")}
-    return nodes.join(d, "id", "left").withColumns(zero).withColumn("degree", F.col("in_degree") + F.col("out_degree"))
+    return nodes.join(d, [*keys, "id"], "left").withColumns(zero).withColumn("degree", F.col("in_degree") + F.col("out_degree"))
 
 
 def hubs(nodes: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
-    """The k nodes with most edges, containers left out; ties in node order."""
-    return degrees(nodes.where(~F.col("kind").isin(HUB_EXCLUDED)), edges).where("degree > 0").orderBy(F.desc("degree"), "ord").limit(k)
+    """The k nodes of each repository with most edges, containers left out; ties in node order."""
+    return first_of(degrees(nodes.where(~F.col("kind").isin(HUB_EXCLUDED)), edges).where("degree > 0"), k, F.desc("degree"), "ord")
+
+
+def _dependencies(adjacency: dict[str, list[str]], sources: list[str]) -> dict[str, float]:
+    """Brandes' dependencies of the sources on every node, summed."""
+    total: dict[str, float] = {}
+    for s in sources:
+        dist, sigma, before, order = {s: 0}, {s: 1.0}, {s: []}, []
+        queue = deque([s])
+        while queue:
+            v = queue.popleft()
+            order.append(v)
+            for w in adjacency.get(v, ()):
+                if w not in dist:
+                    dist[w], sigma[w], before[w] = dist[v] + 1, 0.0, []
+                    queue.append(w)
+                if dist[w] == dist[v] + 1:
+                    sigma[w] += sigma[v]
+                    before[w].append(v)
+        delta = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in before[w]:
+                delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
+            if w != s:
+                total[w] = total.get(w, 0.0) + delta[w]
+    return total
 
 
 def betweenness(ids: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """id, score: Brandes' betweenness over directed edges between ids, parallel edges multiplying paths, divided by
-    (n - 1)(n - 2); two nodes or fewer score 0.
+    """(repo_id,) id, score: Brandes' betweenness over directed edges between the ids of a repository, parallel edges
+    multiplying paths, divided by (n - 1)(n - 2); with two nodes or fewer the score is 0.
 
-    Sources are independent: each task accumulates its share of them over the adjacency, which it gets as a broadcast.
-    That table is one repository's graph between candidate nodes; `sources` takes a sample of them for large graphs.
+    Sources are independent: CHUNK of them at a time meet their repository's edges in one task, so repositories and sources
+    spread over all tasks, and nothing comes to the driver. A task holds one repository's graph between its ids, so that
+    is what bounds its memory; `sources` takes a sample of them for large graphs.
     """
-    spark = ids.sparkSession
-    names = [r["id"] for r in ids.select("id").orderBy("id").collect()]
-    place = {x: k for k, x in enumerate(names)}
-    inner = edges.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi")
-    out: list[list[int]] = [[] for _ in names]
-    for r in inner.select("source", "target").toLocalIterator():
-        out[place[r["source"]]].append(place[r["target"]])
-    n = len(names)
-    if n <= 2:
-        return ids.select("id", F.lit(0.0).alias("score"))
-    shared = spark.sparkContext.broadcast(out)
-
-    def part(frames):
-        adjacency, total = shared.value, {}
-        for f in frames:
-            for s in f["k"]:
-                dist, sigma, before, order = {s: 0}, {s: 1.0}, {s: []}, []
-                queue = deque([s])
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in adjacency[v]:
-                        if w not in dist:
-                            dist[w], sigma[w], before[w] = dist[v] + 1, 0.0, []
-                            queue.append(w)
-                        if dist[w] == dist[v] + 1:
-                            sigma[w] += sigma[v]
-                            before[w].append(v)
-                delta = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + delta[w]
-        if total:
-            yield pd.DataFrame({"k": list(total), "part": list(total.values())})
-
-    starts = spark.createDataFrame([(k, x) for k, x in enumerate(names)], "k long, id string")
-    if sources is not None:
-        starts = starts.join(sources.select("id"), "id", "left_semi")
-    parts = starts.select("k").repartition(max(1, min(n, spark.sparkContext.defaultParallelism))).mapInPandas(part, "k long, part double")
-    sums = parts.groupBy("k").agg(F.sum("part").alias("total"))
-    keyed = spark.createDataFrame([(k, x) for k, x in enumerate(names)], "k long, id string")
-    return keyed.join(sums, "k", "left").select("id", (F.coalesce("total", F.lit(0.0)) / ((n - 1) * (n - 2))).alias("score"))
+    if not scope(ids):
+        return betweenness(scoped(ids), scoped(edges), scoped(sources)).drop(KEY)
+    keys = [KEY]
+    own = ids.select(*keys, "id").distinct()
+    end = lambda c: own.withColumnRenamed("id", c)
+    inner = edges.select(*keys, "source", "target").join(end("source"), [*keys, "source"], "left_semi").join(end("target"), [*keys, "target"], "left_semi")
+    starts = own if sources is None else own.join(sources.select(*keys, "id"), [*keys, "id"], "left_semi")
+    # chunks by hash: as many as the repository's sources need
+    sizes = starts.groupBy(*keys).agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    by = [*keys, "chunk"]
+    rows = starts.join(sizes, keys).select(*keys, F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"), F.col("id").alias("source"), F.lit(None).cast("string").alias("target"))
+    graph = inner.join(sizes, keys).select(*keys, F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))).alias("chunk"), "source", "target")
+    schema = ", ".join([f"`{k}` {ids.schema[k].dataType.simpleString()}" for k in keys] + ["id string", "part double"])
+
+    def part(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        is_edge = g["target"].notna()
+        adjacency = g[is_edge].groupby("source")["target"].apply(list).to_dict()
+        total = _dependencies(adjacency, g["source"][~is_edge].tolist())
+        # types of their own: an empty frame's columns are taken for numbers
+        out = pd.DataFrame({"id": pd.Series(list(total), dtype=object), "part": pd.Series(list(total.values()), dtype=float)})
+        for k, v in zip(keys, key):
+            out.insert(0, k, v)
+        return out
+
+    sums = rows.unionByName(graph).groupBy(*by).applyInPandas(part, schema).groupBy(*keys, "id").agg(F.sum("part").alias("total"))
+    n = own.groupBy(*keys).agg(F.count("*").alias("n"))
+    d = own.join(sums, [*keys, "id"], "left")
+    d = d.join(n, keys)
+    score = F.when(F.col("n") > 2, F.coalesce("total", F.lit(0.0)) / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(F.lit(0.0))
+    return d.select(*keys, "id", score.alias("score"))
 
 
 def bridges(nodes: DataFrame, edges: DataFrame, k: int = 10, exact_up_to: int = 3000, sampled: int = 500) -> DataFrame:
-    """The k nodes with most betweenness among non-containers, rounded to six digits half to even; fewer than three: none.
+    """The k nodes of each repository with most betweenness among non-containers, rounded to six digits half to even; in one of
+    fewer than three such nodes none.
 
-    Above exact_up_to candidates only `sampled` sources, chosen by hash, start paths; paths still run through all.
+    Above exact_up_to candidates of a repository only `sampled` of its sources, chosen by hash, start paths; paths still
+    run through all.
     """
-    c = nodes.where(~F.col("kind").isin(HUB_EXCLUDED))
-    n = c.count()
-    if n < 3:
-        return c.select("id", "label", "ord", F.lit(0.0).alias("betweenness")).limit(0)
-    some = c.orderBy(F.xxhash64("id")).limit(min(sampled, n)) if n > exact_up_to else None
-    scored = c.join(betweenness(c.select("id"), edges, some), "id").where("score > 0")
-    return scored.select("id", "label", "ord", F.bround("score", 6).alias("betweenness")).orderBy(F.desc("betweenness"), "ord").limit(k)
+    if not scope(nodes):
+        return bridges(scoped(nodes), scoped(edges), k, exact_up_to, sampled).drop(KEY)
+    c, keys = nodes.where(~F.col("kind").isin(HUB_EXCLUDED)), [KEY]
+    n = c.groupBy(*keys).agg(F.count("*").alias("n"))
+    sized = c.join(n, keys)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("id")))
+    few = sized.where(F.col("n") > exact_up_to).withColumn("rank", rank).where(F.col("rank") <= sampled)
+    sources = sized.where(F.col("n") <= exact_up_to).select(*keys, "id").union(few.select(*keys, "id"))
+    scored = c.join(betweenness(c.select(*keys, "id"), edges, sources), [*keys, "id"]).where("score > 0")
+    return first_of(scored.select(*keys, "id", "label", "ord", F.bround("score", 6).alias("betweenness")), k, F.desc("betweenness"), "ord")
 
 
 def analyse(nodes: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
-    """Both lists in one frame: kind (hub or bridge), rank, id, value."""
-    rank = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "ord"))  # noqa: E731  over k rows
-    h = hubs(nodes, edges, k).select(F.lit("hub").alias("kind"), rank("degree").alias("rank"), "id", F.col("degree").cast("double").alias("value"))
-    return h.unionByName(bridges(nodes, edges, k).select(F.lit("bridge").alias("kind"), rank("betweenness").alias("rank"), "id", F.col("betweenness").alias("value")))
+    """Both lists in one frame: (repo_id,) kind (hub or bridge), rank, id, value."""
+    if not scope(nodes):
+        return analyse(scoped(nodes), scoped(edges), k).drop(KEY)
+    keys = [KEY]
+    rank = lambda c: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(c), "ord"))  # noqa: E731  over k rows each
+    h = hubs(nodes, edges, k).select(*keys, F.lit("hub").alias("kind"), rank("degree").alias("rank"), "id", F.col("degree").cast("double").alias("value"))
+    return h.unionByName(bridges(nodes, edges, k).select(*keys, F.lit("bridge").alias("kind"), rank("betweenness").alias("rank"), "id", F.col("betweenness").alias("value")))

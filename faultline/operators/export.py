@@ -94,11 +94,61 @@ def joined(values: Column) -> Column:
     return F.array_join(values, "; ")
 
 
+# Columns of the CSV sets and the row that stands for no factors
+RISK_FACTOR_COLUMNS = ["id", "rule", "name", "category", "points", "raw_points", "evidence", "evidence_ids", "affected_files", "threshold", "recommendation", "recommendation_type"]
+NO_FACTOR = ["N/A", "none", "No risk factors", "general", "0", "0.0", "No scoring rule fired", "", "", "", "", ""]
+CHANGED_FILE_COLUMNS = ["index", "file_path", "change_type", "language", "module", "risk_signals", "test_status", "test_change_status"]
+IMPACTED_FILE_COLUMNS = ["index", "module_or_file", "relationship", "edge_type", "reason", "depth"]
+MODULE_IMPACT = ["MODULE_IMPACT", "MODULE_BOUNDARY", "Architectural module in blast radius", "1"]
+DEPENDENCY_COLUMNS = ["index", "source", "target", "relationship", "edge_type", "depth", "reason"]
+TEST_GAP_COLUMNS = ["index", "category", "title", "description", "recommendation", "affected_files", "status"]
+
+
+def _text_columns(df: DataFrame, names: list[str], order: str, index: str | None = "index") -> DataFrame:
+    """analysis_id, ord and the named columns as text, lists joined, absent and null ones empty; `index` counts from 1 by order."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+    text = lambda c: joined(F.col(c)) if kinds[c] == "array" else F.col(c).cast("string")
+    k = F.row_number().over(Window.partitionBy("analysis_id").orderBy(order))
+    cell = lambda c: k.cast("string") if c == index else F.coalesce(text(c), F.lit("")) if c in kinds else F.lit("")
+    return df.select("analysis_id", k.alias("ord"), *[cell(c).alias(c) for c in names])
+
+
+def csv_sets(analyses: DataFrame, factors: DataFrame, files: DataFrame, paths: DataFrame, findings: DataFrame, metrics: DataFrame) -> dict[str, DataFrame]:
+    """The six data sets of the CSV export by name, for analyses (analysis_id, impacted_modules), each with analysis_id and ord:
+    an analysis without factors has one row that says so, one without paths the modules it touches as impacted files.
+    """
+    f = factors.withColumnsRenamed({"signal": "rule", "description": "evidence", "file_paths": "affected_files"})
+    risk = _text_columns(f, RISK_FACTOR_COLUMNS, "rank", None)
+    risk = risk.withColumn("id", F.format_string("RF-%03d", "ord"))
+    bare = analyses.select("analysis_id").join(factors.select("analysis_id"), "analysis_id", "left_anti")
+    risk = risk.unionByName(bare.select("analysis_id", F.lit(1).alias("ord"), *[F.lit(v).alias(c) for c, v in zip(RISK_FACTOR_COLUMNS, NO_FACTOR)]))
+    changed = _text_columns(files.withColumnRenamed("path", "file_path"), CHANGED_FILE_COLUMNS, "ord")
+    by = paths.withColumn("by", F.struct("depth", "file_or_module"))
+    impacted = _text_columns(by.withColumnRenamed("file_or_module", "module_or_file"), IMPACTED_FILE_COLUMNS, "by")
+    alone = analyses.join(paths.select("analysis_id"), "analysis_id", "left_anti").select("analysis_id", F.posexplode("impacted_modules").alias("k", "module"))
+    kind, edge, reason, depth = (F.lit(v) for v in MODULE_IMPACT)
+    index = F.col("k") + 1
+    impacted = impacted.unionByName(alone.select("analysis_id", index.alias("ord"), index.cast("string").alias("index"), F.col("module").alias("module_or_file"), kind.alias("relationship"), edge.alias("edge_type"), reason.alias("reason"), depth.alias("depth")))
+    target = F.col("file_or_module") if "target" not in paths.columns else F.coalesce(F.nullif("target", F.lit("")), "file_or_module")
+    dependencies = _text_columns(by.withColumn("target", target), DEPENDENCY_COLUMNS, "by")
+    gaps = _text_columns(findings.withColumn("by", F.lit(0)) if "ord" not in findings.columns else findings.withColumn("by", F.col("ord")), TEST_GAP_COLUMNS, "by")
+    values = _text_columns(metrics.withColumn("by", F.lit(0)) if "ord" not in metrics.columns else metrics.withColumn("by", F.col("ord")), ["metric", "value"], "by", None)
+    return {"risk_factors": risk, "changed_files": changed, "impacted_files": impacted, "dependencies": dependencies, "test_gaps": gaps, "repository_metrics": values}
+
+
 def write_csv(tables: dict[str, DataFrame], folder: str) -> None:
-    """Each table as CSV with a header under folder/name; lists joined by '; '."""
+    """Each table as CSV under folder/name, one folder an analysis and in it one file: a header, lists joined by '; ', quotes
+    doubled, lines ended by CR LF.
+    """
     for name, df in tables.items():
-        flat = [joined(F.col(f.name)).alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in df.schema]
-        df.select(*flat).write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(f"{folder}/{name}")
+        flat = [joined(F.col(f.name)).alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in df.schema if f.name != "ord"]
+        d = df.select(*flat, *(["ord"] if "ord" in df.columns else []))
+        if {"analysis_id", "ord"} <= set(df.columns):
+            d = d.repartition("analysis_id").sortWithinPartitions("analysis_id", "ord").drop("ord")
+            writer = d.write.partitionBy("analysis_id")
+        else:
+            writer = d.write
+        writer.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("escape", '"').option("emptyValue", "").csv(f"{folder}/{name}")
 
 
 def write_json(model: DataFrame, folder: str) -> None:

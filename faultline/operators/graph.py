@@ -1,7 +1,7 @@
 """Dependency graphs from parsed files: nodes, edges, import resolution, fan metrics, quality counters.
 
 files: repo_id, ord, file_path, language, package_name, imports, defined_classes, class_symbols, function_symbols,
-api_routes, package_deps, framework_signals (nested columns as in schemas.PARSED_FILE).
+api_routes, package_deps, framework_signals (as parsers.parse gives them).
 """
 
 from __future__ import annotations
@@ -77,9 +77,9 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     by_tail = dotted.join(tail, ["repo_id", "tail"]).select(*key, F.lit(3).alias("rung"), "rank", "path")
     # a fragment of a path ends where a segment or its extension ends
     heads = tail.select("repo_id", "path", F.explode(F.expr("transform(sequence(1, size(split(tail, '/'))), n -> array_join(slice(split(tail, '/'), 1, n), '/'))")).alias("frag"))
-    frags = heads.select("repo_id", "path", "frag").union(heads.select("repo_id", "path", F.regexp_replace("frag", r"\.[^./]+$", ""))).distinct()
+    frags = heads.select("repo_id", "path", "frag").union(heads.select("repo_id", "path", F.regexp_replace("frag", r"\.[^./]+$", ""))).groupBy("repo_id", "frag").agg(F.min("path").alias("path"))
     by_frag = far.select(*key, F.replace("src", F.lit("."), F.lit("/")).alias("frag")).join(frags, ["repo_id", "frag"]).select(*key, F.lit(4).alias("rung"), F.lit(0).alias("rank"), "path")
-    stems = f.select("repo_id", F.col("file_path").alias("path"), F.get(F.split(F.element_at(seg, -1), r"\."), F.lit(0)).alias("stem"))
+    stems = f.select("repo_id", F.col("file_path").alias("path"), F.get(F.split(F.element_at(seg, -1), r"\."), F.lit(0)).alias("stem")).groupBy("repo_id", "stem").agg(F.min("path").alias("path"))
     plain = far.where("src NOT LIKE 'android.%' AND src NOT LIKE 'java.%' AND src NOT LIKE 'androidx.%'")
     asked = plain.select(*key, F.element_at(F.split(F.element_at(F.split("src", r"\."), -1), "/"), -1).alias("stem")).where("length(stem) >= 3")
     by_stem = asked.join(stems, ["repo_id", "stem"]).select(*key, F.lit(5).alias("rung"), F.lit(0).alias("rank"), "path")
@@ -153,16 +153,21 @@ def is_database(bases: Column, flag: Column) -> Column:
     return F.coalesce(flag, F.lit(False)) | F.coalesce(F.exists(bases, lambda b: b.isin(V.DB_BASES) | F.lower(b).contains("model")), F.lit(False))
 
 
-def knowledge_graph(files: DataFrame, manifest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def knowledge_graph(files: DataFrame, declared: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of parsed files without vendor files. Nodes are one row an id: files, symbols and routes as last
-    defined, containers, bases, calls and packages as first met. Edges are a multigraph.
+    defined, containers, bases, calls and packages as first met. Edges are a multigraph. Files that a repository's manifests and package files
+    declare as entry points (declared: repo_id, classes, packages) have that role.
     """
     f = files.where(~P.is_generated_or_vendor(F.col("file_path")))
+    entry = (None, None)
+    if declared is not None:
+        f = f.join(declared.select("repo_id", "classes", "packages"), "repo_id", "left")
+        entry = (F.col("classes"), F.col("packages"))
     seg = F.split("file_path", "/")
     nested = F.size(seg) > 1
     f = f.withColumns({
         "module": F.when(nested, F.get(seg, F.lit(0))).otherwise("root"), "folder": F.when(nested, F.array_join(F.slice(seg, F.lit(1), F.size(seg) - 1), "/")).otherwise("."),
-        "file_id": F.concat(F.lit("file:"), "file_path"), "role": P.file_role(F.col("file_path"), F.col("framework_signals")),
+        "file_id": F.concat(F.lit("file:"), "file_path"), "role": P.file_role(F.col("file_path"), F.col("framework_signals"), *entry),
     })
     none = F.lit(None).cast("string")
 
@@ -224,6 +229,15 @@ def edge_type_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy(kind.alias("edge_type")).agg(F.count("*").alias("n"))
 
 
+def totals(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """repo_id and how many parsed files, classes, functions and edges of the graph it has."""
+    size = lambda c: F.coalesce(F.size(F.col(c)), F.lit(0))
+    f = files.where(~P.is_generated_or_vendor(F.col("file_path")))
+    per = f.groupBy("repo_id").agg(F.count("*").alias("total_files"), F.sum(size("class_symbols")).alias("total_classes"), F.sum(size("function_symbols")).alias("total_functions"))
+    e = edges.groupBy("repo_id").agg(F.count("*").alias("total_dependencies"))
+    return per.join(e, "repo_id", "left").withColumn("total_dependencies", F.coalesce("total_dependencies", F.lit(0)))
+
+
 def discovered_modules(nodes: DataFrame) -> DataFrame:
     """Per module: nodes, summed fan_out, the first node's kind."""
     return nodes.where("module IS NOT NULL").groupBy("module").agg(F.count("*").alias("n_nodes"), F.sum("fan_out").alias("fan_out"), F.min_by("kind", "ord").alias("kind"))

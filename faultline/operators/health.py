@@ -8,58 +8,66 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
 from ..plans.durable import keep
+from .scope import KEY, first_of, scope, scoped
 
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node of it) of every node of edges (source, target) that lies on a cycle.
+    """(repo_id,) node, component (the smallest node of it) of every node of edges (source, target) that lies on a cycle.
 
     Nodes without an edge in or out are trimmed until none is left; then colours (the smallest node that reaches a
     node) are spread, and what reaches its colour's node backwards within the colour is a component; repeat on the rest.
     """
-    e = keep(edges.where("source <> target").select("source", "target").distinct())
+    keys = scope(edges)
+    e = keep(edges.where("source <> target").select(*keys, "source", "target").distinct())
     done = None
     while True:
-        while True:
-            n = e.count()
-            e2 = e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
-            e = keep(e2.select("source", "target"))
-            if e.count() == n:
+        n = e.count()
+        while n:
+            has_in, has_out = e.select(*keys, F.col("target").alias("source")).distinct(), e.select(*keys, F.col("source").alias("target")).distinct()
+            e = keep(e.join(has_in, [*keys, "source"], "left_semi").join(has_out, [*keys, "target"], "left_semi").select(*keys, "source", "target"))
+            m = e.count()
+            if m == n:
                 break
+            n = m
         if not n:
-            return done if done is not None else e.select(F.col("source").alias("node"), F.col("target").alias("component"))
-        colour = keep(e.select(F.col("source").alias("node")).union(e.select("target")).distinct().withColumn("colour", F.col("node")))
+            return done if done is not None else e.select(*keys, F.col("source").alias("node"), F.col("target").alias("component"))
+        colour = keep(e.select(*keys, F.col("source").alias("node")).union(e.select(*keys, "target")).distinct().withColumn("colour", F.col("node")))
         while True:
-            low = e.join(colour, e["source"] == colour["node"]).groupBy(F.col("target").alias("node")).agg(F.min("colour").alias("c"))
-            new = keep(colour.join(low, "node", "left").select("node", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.coalesce("c", "colour") < F.col("colour")).alias("moved")))
+            low = e.join(colour.withColumnRenamed("node", "source"), [*keys, "source"]).groupBy(*keys, F.col("target").alias("node")).agg(F.min("colour").alias("c"))
+            new = keep(colour.join(low, [*keys, "node"], "left").select(*keys, "node", F.least("colour", F.coalesce("c", "colour")).alias("colour"), (F.coalesce("c", "colour") < F.col("colour")).alias("moved")))
             moved = not new.where("moved").isEmpty()
             colour = new.drop("moved")
             if not moved:
                 break
-        inner = e.join(colour.select(F.col("node").alias("source"), F.col("colour").alias("cs")), "source").join(colour.select(F.col("node").alias("target"), F.col("colour").alias("ct")), "target").where("cs = ct")
-        inner = keep(inner.select("source", "target", F.col("cs").alias("colour")))
+        ends = [colour.select(*keys, F.col("node").alias(c), F.col("colour").alias(k)) for c, k in (("source", "colour"), ("target", "ct"))]
+        inner = keep(e.join(ends[0], [*keys, "source"]).join(ends[1], [*keys, "target"]).where("colour = ct").select(*keys, "source", "target", "colour"))
         hit = keep(colour.where("node = colour"))
         front = hit
         while True:
-            front = inner.join(front.select(F.col("node").alias("target"), "colour"), ["target", "colour"]).select(F.col("source").alias("node"), "colour").distinct().join(hit, ["node", "colour"], "left_anti")
-            front = keep(front)
+            back = inner.join(front.withColumnRenamed("node", "target"), [*keys, "target", "colour"]).select(*keys, F.col("source").alias("node"), "colour").distinct()
+            front = keep(back.join(hit, [*keys, "node", "colour"], "left_anti"))
             if front.isEmpty():
                 break
             hit = keep(hit.unionByName(front))
-        sized = hit.groupBy("colour").agg(F.count("*").alias("m")).where("m > 1")
-        part = hit.join(sized, "colour").select("node", F.col("colour").alias("component"))
+        sized = hit.groupBy(*keys, "colour").agg(F.count("*").alias("m")).where("m > 1")
+        part = hit.join(sized, [*keys, "colour"]).select(*keys, "node", F.col("colour").alias("component"))
         done = keep(part if done is None else done.unionByName(part))
-        rest = hit.select(F.col("node").alias("n"))
-        e = keep(e.join(rest, e["source"] == rest["n"], "left_anti").join(rest, e["target"] == rest["n"], "left_anti"))
+        settled = lambda c: hit.select(*keys, F.col("node").alias(c))  # noqa: B023, E731
+        e = keep(e.join(settled("source"), [*keys, "source"], "left_anti").join(settled("target"), [*keys, "target"], "left_anti").select(*keys, "source", "target"))
 
 
 def cycles(edges: DataFrame, order: DataFrame, limit: int = 15) -> DataFrame:
-    """repo-wide import cycles (nodes in walk order, the first repeated at the end), at most `limit`: within each strongly
-    connected component a depth-first walk in file order, neighbours sorted, reports every back edge. order: node, ord.
+    """(repo_id,) cycle: a repository's import cycles (nodes in walk order, the first repeated at the end), at most `limit`: within
+    each strongly connected component a depth-first walk in file order, neighbours sorted, reports every back edge.
+    order: (repo_id,) node, ord. A component meets in one task; it lies within one repository.
     """
+    keys = scope(edges)
     parts = strongly_connected(edges)
-    inner = edges.where("source <> target").select("source", "target").distinct().join(parts.select(F.col("node").alias("source"), "component"), "source").join(parts.select(F.col("node").alias("target"), F.col("component").alias("c2")), "target").where("component = c2")
-    inner = inner.join(order.select(F.col("node").alias("source"), "ord"), "source").select("component", "source", "target", "ord")
+    inner = edges.where("source <> target").select(*keys, "source", "target").distinct()
+    inner = inner.join(parts.select(*keys, F.col("node").alias("source"), "component"), [*keys, "source"]).join(parts.select(*keys, F.col("node").alias("target"), F.col("component").alias("c2")), [*keys, "target"]).where("component = c2")
+    inner = inner.join(order.select(*keys, F.col("node").alias("source"), "ord"), [*keys, "source"]).select(*keys, "component", "source", "target", "ord")
 
     def walk(g: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list[str]] = {s: sorted(x) for s, x in g.groupby("source")["target"]}
@@ -82,11 +90,13 @@ def cycles(edges: DataFrame, order: DataFrame, limit: int = 15) -> DataFrame:
                     on[nxt] = len(path)
                     path.append(nxt)
                     stack.append(iter(out.get(nxt, ())))
-        first = int(g["ord"].min())
-        return pd.DataFrame({"first": first, "k": range(len(found)), "cycle": found})
+        kept = found[:limit]
+        out_rows = pd.DataFrame({"first": int(g["ord"].min()), "k": range(len(kept)), "cycle": pd.Series(kept, dtype=object)})
+        return out_rows.assign(**{k: g[k].iloc[0] for k in keys})
 
-    every = inner.groupBy("component").applyInPandas(walk, "first long, k int, cycle array<string>")
-    return every.orderBy("first", "k").limit(limit).select("cycle")
+    schema = "first long, k int, cycle array<string>" + "".join(f", `{k}` {edges.schema[k].dataType.simpleString()}" for k in keys)
+    every = inner.groupBy(*keys, "component").applyInPandas(walk, schema)
+    return first_of(every, limit, "first", "k").select(*keys, "cycle")
 
 
 def orphans(files: DataFrame) -> DataFrame:
@@ -96,8 +106,8 @@ def orphans(files: DataFrame) -> DataFrame:
 
 
 def top_fan(files: DataFrame, column: str, k: int = 10) -> DataFrame:
-    """The first k files by a fan column, ties in file order; zeros among them drop out after the cut."""
-    return files.orderBy(F.desc(column), "ord").limit(k).where(F.col(column) > 0)
+    """The first k files of each repository by a fan column, ties in file order; zeros among them drop out after the cut."""
+    return first_of(files, k, F.desc(column), "ord").where(F.col(column) > 0)
 
 
 def god_classes(classes: DataFrame, least: int = 8) -> DataFrame:
@@ -107,15 +117,19 @@ def god_classes(classes: DataFrame, least: int = 8) -> DataFrame:
 
 
 def test_gaps(files: DataFrame, limit: int = 25) -> DataFrame:
-    """Of the first `limit` source and route files (after orphans left), those whose stem no test path contains.
+    """Of the first `limit` source and route files of each repository (after orphans left), those whose stem no test path contains.
 
-    At most `limit` stems are compared with the test paths; the stems are the small side by definition.
+    A repository's test paths meet its stems, `limit` at most.
     """
-    sources = files.where(F.col("role_after").isin("SOURCE_MODULE", "ROUTE")).orderBy("ord").limit(limit)
-    s = sources.select("path", "ord", F.lower(F.get(F.split(F.element_at(F.split("path", "/"), -1), r"\."), F.lit(0))).alias("stem"))
-    tests = files.where("role_after = 'TEST'").select(F.lower("path").alias("t"))
-    covered = tests.join(F.broadcast(s.select("stem").distinct()), F.col("t").contains(F.col("stem"))).select("stem").distinct()
-    return s.join(covered, "stem", "left_anti").select("path", "ord")
+    if not scope(files):
+        return test_gaps(scoped(files), limit).drop(KEY)
+    keys = [KEY]
+    sources = first_of(files.where(F.col("role_after").isin("SOURCE_MODULE", "ROUTE")), limit, "ord")
+    s = sources.select(*keys, "path", "ord", F.lower(F.get(F.split(F.element_at(F.split("path", "/"), -1), r"\."), F.lit(0))).alias("stem"))
+    tests = files.where("role_after = 'TEST'").select(*keys, F.lower("path").alias("t"))
+    stems = s.groupBy(*keys).agg(F.collect_set("stem").alias("stems"))  # at most `limit` a repository
+    covered = tests.join(stems, keys).select(*keys, F.explode(F.filter("stems", lambda x: F.col("t").contains(x))).alias("stem")).distinct()
+    return s.join(covered, [*keys, "stem"], "left_anti").select(*keys, "path", "ord")
 
 
 def category_scores(cycles_: Column, gods: Column, fan_out: Column, gaps: Column, lone: Column) -> dict[str, Column]:
@@ -200,10 +214,16 @@ def quality_gate(inputs: DataFrame) -> DataFrame:
 
 
 def gated(scored: DataFrame, gate: DataFrame) -> DataFrame:
-    """Scores with the gate's completeness in place of their own and a description that says how good the evidence is."""
+    """Scores with the gate's completeness in place of their own and, where the evidence is not full, a description that says
+    how good it is.
+    """
     g = gate.select("analysis_id", F.col("evidence_completeness").alias("g"), "analysis_quality")
     d = scored.join(g, "analysis_id", "left").withColumn("evidence_completeness", F.coalesce("g", "evidence_completeness"))
-    return d.withColumn("confidence", F.col("evidence_completeness")).drop("g")
+    why = F.lit(None).cast("string")
+    for quality, text in V.GATE_EXPLANATIONS.items():
+        why = F.when(F.col("analysis_quality") == quality, F.lit(text)).otherwise(why)
+    said = F.format_string("Risk score: %d/100 (%s) \u00b7 Analysis Quality: %s (%d%% evidence completeness) \u2014 %s", "score", F.upper("level"), "analysis_quality", F.bround(F.col("evidence_completeness") * 100).cast("int"), why)
+    return d.withColumns({"confidence": F.col("evidence_completeness"), "score_description": F.when(F.col("analysis_quality") != "FULL", said)}).drop("g")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

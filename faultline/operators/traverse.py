@@ -1,6 +1,7 @@
 """Blast radius: one level-synchronous reverse search with presets, call flows and folder reach.
 
-nodes: id, label, kind, path, ord; edges: source, target, relationship, edge_type, ord (a multigraph).
+nodes: id, label, kind, path, ord; edges: source, target, relationship, edge_type, ord (a multigraph). Where frames have a
+repo_id too, ids need to be unique within a repository only, and every search, join and limit is one repository's.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..plans.durable import keep
+from .scope import first_of, scope
 
 # Edge and directory filters of the presets
 IMPACT_RELATIONS = ["IMPORTS", "CALLS", "DEPENDS_ON", "USES", "INHERITS", "IMPLEMENTS"]
@@ -66,32 +68,33 @@ def search(edges: DataFrame, seeds: DataFrame, depth: int | None, nodes: DataFra
     Order within a level is the lexicographic order of the edges' ord along the trail, so no window over a key is
     needed. Every level is one join with the edges and one with what has been seen, written to the shared folder.
     """
-    back = edges.select(F.col("target").alias("at"), F.col("source").alias("next"), F.col("ord").alias("e_ord"))
+    keys = scope(edges)
+    back = edges.select(*keys, F.col("target").alias("at"), F.col("source").alias("next"), F.col("ord").alias("e_ord"))
     marks = None
     if blocked is not None:
-        marks = nodes.where(blocked).select(F.col("id").alias("node"), F.lit(True).alias("blocked")).distinct()
+        marks = nodes.where(blocked).select(*keys, F.col("id").alias("node"), F.lit(True).alias("blocked")).distinct()
 
     def marked(df: DataFrame) -> DataFrame:
         if marks is None:
             return df.withColumn("blocked", F.lit(False))
-        return df.join(marks, "node", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
+        return df.join(marks, [*keys, "node"], "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
 
-    first = seeds.groupBy("key", "node").agg(F.min("ord").alias("o"))
-    now = first.select("key", "node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.array("node").alias("trail"), F.array(F.col("o").cast("long")).alias("rank"))
+    first = seeds.groupBy(*keys, "key", "node").agg(F.min("ord").alias("o"))
+    now = first.select(*keys, "key", "node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.array("node").alias("trail"), F.array(F.col("o").cast("long")).alias("rank"))
     levels, n = [keep(marked(now))], 0
-    seen = levels[0].select("key", "node")
+    seen = levels[0].select(*keys, "key", "node")
     while depth is None or n < depth:
         n += 1
-        open_ = levels[-1].where("NOT blocked").select("key", F.col("node").alias("at"), "trail", "rank")
-        step = open_.join(back, "at").select("key", F.col("next").alias("node"), F.struct(F.concat("rank", F.array(F.col("e_ord").cast("long"))).alias("rank"), F.col("at").alias("parent"), "trail").alias("x"))
-        step = step.join(seen, ["key", "node"], "left_anti")
-        best = step.groupBy("key", "node").agg(F.min("x").alias("x"))
-        new = best.select("key", "node", F.lit(n).alias("depth"), F.col("x.parent").alias("parent"), F.concat("x.trail", F.array("node")).alias("trail"), F.col("x.rank").alias("rank"))
+        open_ = levels[-1].where("NOT blocked").select(*keys, "key", F.col("node").alias("at"), "trail", "rank")
+        step = open_.join(back, [*keys, "at"]).select(*keys, "key", F.col("next").alias("node"), F.struct(F.concat("rank", F.array(F.col("e_ord").cast("long"))).alias("rank"), F.col("at").alias("parent"), "trail").alias("x"))
+        step = step.join(seen, [*keys, "key", "node"], "left_anti")
+        best = step.groupBy(*keys, "key", "node").agg(F.min("x").alias("x"))
+        new = best.select(*keys, "key", "node", F.lit(n).alias("depth"), F.col("x.parent").alias("parent"), F.concat("x.trail", F.array("node")).alias("trail"), F.col("x.rank").alias("rank"))
         new = keep(marked(new))
         if new.isEmpty():
             break
         levels.append(new)
-        seen = seen.union(new.select("key", "node"))
+        seen = seen.union(new.select(*keys, "key", "node"))
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)
@@ -108,19 +111,20 @@ def seeds_of(changed: DataFrame, nodes: DataFrame) -> DataFrame:
     """key, node, ord of changed files (key, path, ord): exact id, else file:path, else the first node whose path is the
     changed one or ends with /path. Suffixes of node paths are exploded, so all three are equal joins.
     """
-    ids = nodes.select(F.col("id").alias("node"), F.lit(0).alias("rung"), F.col("id").alias("k"), F.col("ord").alias("n_ord"))
+    keys = scope(nodes)
+    ids = nodes.select(*keys, F.col("id").alias("node"), F.lit(0).alias("rung"), F.col("id").alias("k"), F.col("ord").alias("n_ord"))
     seg = F.split("path", "/")
     tails = F.transform(F.sequence(F.lit(1), F.size(seg)), lambda i: F.array_join(F.slice(seg, i, F.size(seg)), "/"))
-    by_tail = nodes.where("path IS NOT NULL AND path <> ''").select(F.col("id").alias("node"), F.lit(2).alias("rung"), F.explode(tails).alias("k"), F.col("ord").alias("n_ord"))
-    by_file = ids.where(F.col("k").startswith("file:")).select("node", F.lit(1).alias("rung"), F.substring("k", F.lit(6), F.length("k")).alias("k"), "n_ord")
-    keys = ids.unionByName(by_file).unionByName(by_tail)
-    hit = changed.join(keys, changed["path"] == keys["k"]).groupBy("key", "path", "ord").agg(F.min(F.struct("rung", "n_ord", "node")).alias("x"))
-    return hit.select("key", F.col("x.node").alias("node"), "ord")
+    by_tail = nodes.where("path IS NOT NULL AND path <> ''").select(*keys, F.col("id").alias("node"), F.lit(2).alias("rung"), F.explode(tails).alias("k"), F.col("ord").alias("n_ord"))
+    by_file = ids.where(F.col("k").startswith("file:")).select(*keys, "node", F.lit(1).alias("rung"), F.substring("k", F.lit(6), F.length("k")).alias("k"), "n_ord")
+    names = ids.unionByName(by_file).unionByName(by_tail).withColumnRenamed("k", "path")
+    hit = changed.join(names, [*keys, "path"]).groupBy(*keys, "key", "path", "ord").agg(F.min(F.struct("rung", "n_ord", "node")).alias("x"))
+    return hit.select(*keys, "key", F.col("x.node").alias("node"), "ord")
 
 
 def blast_counts(found: DataFrame) -> DataFrame:
     """key and how many nodes lie at depth 1, deeper, and in all (seeds not counted)."""
-    return found.groupBy("key").agg(
+    return found.groupBy(*scope(found), "key").agg(
         F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("transitive"),
         F.count_if(F.col("depth") >= 1).alias("total"), F.max("depth").alias("deepest"),
     )
@@ -128,48 +132,51 @@ def blast_counts(found: DataFrame) -> DataFrame:
 
 def affected(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """key and the labels of APIs and database models and the test paths among what was found, sorted."""
-    d = found.join(nodes.withColumnRenamed("id", "node"), "node")
+    keys = scope(nodes)
+    d = found.join(nodes.withColumnRenamed("id", "node"), [*keys, "node"])
     some = lambda test, col: F.array_sort(F.array_compact(F.collect_set(F.when(test, F.col(col)))))
     file_like = F.col("kind").isin(["file", "module"])
-    return d.groupBy("key").agg(
+    return d.groupBy(*keys, "key").agg(
         some(F.col("kind") == "api", "label").alias("apis"), some(F.col("kind") == "database", "label").alias("db_models"), some(file_like & P.is_test_path(F.col("path")), "path").alias("tests"),
     )
 
 
 def in_blast(candidates: DataFrame, found: DataFrame, limit: int = 5) -> DataFrame:
     """The first `limit` candidates (id, ord), such as hubs or bridges, that lie in each key's blast set."""
-    hit = found.select("key", F.col("node").alias("id")).join(candidates.select("id", "ord"), "id")
-    lists = hit.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct("ord", "id"))), 1, limit).alias("x"))
-    return lists.select("key", F.transform("x", lambda s: s["id"]).alias("ids"))
+    keys = scope(candidates)
+    hit = found.select(*keys, "key", F.col("node").alias("id")).join(candidates.select(*keys, "id", "ord"), [*keys, "id"])
+    lists = hit.groupBy(*keys, "key").agg(F.slice(F.array_sort(F.collect_list(F.struct("ord", "id"))), 1, limit).alias("x"))
+    return lists.select(*keys, "key", F.transform("x", lambda s: s["id"]).alias("ids"))
 
 
 def export_paths(nodes: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
     """key, depth, file_or_module, relationship: changed files at depth 0 and what depends on them, by (depth, name)."""
-    ids = nodes.where(F.col("kind").isin(["file", "module"]) & F.col("path").isNotNull()).groupBy("path").agg(F.max_by("id", "ord").alias("node"))
-    start = changed.join(ids, "path", "left").select("key", F.coalesce("node", F.concat(F.lit("file:"), "path")).alias("node"), "ord")
+    keys = scope(nodes)
+    ids = nodes.where(F.col("kind").isin(["file", "module"]) & F.col("path").isNotNull()).groupBy(*keys, "path").agg(F.max_by("id", "ord").alias("node"))
+    start = changed.join(ids, [*keys, "path"], "left").select(*keys, "key", F.coalesce("node", F.concat(F.lit("file:"), "path")).alias("node"), "ord")
     found = blast("export", nodes, edges, start).where("depth > 0")
-    named = found.join(nodes.withColumnRenamed("id", "node"), "node", "left").select("key", "depth", F.coalesce(F.nullif(F.col("path"), F.lit("")), "label", "node").alias("file_or_module"))
-    fresh = named.join(changed.select("key", F.col("path").alias("file_or_module")), ["key", "file_or_module"], "left_anti").groupBy("key", "file_or_module").agg(F.min("depth").alias("depth"))
+    named = found.join(nodes.withColumnRenamed("id", "node"), [*keys, "node"], "left").select(*keys, "key", "depth", F.coalesce(F.nullif(F.col("path"), F.lit("")), "label", "node").alias("file_or_module"))
+    fresh = named.join(changed.select(*keys, "key", F.col("path").alias("file_or_module")), [*keys, "key", "file_or_module"], "left_anti").groupBy(*keys, "key", "file_or_module").agg(F.min("depth").alias("depth"))
     rel = F.when(F.col("depth") == 1, "IMPORTS").otherwise("DEPENDS_ON")
-    zero = changed.select("key", F.lit(0).alias("depth"), F.col("path").alias("file_or_module"), F.lit("MODIFIED").alias("relationship"))
-    return zero.unionByName(fresh.select("key", "depth", "file_or_module", rel.alias("relationship")))
+    zero = changed.select(*keys, "key", F.lit(0).alias("depth"), F.col("path").alias("file_or_module"), F.lit("MODIFIED").alias("relationship"))
+    return zero.unionByName(fresh.select(*keys, "key", "depth", "file_or_module", rel.alias("relationship")))
 
 
 def call_flows(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: int = 4, limit: int = 20) -> DataFrame:
-    """root, labels in order of depth, distinct paths of who calls each of the first `limit` roots (id, ord) over CALLS.
-
-    Roots are cut before those without a node drop out; flows of one step are left out.
+    """root, labels in order of depth, distinct paths of who calls each of the first `limit` roots (id, ord) of a repository over
+    CALLS. Roots are cut before those without a node drop out; flows of one step are left out.
     """
-    kept = roots.orderBy("ord").limit(limit).join(nodes.select("id"), "id", "left_semi")
-    found = search(edges.where("relationship = 'CALLS'"), kept.select(F.col("id").alias("key"), F.col("id").alias("node"), "ord"), depth)
-    steps = found.join(nodes.select(F.col("id").alias("node"), "label", "path", F.col("ord").alias("n_ord")), "node")
-    lists = steps.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("depth", "n_ord", "label"))).alias("x"), F.array_sort(F.array_compact(F.collect_set("path"))).alias("paths"), F.count("*").alias("n"))
-    return lists.where("n > 1").select(F.col("key").alias("root"), F.transform("x", lambda s: s["label"]).alias("labels"), "paths", "n")
+    keys = scope(nodes)
+    kept = first_of(roots, limit, "ord").join(nodes.select(*keys, "id"), [*keys, "id"], "left_semi")
+    found = search(edges.where("relationship = 'CALLS'"), kept.select(*keys, F.col("id").alias("key"), F.col("id").alias("node"), "ord"), depth)
+    steps = found.join(nodes.select(*keys, F.col("id").alias("node"), "label", "path", F.col("ord").alias("n_ord")), [*keys, "node"])
+    lists = steps.groupBy(*keys, "key").agg(F.array_sort(F.collect_list(F.struct("depth", "n_ord", "label"))).alias("x"), F.array_sort(F.array_compact(F.collect_set("path"))).alias("paths"), F.count("*").alias("n"))
+    return lists.where("n > 1").select(*keys, F.col("key").alias("root"), F.transform("x", lambda s: s["label"]).alias("labels"), "paths", "n")
 
 
 def function_ids(nodes: DataFrame, names: DataFrame) -> DataFrame:
     """Nodes of functions and classes whose label is one of names (label)."""
-    return nodes.where(F.col("kind").isin(["function", "class"])).join(names.select("label").distinct(), "label", "left_semi")
+    return nodes.where(F.col("kind").isin(["function", "class"])).join(names.select(*scope(nodes), "label").distinct(), [*scope(nodes), "label"], "left_semi")
 
 
 def folder_metrics(files: DataFrame, edges: DataFrame, folders: DataFrame) -> DataFrame:
@@ -178,19 +185,22 @@ def folder_metrics(files: DataFrame, edges: DataFrame, folders: DataFrame) -> Da
 
     Prefixes of a path are exploded, so membership is an equal join.
     """
+    keys = scope(files)
     seg = F.split("path", "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(seg) - 1, F.lit(1))), lambda i: F.array_join(F.slice(seg, F.lit(1), i), "/"))
-    inside = keep(files.where("path LIKE '%/%'").select("id", F.explode(prefixes).alias("folder")).join(folders, "folder"))
-    s = inside.select(F.col("id").alias("source"), F.col("folder").alias("s_in"))
-    t = inside.select(F.col("id").alias("target"), F.col("folder").alias("t_in"))
-    out = edges.join(s, "source").join(t.withColumnRenamed("t_in", "both"), (edges["target"] == t["target"]) & (F.col("s_in") == F.col("both")), "left").select(F.col("s_in").alias("folder"), edges["target"].alias("other"), F.col("both").isNotNull().alias("internal"))
-    incoming = edges.join(t, "target").join(s.withColumnRenamed("s_in", "both"), (edges["source"] == s["source"]) & (F.col("t_in") == F.col("both")), "left_anti").groupBy(F.col("t_in").alias("folder")).agg(F.countDistinct(edges["source"]).alias("external_importers"), F.count("*").alias("n_in"))
-    outgoing = out.groupBy("folder").agg(F.count_if("internal").alias("internal_edges"), F.countDistinct(F.when(~F.col("internal"), F.col("other"))).alias("external_targets"), F.count_if(~F.col("internal")).alias("n_out"))
-    reach = search(edges, inside.select(F.col("folder").alias("key"), F.col("id").alias("node"), F.lit(0).alias("ord")), None).where("depth > 0").groupBy(F.col("key").alias("folder")).agg(F.count("*").alias("reach"))
-    base = inside.groupBy("folder").agg(F.count("*").alias("n_files"))
+    inside = keep(files.where("path LIKE '%/%'").select(*keys, "id", F.explode(prefixes).alias("folder")).join(folders, [*[k for k in keys if k in folders.columns], "folder"]))
+    s = inside.select(*keys, F.col("id").alias("source"), F.col("folder"), F.lit(True).alias("s_in"))
+    t = inside.select(*keys, F.col("id").alias("target"), F.col("folder"), F.lit(True).alias("t_in"))
+    out = edges.select(*keys, "source", "target").join(s, [*keys, "source"]).join(t, [*keys, "target", "folder"], "left")
+    outgoing = out.groupBy(*keys, "folder").agg(F.count_if("t_in").alias("internal_edges"), F.countDistinct(F.when(F.col("t_in").isNull(), F.col("target"))).alias("external_targets"), F.count_if(F.col("t_in").isNull()).alias("n_out"))
+    into = edges.select(*keys, "source", "target").join(t, [*keys, "target"]).join(s, [*keys, "source", "folder"], "left_anti")
+    incoming = into.groupBy(*keys, "folder").agg(F.countDistinct("source").alias("external_importers"), F.count("*").alias("n_in"))
+    reach = search(edges, inside.select(*keys, F.col("folder").alias("key"), F.col("id").alias("node"), F.lit(0).alias("ord")), None).where("depth > 0").groupBy(*keys, F.col("key").alias("folder")).agg(F.count("*").alias("reach"))
+    base = inside.groupBy(*keys, "folder").agg(F.count("*").alias("n_files"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    d = base.join(incoming, "folder", "left").join(outgoing, "folder", "left").join(reach, "folder", "left")
-    return d.select("folder", "n_files", zero("external_importers").alias("external_importers"), zero("external_targets").alias("external_targets"), zero("internal_edges").alias("internal_edges"), (zero("n_in") + zero("n_out")).alias("external_edges"), zero("reach").alias("reach"))
+    by = [*keys, "folder"]
+    d = base.join(incoming, by, "left").join(outgoing, by, "left").join(reach, by, "left")
+    return d.select(*by, "n_files", zero("external_importers").alias("external_importers"), zero("external_targets").alias("external_targets"), zero("internal_edges").alias("internal_edges"), (zero("n_in") + zero("n_out")).alias("external_edges"), zero("reach").alias("reach"))
 
 
 def match_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from ..operators import centrality, diff, experiments, export, graph, health, po
 from ..sources import adapters as A
 from ..sources import parsers, readers
 from . import sql_views as S
+from .durable import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,8 +122,15 @@ def q_template_render(spark, d):
 SCORED, SCORED_LARGE = S.scored_views(), S.scored_views(True)
 
 
+def _scored(spark, d, large=False):
+    """(evidence, inputs) of all change sets, which are read and grouped once."""
+    changes = keep(A.changed(spark, d, large))
+    inputs = keep(A.inputs_of(changes))
+    return risk.evidence(changes, inputs, risk.builtin_rules(spark)), inputs
+
+
 def _evidence(spark, d, large=False):
-    return risk.evidence(A.changed(spark, d, large), A.inputs(spark, d, large), risk.builtin_rules(spark))
+    return _scored(spark, d, large)[0]
 
 
 @query(f"WITH {SCORED} SELECT analysis_id, CAST(ord AS BIGINT) AS ord, path, signal FROM hits")
@@ -156,17 +164,17 @@ COMPLETE = "round_even(least(0.60 + CASE WHEN n_files > 0 THEN 0.15 ELSE 0 END +
 
 @query(f"WITH {SCORED} SELECT {SCORE_COLUMNS}, CAST({COMPLETE} AS DOUBLE) AS evidence_completeness FROM levels")
 def q_risk_score(spark, d):
-    return risk.scores(_evidence(spark, d), A.inputs(spark, d))
+    return risk.scores(*_scored(spark, d))
 
 
 @query(f"WITH {SCORED_LARGE} SELECT {SCORE_COLUMNS}, CAST({COMPLETE} AS DOUBLE) AS evidence_completeness FROM levels")
 def q_risk_score_large(spark, d):
-    return risk.scores(_evidence(spark, d, True), A.inputs(spark, d, True))
+    return risk.scores(*_scored(spark, d, True))
 
 
 @query(f"WITH {SCORED} SELECT level, count(*) AS n FROM levels GROUP BY level")
 def q_risk_level_counts(spark, d):
-    return risk.scores(_evidence(spark, d), A.inputs(spark, d)).groupBy("level").agg(F.count("*").alias("n"))
+    return risk.scores(*_scored(spark, d)).groupBy("level").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {SCORED} SELECT analysis_id, signal, row_number() OVER (PARTITION BY analysis_id ORDER BY weight * score DESC, ord) AS rank, CAST(round_even(weight * score * 100, 0) AS BIGINT) AS points, round_even(weight * score * 100, 2) AS raw_points FROM ev")
@@ -176,7 +184,7 @@ def q_risk_breakdown(spark, d):
 
 @query(f"WITH {SCORED} SELECT analysis_id, score * 1.0 AS capped_score, round_even(raw, 2) AS raw_rule_score FROM levels")
 def q_audit_map(spark, d):
-    a = risk.audit(risk.scores(_evidence(spark, d), A.inputs(spark, d)))
+    a = risk.audit(risk.scores(*_scored(spark, d)))
     return a.select("analysis_id", F.col("audit")["capped_score"].alias("capped_score"), F.col("audit")["raw_rule_score"].alias("raw_rule_score"))
 
 
@@ -194,8 +202,7 @@ def q_custom_rule_hits(spark, d):
  SELECT analysis_id, 'FACT-001' AS id, 'FACT' AS statement_type, n_files || ' file(s) modified in the active change set.' AS claim FROM down
  UNION ALL SELECT analysis_id, 'FACT-002', 'FACT', CASE WHEN unique_components > 0 THEN unique_components || ' unique downstream component(s) impacted across ' || edges || ' dependency edge(s). Total blast radius: ' || (n_files + unique_components) || '.' ELSE dependency_count || ' downstream component(s) impacted by this change.' END FROM down WHERE down > 0)""")
 def q_ledger_facts(spark, d):
-    i = A.inputs(spark, d)
-    facts = risk.ledger(_evidence(spark, d), i).where("traceability_ref IN ('diff_stat', 'graph_traversal')")
+    facts = risk.ledger(*_scored(spark, d)).where("traceability_ref IN ('diff_stat', 'graph_traversal')")
     return facts.select("analysis_id", "id", "statement_type", "claim")
 
 
@@ -203,12 +210,12 @@ def q_ledger_facts(spark, d):
  UNION ALL SELECT analysis_id, 3, 'rule:critical_component_modified' FROM down WHERE len(critical_modules) > 0 UNION ALL SELECT analysis_id, 4, 'rule:multi_module_impact' FROM down WHERE len(modules) >= 3)
  SELECT analysis_id, 'INF-' || lpad(CAST(row_number() OVER (PARTITION BY analysis_id ORDER BY k) AS VARCHAR), 3, '0') AS id, ref AS traceability_ref FROM i""")
 def q_ledger_inferences(spark, d):
-    return risk.ledger(_evidence(spark, d, True), A.inputs(spark, d, True)).where("statement_type = 'INFERENCE'").select("analysis_id", "id", "traceability_ref")
+    return risk.ledger(*_scored(spark, d, True)).where("statement_type = 'INFERENCE'").select("analysis_id", "id", "traceability_ref")
 
 
 @query(f"WITH {SCORED} SELECT analysis_id, 'REC-' || lpad(CAST(row_number() OVER (PARTITION BY analysis_id ORDER BY ord) AS VARCHAR), 3, '0') AS id, 'rule:' || signal AS traceability_ref FROM ev")
 def q_ledger_recommendations(spark, d):
-    return risk.ledger(_evidence(spark, d), A.inputs(spark, d)).where("statement_type = 'RECOMMENDATION'").select("analysis_id", "id", "traceability_ref")
+    return risk.ledger(*_scored(spark, d)).where("statement_type = 'RECOMMENDATION'").select("analysis_id", "id", "traceability_ref")
 
 
 @query(f"""WITH {SCORED}, s AS (SELECT analysis_id, 1 AS k FROM down WHERE down > 0 UNION ALL SELECT analysis_id, 2 FROM down WHERE missing_tests
@@ -246,10 +253,10 @@ def q_diff_name_status(spark, d):
 
 
 def _hunk_rows(spark, d):
-    return A.table(spark, d, "lineitem").where("l_orderkey % 50 = 0").select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q")).distinct()
+    return A.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q")).distinct()
 
 
-@query("SELECT DISTINCT l_orderkey AS key, 'f/' || l_partkey AS path, l_suppkey AS start, CASE WHEN CAST(l_quantity AS INT) % 20 > 0 THEN l_suppkey + CAST(l_quantity AS INT) % 20 - 1 ELSE l_suppkey END AS \"end\" FROM lineitem WHERE l_orderkey % 50 = 0")
+@query("SELECT DISTINCT l_orderkey AS key, 'f/' || l_partkey AS path, l_suppkey AS start, CASE WHEN CAST(l_quantity AS INT) % 20 > 0 THEN l_suppkey + CAST(l_quantity AS INT) % 20 - 1 ELSE l_suppkey END AS \"end\" FROM lineitem")
 def q_diff_hunks(spark, d):
     r = _hunk_rows(spark, d)
     block = F.concat(F.lit("--- a/x\n+++ b/f/"), "l_partkey", F.lit("\n@@ -1,2 +"), "l_suppkey", F.when(F.col("q") % 20 == 1, "").otherwise(F.concat(F.lit(","), (F.col("q") % 20).cast("string"))), F.lit(" @@ x\n+y"))
@@ -257,8 +264,8 @@ def q_diff_hunks(spark, d):
     return diff.hunks(text).select("key", "path", big("start"), big("end")).distinct()
 
 
-@query("""WITH s AS (SELECT DISTINCT l_partkey AS f, 's' || l_linenumber AS name, CASE WHEN l_linenumber % 2 = 0 THEN 'class' ELSE 'function' END AS kind, l_linenumber * 10 AS a, l_linenumber * 10 + CAST(l_quantity AS INT) AS b FROM lineitem WHERE l_orderkey % 7 = 0),
- r AS (SELECT DISTINCT l_partkey AS f, l_suppkey AS a, l_suppkey + CAST(l_quantity AS INT) % 20 AS b FROM lineitem WHERE l_orderkey % 7 = 1),
+@query("""WITH s AS (SELECT DISTINCT l_partkey AS f, 's' || l_linenumber AS name, CASE WHEN l_linenumber % 2 = 0 THEN 'class' ELSE 'function' END AS kind, l_linenumber * 10 AS a, l_linenumber * 10 + CAST(l_quantity AS INT) AS b FROM lineitem),
+ r AS (SELECT DISTINCT l_partkey AS f, l_suppkey AS a, l_suppkey + CAST(l_quantity AS INT) % 20 AS b FROM lineitem),
  h AS (SELECT s.* FROM s WHERE EXISTS (SELECT 1 FROM r WHERE r.f = s.f AND s.a <= r.b AND s.b >= r.a)),
  o AS (SELECT *, row_number() OVER (PARTITION BY f, name ORDER BY kind <> 'function', a, b, kind) AS k FROM h)
  SELECT 'f/' || f AS path, name, kind, CAST(a AS BIGINT) AS start_line, CAST(b AS BIGINT) AS end_line FROM o WHERE k = 1""")
@@ -266,8 +273,8 @@ def q_affected_symbols(spark, d):
     l = A.table(spark, d, "lineitem").withColumn("q", F.col("l_quantity").cast("int"))
     path = F.concat(F.lit("f/"), "l_partkey").alias("path")
     n = F.col("l_linenumber")
-    symbols = l.where("l_orderkey % 7 = 0").select(path, F.concat(F.lit("s"), n).alias("name"), F.when(n % 2 == 0, "class").otherwise("function").alias("kind"), (n * 10).alias("start_line"), (n * 10 + F.col("q")).alias("end_line")).distinct()
-    ranges = l.where("l_orderkey % 7 = 1").select(path, F.col("l_suppkey").cast("int").alias("start"), (F.col("l_suppkey") + F.col("q") % 20).cast("int").alias("end")).distinct()
+    symbols = l.select(path, F.concat(F.lit("s"), n).alias("name"), F.when(n % 2 == 0, "class").otherwise("function").alias("kind"), (n * 10).alias("start_line"), (n * 10 + F.col("q")).alias("end_line")).distinct()
+    ranges = l.select(path, F.col("l_suppkey").cast("int").alias("start"), (F.col("l_suppkey") + F.col("q") % 20).cast("int").alias("end")).distinct()
     return diff.affected_symbols(symbols, ranges).select("path", "name", "kind", big("start_line"), big("end_line"))
 
 
@@ -278,7 +285,7 @@ def tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes = files.select(F.concat(F.lit("n:"), k).alias("id"), F.concat(F.lit("label_"), k).alias("label"), A.pick(S.KINDS, (k * 7 + 3) % len(S.KINDS)).alias("kind"), "path", F.get(F.split("path", "/"), F.lit(0)).alias("module"), k)
     s, t = F.col("src"), F.col("dst")
     edges = A.imports(spark, d).select(F.concat(F.lit("n:"), s).alias("source"), F.concat(F.lit("n:"), t).alias("target"), A.pick(S.RELATIONS, (s + t) % len(S.RELATIONS)).alias("relationship"), A.pick(S.TYPES, (s * 3 + t) % len(S.TYPES)).alias("edge_type"), (s * 100000 + t).alias("ord"))
-    return nodes, edges, nodes.where("ord < 20").select(F.lit("all").alias("key"), F.col("id").alias("node"), "ord")
+    return nodes, edges, A.last_change(spark, d).select(F.lit("all").alias("key"), F.concat(F.lit("n:"), "ord").alias("node"), "ord")
 
 
 def reach_sql(edge_filter: str, depth: int | None, blocked: str = "false", tail: str = "SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM reach WHERE NOT blocked GROUP BY node") -> str:
@@ -338,12 +345,12 @@ def q_folder_metrics(spark, d):
     return traverse.folder_metrics(nodes.select("id", "path"), edges, folders).drop("reach")
 
 
-@query(f"""WITH RECURSIVE {S.GRAPH}, e AS (SELECT * FROM edges WHERE relationship = 'CALLS'), roots AS (SELECT id FROM nodes WHERE ord < 200 ORDER BY ord LIMIT 20),
+@query(f"""WITH RECURSIVE {S.GRAPH}, e AS (SELECT * FROM edges WHERE relationship = 'CALLS'), roots AS (SELECT id FROM nodes ORDER BY ord LIMIT 20),
  reach(root, node, depth) AS (SELECT id, id, 0 FROM roots UNION SELECT r.root, e.source, r.depth + 1 FROM reach r JOIN e ON e.target = r.node WHERE r.depth < 4)
  SELECT root, count(DISTINCT node) AS n FROM reach GROUP BY root HAVING count(DISTINCT node) > 1""")
 def q_flow_trace(spark, d):
     nodes, edges, _ = tables(spark, d)
-    return traverse.call_flows(nodes, edges, nodes.where("ord < 200").select("id", "ord")).select("root", "n")
+    return traverse.call_flows(nodes, edges, nodes.select("id", "ord")).select("root", "n")
 
 
 @query(f"WITH {S.GRAPH} SELECT id, label FROM nodes WHERE kind IN ('function', 'class') AND ord % 3 = 0")
@@ -364,7 +371,7 @@ def q_hub_nodes(spark, d):
     return centrality.hubs(nodes, edges).select("id", "degree")
 
 
-NATIONS = "e AS (SELECT DISTINCT s_nationkey AS s, c_nationkey AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 500 = 0 AND s_nationkey <> c_nationkey)"
+NATIONS = "e AS (SELECT DISTINCT s_nationkey AS s, c_nationkey AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey)"
 
 
 @query(f"""WITH RECURSIVE {NATIONS}, walk(s, t, d) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation UNION SELECT w.s, e.t, w.d + 1 FROM walk w JOIN e ON e.s = w.t WHERE w.d < 24),
@@ -374,7 +381,7 @@ NATIONS = "e AS (SELECT DISTINCT s_nationkey AS s, c_nationkey AS t FROM lineite
  SELECT CAST(n_nationkey AS VARCHAR) AS id, round_even(coalesce(score, 0) / (24 * 23), 6) AS betweenness FROM nation LEFT JOIN b ON v = n_nationkey""")
 def q_betweenness(spark, d):
     t = lambda n: A.table(spark, d, n)
-    e = t("lineitem").where("l_orderkey % 500 = 0").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    e = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     e = e.select(F.col("s_nationkey").cast("string").alias("source"), F.col("c_nationkey").cast("string").alias("target")).distinct()
     return centrality.betweenness(t("nation").select(F.col("n_nationkey").cast("string").alias("id")), e).select("id", F.bround("score", 6).alias("betweenness"))
 
@@ -383,7 +390,7 @@ def q_betweenness(spark, d):
  SELECT CAST(a.s AS VARCHAR) AS node, min(CAST(a.t AS VARCHAR)) AS component FROM walk a JOIN walk b ON a.s = b.t AND a.t = b.s GROUP BY a.s""")
 def q_cycles_scc(spark, d):
     t = lambda n: A.table(spark, d, n)
-    e = t("lineitem").where("l_orderkey % 500 = 0").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    e = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return health.strongly_connected(e.select(F.col("s_nationkey").cast("string").alias("source"), F.col("c_nationkey").cast("string").alias("target")))
 
 
@@ -563,7 +570,7 @@ def q_quality_gate(spark, d):
 
 @query(f"WITH {SCORED} SELECT analysis_id, CASE WHEN analysis_id % 3 <> 0 THEN score END AS score FROM levels")
 def q_fail_closed(spark, d):
-    s = risk.scores(_evidence(spark, d), A.inputs(spark, d)).withColumn("health_status", F.when(F.col("analysis_id") % 3 == 0, "UNAVAILABLE").otherwise("AVAILABLE"))
+    s = risk.scores(*_scored(spark, d)).withColumn("health_status", F.when(F.col("analysis_id") % 3 == 0, "UNAVAILABLE").otherwise("AVAILABLE"))
     return risk.fail_closed(s, columns=("score",)).select("analysis_id", "score")
 
 
@@ -625,13 +632,13 @@ def q_export_changed_files(spark, d):
 
 
 @query(f"""WITH RECURSIVE {S.GRAPH}, e AS (SELECT * FROM edges WHERE {REACH}), b AS (SELECT id, {S.any_contains('path', traverse.EXPORT_IGNORED_DIRS)} AS blocked FROM nodes),
- start AS (SELECT path, CASE WHEN kind IN ('file', 'module') THEN id ELSE 'file:' || path END AS node FROM nodes WHERE ord < 20),
+ start AS (SELECT path, CASE WHEN kind IN ('file', 'module') THEN id ELSE 'file:' || path END AS node FROM nodes WHERE id IN (SELECT node FROM seeds)),
  reach(node, depth, blocked) AS (SELECT node, 0, coalesce(blocked, false) FROM start LEFT JOIN b ON id = node UNION SELECT e.source, r.depth + 1, b.blocked FROM reach r JOIN e ON e.target = r.node JOIN b ON b.id = e.source WHERE NOT r.blocked AND r.depth < 3),
  m AS (SELECT n.path, min(r.depth) AS depth FROM reach r JOIN nodes n ON n.id = r.node WHERE NOT r.blocked AND r.depth > 0 AND r.node NOT IN (SELECT node FROM start) GROUP BY n.path)
  SELECT CAST(depth AS BIGINT) AS depth, path AS file_or_module, CASE WHEN depth = 1 THEN 'IMPORTS' ELSE 'DEPENDS_ON' END AS relationship FROM m WHERE path NOT IN (SELECT path FROM start) UNION ALL SELECT 0, path, 'MODIFIED' FROM start""")
 def q_export_paths(spark, d):
-    nodes, edges, _ = tables(spark, d)
-    changed = nodes.where("ord < 20").select(F.lit("all").alias("key"), "path", "ord")
+    nodes, edges, seeds = tables(spark, d)
+    changed = nodes.join(seeds.select(F.col("node").alias("id")), "id", "left_semi").select(F.lit("all").alias("key"), "path", "ord")
     return traverse.export_paths(nodes, edges, changed).select(big("depth"), "file_or_module", "relationship")
 
 
@@ -639,7 +646,8 @@ RANKED = "f AS (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY w
 
 
 def _factors(spark, d):
-    return export.risk_factors(_evidence(spark, d), A.inputs(spark, d).select("analysis_id", F.when(F.col("analysis_id") % 2 == 0, 1).otherwise(0).alias("indirect")))
+    ev, i = _scored(spark, d)
+    return export.risk_factors(ev, i.select("analysis_id", F.when(F.col("analysis_id") % 2 == 0, 1).otherwise(0).alias("indirect")))
 
 
 @query(f"WITH {SCORED}, {RANKED} SELECT analysis_id, 'RF-' || lpad(CAST(rank AS VARCHAR), 3, '0') AS id, signal, rp AS raw_points FROM f")
@@ -676,13 +684,13 @@ def q_test_findings(spark, d):
 
 @query(f"WITH {SCORED} SELECT analysis_id, 'score' AS metric, CAST(score AS VARCHAR) AS value FROM levels UNION ALL SELECT analysis_id, 'level', level FROM levels")
 def q_export_repo_metrics(spark, d):
-    return export.repository_metrics(risk.scores(_evidence(spark, d), A.inputs(spark, d)), ["score", "level"]).select("analysis_id", "metric", "value")
+    return export.repository_metrics(risk.scores(*_scored(spark, d)), ["score", "level"]).select("analysis_id", "metric", "value")
 
 
 @query(f"WITH {SCORED} SELECT analysis_id, 'This change modifies ' || n_files || ' file(s) across ' || len(modules) || ' module(s). Deterministic risk score: ' || score || '/100 (' || level || ').' AS head FROM levels")
 def q_summary_text(spark, d):
-    i = A.inputs(spark, d)
-    return export.summary(risk.scores(_evidence(spark, d), i), i).select("analysis_id", F.regexp_replace("summary", r" Evidence completeness.*", "").alias("head"))
+    ev, i = _scored(spark, d)
+    return export.summary(risk.scores(ev, i), i).select("analysis_id", F.regexp_replace("summary", r" Evidence completeness.*", "").alias("head"))
 
 
 @query(f"WITH {SCORED}, s AS (SELECT analysis_id, CAST(sum(round_even(weight * score * 100, 0)) AS DOUBLE) AS raw FROM ev GROUP BY 1) SELECT analysis_id, raw AS raw_rule_score, round_even(CASE WHEN raw > 60 THEN 60 + (raw - 60) * 0.5e0 ELSE raw END, 2) AS normalized_score FROM s")
@@ -694,15 +702,15 @@ def q_rebuilt_points(spark, d):
  UNION ALL SELECT analysis_id, 'FACT', 1, ord FROM ev WHERE signal IN {S.inside(reconstruct.FACT_SIGNALS)} UNION ALL SELECT analysis_id, 'INFERENCE', 1, ord FROM ev WHERE signal IN ('missing_tests', 'critical_component_modified') OR (signal = 'large_blast_radius' AND analysis_id % 2 = 0)
  UNION ALL SELECT analysis_id, 'RECOMMENDATION', 1, ord FROM ev) SELECT analysis_id, t AS statement_type, count(*) AS n FROM f GROUP BY ALL""")
 def q_rebuilt_statements(spark, d):
-    i = A.inputs(spark, d)
+    ev, i = _scored(spark, d)
     edges = i.select("analysis_id", F.when(F.col("analysis_id") % 2 == 0, "elsewhere").otherwise(F.get("files", F.lit(0))).alias("target"), F.lit("IMPORTS").alias("relationship"), F.lit("SOURCE_IMPORT").alias("edge_type"))
-    s = reconstruct.statements(_evidence(spark, d), i, reconstruct.reaches_further(edges, A.changed(spark, d)))
+    s = reconstruct.statements(ev, i, reconstruct.reaches_further(edges, A.changed(spark, d)))
     return s.groupBy("analysis_id", "statement_type").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {SCORED} SELECT analysis_id, CAST(n_evidence AS BIGINT) AS n_factors, n_files FROM levels")
 def q_canonical_model(spark, d):
-    ev, i = _evidence(spark, d), A.inputs(spark, d)
+    ev, i = _scored(spark, d)
     factors = export.risk_factors(ev, i.select("analysis_id", F.lit(1).alias("indirect")))
     m = export.canonical(risk.scores(ev, i), factors, risk.ledger(ev, i), export.changed_files(A.changed(spark, d), ev))
     return m.select("analysis_id", big(F.coalesce(F.size("risk_breakdown"), F.lit(0)), "n_factors"), big(F.size("changed_files"), "n_files"))
@@ -717,7 +725,7 @@ def q_edge_ends(spark, d):
 
 @query(f"WITH {SCORED} SELECT analysis_id, CASE WHEN analysis_id % 2 = 0 THEN 0.5 ELSE CAST({COMPLETE} AS DOUBLE) END AS confidence FROM levels")
 def q_gated_scores(spark, d):
-    s = risk.scores(_evidence(spark, d), A.inputs(spark, d))
+    s = risk.scores(*_scored(spark, d))
     gate = s.where("analysis_id % 2 = 0").select("analysis_id", F.lit(0.5).alias("evidence_completeness"), F.lit("DEGRADED").alias("analysis_quality"))
     return health.gated(s, gate).select("analysis_id", "confidence")
 

@@ -39,9 +39,9 @@ PARTS = """parts AS (SELECT ord, path, replace(path, '\\', '/') AS norm, lower(r
 named AS (SELECT *, regexp_extract(name, '[^/](\\.[^./]+)$', 1) AS suffix FROM parts),
 p AS (SELECT *, left(name, length(name) - length(suffix)) AS stem FROM named)"""
 IMPORTS = """imports AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
-  ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_orderkey % 20 = 0)"""
-CHANGED = "changed AS (SELECT DISTINCT l_orderkey AS analysis_id, l_partkey AS ord, path FROM lineitem JOIN files ON l_partkey = ord WHERE l_orderkey % 100 = 0)"
-CHANGED_LARGE = "changed AS (SELECT DISTINCT o_custkey AS analysis_id, l_partkey AS ord, path FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN files ON l_partkey = ord WHERE o_custkey % 25 = 0)"
+  ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"""
+CHANGED = "changed AS (SELECT DISTINCT l_orderkey AS analysis_id, l_partkey AS ord, path FROM lineitem JOIN files ON l_partkey = ord)"
+CHANGED_LARGE = "changed AS (SELECT DISTINCT o_custkey AS analysis_id, l_partkey AS ord, path FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN files ON l_partkey = ord)"
 
 TYPE_CASE = f"""CASE
  WHEN {any_ends('low', V.BACKUP_EXTENSIONS)} OR starts_with(name, '.~') THEN 'BACKUP'
@@ -140,4 +140,4 @@ GRAPH = f"""{FILES}, {IMPORTS},
 nodes AS (SELECT 'n:' || ord AS id, 'label_' || ord AS label, {listed(KINDS)}[CAST((ord * 7 + 3) % {len(KINDS)} AS INT) + 1] AS kind, path, split_part(path, '/', 1) AS module, ord FROM files),
 edges AS (SELECT 'n:' || src AS source, 'n:' || dst AS target, {listed(RELATIONS)}[CAST((src + dst) % {len(RELATIONS)} AS INT) + 1] AS relationship,
   {listed(TYPES)}[CAST((src * 3 + dst) % {len(TYPES)} AS INT) + 1] AS edge_type, src * 100000 + dst AS ord FROM imports),
-seeds AS (SELECT 'n:' || ord AS node, CAST(ord AS BIGINT) AS ord FROM files WHERE ord < 20)"""
+seeds AS (SELECT DISTINCT 'n:' || l_partkey AS node, CAST(l_partkey AS BIGINT) AS ord FROM lineitem WHERE l_orderkey = (SELECT max(l_orderkey) FROM lineitem))"""

@@ -45,8 +45,8 @@ def all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst: distinct pairs of parts on consecutive lines of every twentieth order."""
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", "l_partkey")
+    """src, dst: distinct pairs of parts on consecutive lines of an order."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     nxt = l.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
     return l.join(nxt, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("src"), "dst").distinct()
 
@@ -55,16 +55,27 @@ def changed(spark: SparkSession, sf_dir: str, large: bool = False) -> DataFrame:
     """analysis_id, ord, path: the parts of an order (or of a customer's orders) as a change set."""
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     if large:
-        o = table(spark, sf_dir, "orders").where("o_custkey % 25 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("analysis_id"))
+        o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("analysis_id"))
         l = l.join(o, "l_orderkey").select("analysis_id", "l_partkey")
     else:
-        l = l.where("l_orderkey % 100 = 0").select(F.col("l_orderkey").alias("analysis_id"), "l_partkey")
+        l = l.select(F.col("l_orderkey").alias("analysis_id"), "l_partkey")
     return l.distinct().withColumnRenamed("l_partkey", "ord").join(files(spark, sf_dir), "ord").select("analysis_id", "ord", "path")
 
 
+def last_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ord of the parts of the newest order: the change set whose blast radius is asked for."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("ord"))
+    return l.join(l.agg(F.max("l_orderkey").alias("l_orderkey")), "l_orderkey").select("ord").distinct()
+
+
 def inputs(spark: SparkSession, sf_dir: str, large: bool = False) -> DataFrame:
     """What scoring needs of each change set; lists of symbols and hubs are made from its parts."""
-    c = changed(spark, sf_dir, large).withColumn("module", P.impacted_module(F.col("path"))).withColumn("critical", P.contains_any(F.lower("path"), V.CRITICAL_ANALYZER))
+    return inputs_of(changed(spark, sf_dir, large))
+
+
+def inputs_of(changes: DataFrame) -> DataFrame:
+    """inputs() of change sets (analysis_id, ord, path)."""
+    c = changes.withColumn("module", P.impacted_module(F.col("path"))).withColumn("critical", P.contains_any(F.lower("path"), V.CRITICAL_ANALYZER))
     by_ord = lambda col: F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col(col).alias("v")))), lambda x: x["v"])
     some = lambda test, text: F.array_sort(F.array_compact(F.collect_set(F.when(F.expr(test), F.expr(text)))))
     return c.groupBy("analysis_id").agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import fixed_values as V
 from faultline.functions import paths as P
-from faultline.operators import centrality, diff, experiments, graph, health, policy, risk, traverse
+from faultline.operators import analysis, centrality, diff, experiments, graph, health, policy, risk, traverse
 from faultline.sources import adapters, parsers, readers
 
 INPUT = "analysis_id long, files array<string>, impacted_modules array<string>, dependency_count int, missing_tests boolean, critical_modules array<string>, affected_functions array<string>, hub_nodes array<string>, bridge_nodes array<string>, flags boolean, deploy boolean, edges int, unique_components int, ownership map<string,string>"
@@ -224,3 +224,126 @@ def test_streaming(spark, tmp_path):
     q = scoring.score_stream(scoring.changed_stream(spark, src), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert {r.signal for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"authentication_change", "database_schema_change", "migration_detected"}
+
+
+def two_repositories(spark, *graphs):
+    """Graphs whose ids clash, side by side under repo_id."""
+    nodes = edges = None
+    for repo, pairs in zip("ab", graphs):
+        n, e = (x.withColumn("repo_id", F.lit(repo)) for x in graph_of(spark, pairs))
+        nodes, edges = (n, e) if nodes is None else (nodes.unionByName(n), edges.unionByName(e))
+    return nodes, edges
+
+
+def test_repositories_stay_apart(spark):
+    one, two = [("b", "a"), ("c", "b"), ("d", "c")], [("x", "a"), ("a", "b"), ("b", "x"), ("c", "a")]
+    nodes, edges = two_repositories(spark, one, two)
+    seeds = spark.createDataFrame([("a", "k", "a", 0), ("b", "k", "a", 0)], "repo_id string, key string, node string, ord long")
+    together = traverse.blast("impact", nodes, edges, seeds)
+    hubs, bridges = centrality.hubs(nodes, edges, 2), centrality.bridges(nodes, edges, 2)
+    rounds = health.cycles(edges, nodes.select("repo_id", F.col("id").alias("node"), "ord"), 1)
+    parts = health.strongly_connected(edges)
+    files = nodes.select("repo_id", F.concat("id", F.lit("/f.py")).alias("path"), "id")
+    folders = traverse.folder_metrics(files, edges, spark.createDataFrame([("a",), ("b",)], "folder string"))
+    for repo, pairs in (("a", one), ("b", two)):
+        n, e = graph_of(spark, pairs)
+        own = lambda df, *c: sorted(tuple(r) for r in df.where(F.col("repo_id") == repo).select(*c).collect())  # noqa: B023, E731
+        alone = lambda df, *c: sorted(tuple(r) for r in df.select(*c).collect())
+        found = traverse.blast("impact", n, e, spark.createDataFrame([("k", "a", 0)], "key string, node string, ord long"))
+        assert own(together, "node", "depth", "parent") == alone(found, "node", "depth", "parent")
+        assert own(hubs, "id", "degree") == alone(centrality.hubs(n, e, 2), "id", "degree")
+        assert own(bridges, "id", "betweenness") == alone(centrality.bridges(n, e, 2), "id", "betweenness")
+        assert own(parts, "node", "component") == alone(health.strongly_connected(e), "node", "component")
+        assert own(rounds, "cycle") == alone(health.cycles(e, n.select(F.col("id").alias("node"), "ord"), 1), "cycle")
+        f = n.select(F.concat("id", F.lit("/f.py")).alias("path"), "id")
+        names = ("folder", "n_files", "external_importers", "external_targets", "internal_edges", "external_edges", "reach")
+        assert own(folders, *names) == alone(traverse.folder_metrics(f, e, spark.createDataFrame([("a",), ("b",)], "folder string")), *names)
+    counts = {(r.repo_id, r.total) for r in traverse.blast_counts(together).collect()}
+    assert counts == {("a", 3), ("b", 3)}
+
+
+def plain_betweenness(ids, pairs):
+    """By enumerating all shortest paths."""
+    import itertools
+
+    total = dict.fromkeys(ids, 0.0)
+    for s, t in itertools.permutations(ids, 2):
+        level, ends = [[s]], []
+        while level and not ends:
+            level = [[*p, y] for p in level for x, y in pairs if x == p[-1] and y not in p]
+            ends = [p for p in level if p[-1] == t]
+        for p in ends:
+            for v in p[1:-1]:
+                total[v] += 1 / len(ends)
+    n = len(ids)
+    return {v: x / ((n - 1) * (n - 2)) for v, x in total.items()}
+
+
+def test_betweenness_against_all_paths(spark):
+    import random
+
+    r = random.Random(4)
+    ids = [f"n{k}" for k in range(12)]
+    pairs = sorted({(a, b) for a, b in ((r.choice(ids), r.choice(ids)) for _ in range(26)) if a != b})
+    edges = spark.createDataFrame(pairs, "source string, target string")
+    got = {x.id: x.score for x in centrality.betweenness(spark.createDataFrame([(i,) for i in ids], "id string"), edges).collect()}
+    want = plain_betweenness(ids, pairs)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and max(want.values()) > 0
+
+
+def test_test_gaps_of_two_repositories(spark):
+    rows = [("a", 0, "src/one.py", "SOURCE_MODULE"), ("a", 1, "tests/test_two.py", "TEST"), ("b", 0, "src/one.py", "SOURCE_MODULE"), ("b", 1, "tests/test_one.py", "TEST"), ("b", 2, "src/two.py", "ROUTE")]
+    d = spark.createDataFrame(rows, "repo_id string, ord long, path string, role_after string")
+    assert {(r.repo_id, r.path) for r in health.test_gaps(d).collect()} == {("a", "src/one.py"), ("b", "src/two.py")}
+    assert {(r.path) for r in health.test_gaps(d.where("repo_id = 'b'").drop("repo_id")).collect()} == {"src/two.py"}
+
+
+def test_from_tree_to_score(spark):
+    tree = {"src/auth/login.py": "import src.auth.tokens\nclass Login:\n    def go(self): pass\n", "src/auth/tokens.py": "import src.db\n\n\n\ndef issue(): pass\n", "src/db.py": "class Store: pass\n", "web/a.ts": "import x from './b'\n", "web/b.ts": "export class B { }\n", "tests/test_db.py": "import src.db\n\n\n"}
+    rows = [(repo, k, path, text if repo == "one" or path != "src/auth/tokens.py" else "x = 1\n" * 9) for repo in ("one", "two") for k, (path, text) in enumerate(tree.items())]
+    rows.append(("one", 99, "package.json", json.dumps({"main": "web/b.ts", "dependencies": {"lodash": "1"}, "scripts": {"go": "x"}})))
+    sources = spark.createDataFrame(rows, "repo_id string, ord long, path string, text string")
+    changed = spark.createDataFrame([("one", 1, 0, "src/db.py"), ("two", 2, 0, "src/db.py")], "repo_id string, analysis_id long, ord long, path string")
+    a = analysis.analyse(sources, changed, None)
+    reached = {(r.repo_id, r.node): r.depth for r in a.impact.collect()}
+    assert {n: k for (repo, n), k in reached.items() if repo == "one"} == {"file:src/db.py": 0, "file:src/auth/tokens.py": 1, "file:tests/test_db.py": 1, "file:src/auth/login.py": 2}
+    assert {n for repo, n in reached if repo == "two"} == {"file:src/db.py", "file:tests/test_db.py"}
+    by = {r.analysis_id: r for r in a.inputs.collect()}
+    assert (by[1].dependency_count, by[2].dependency_count) == (3, 1) and by[1].missing_tests and by[1].impacted_modules == ["src/db.py"]
+    signals = {(r.analysis_id, r.signal) for r in a.evidence.collect()}
+    assert {(1, "large_blast_radius"), (2, "large_blast_radius")} <= signals and (1, "missing_tests") in signals
+    scores = {r.analysis_id: r for r in a.scores.collect()}
+    assert scores[1].score > scores[2].score and scores[1].analysis_quality == "FULL" and scores[1].score_description is None
+    assert a.nodes.where("repo_id = 'one' AND id = 'file:web/b.ts'").first().file_classification == "ENTRYPOINT"
+    assert a.nodes.where("repo_id = 'two' AND id = 'file:web/b.ts'").first().file_classification != "ENTRYPOINT"
+    totals = {r.repo_id: (r.total_files, r.total_classes) for r in graph.totals(a.parsed.withColumnRenamed("path", "file_path"), a.edges).collect()}
+    assert totals == {"one": (7, 3), "two": (6, 3)}
+    assert a.parsed.where("path = 'package.json'").first().exports == ["go"]
+
+
+def test_csv_sets(spark, tmp_path):
+    from faultline.operators import export
+
+    s, ev, inputs = scored(spark, ["src/auth/login.py", "a,b.sql"], ["src"], 3)
+    inputs = inputs.unionByName(inputs.withColumn("analysis_id", F.lit(2).cast("long")))
+    factors = export.risk_factors(ev, inputs.select("analysis_id", F.lit(1).alias("indirect")))
+    changed = spark.createDataFrame([(1, 0, "src/auth/login.py"), (1, 1, "a,b.sql")], "analysis_id long, ord long, path string")
+    files = export.changed_files(changed, ev)
+    paths = spark.createDataFrame([(1, 1, "x.py", "IMPORTS")], "analysis_id long, depth int, file_or_module string, relationship string")
+    metrics = spark.createDataFrame([(1, "risk_score", str(s.score)), (2, "risk_score", "0")], "analysis_id long, metric string, value string")
+    sets = export.csv_sets(inputs.select("analysis_id", "impacted_modules"), factors, files, paths, export.test_findings(inputs), metrics)
+    assert list(sets) == ["risk_factors", "changed_files", "impacted_files", "dependencies", "test_gaps", "repository_metrics"]
+    export.write_csv(sets, str(tmp_path / "out"))
+    read = lambda name, k: next((tmp_path / "out" / name / f"analysis_id={k}").glob("*.csv")).read_bytes().decode()
+    lines = read("risk_factors", 2).split("\r\n")
+    assert lines[0] == "id,rule,name,category,points,raw_points,evidence,evidence_ids,affected_files,threshold,recommendation,recommendation_type" and lines[1].startswith("N/A,none,No risk factors,general,0,0.0,No scoring rule fired") and lines[2:] == [""]
+    assert read("risk_factors", 1).split("\r\n")[1].startswith("RF-001,") and '"a,b.sql"' in read("changed_files", 1)
+    assert read("impacted_files", 2).split("\r\n")[1] == "1,src,MODULE_IMPACT,MODULE_BOUNDARY,Architectural module in blast radius,1"
+    assert read("dependencies", 1).split("\r\n")[1].startswith("1,") and "\n" not in read("dependencies", 1).replace("\r\n", "")
+
+
+def test_gate_says_why(spark):
+    scored_ = spark.createDataFrame([(1, 30, "MEDIUM", 0.9), (2, 10, "LOW", 0.98)], "analysis_id long, score int, level string, evidence_completeness double")
+    gate = spark.createDataFrame([(1, 0.5, "DEGRADED"), (2, 0.98, "FULL")], "analysis_id long, evidence_completeness double, analysis_quality string")
+    got = {r.analysis_id: r.score_description for r in health.gated(scored_, gate).collect()}
+    assert got[2] is None and got[1] == "Risk score: 30/100 (MEDIUM) \u00b7 Analysis Quality: DEGRADED (50% evidence completeness) \u2014 " + V.GATE_EXPLANATIONS["DEGRADED"]
