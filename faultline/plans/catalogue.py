@@ -371,27 +371,42 @@ def q_hub_nodes(spark, d):
     return centrality.hubs(nodes, edges).select("id", "degree")
 
 
-NATIONS = "e AS (SELECT DISTINCT s_nationkey AS s, c_nationkey AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey)"
+#: Trade between nations above the average of all pairs: a directed graph over whole tables.
+NATIONS = """trade AS (SELECT s_nationkey AS s, c_nationkey AS t, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+ WHERE s_nationkey <> c_nationkey GROUP BY ALL), e AS (SELECT s, t FROM trade WHERE q > (SELECT avg(q) FROM trade))"""
 
 
-@query(f"""WITH RECURSIVE {NATIONS}, walk(s, t, d) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation UNION SELECT w.s, e.t, w.d + 1 FROM walk w JOIN e ON e.s = w.t WHERE w.d < 24),
+def nations(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the trade graph."""
+    t = lambda n: A.table(spark, d, n)
+    l = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    q = l.where("s_nationkey <> c_nationkey").groupBy("s_nationkey", "c_nationkey").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("q"))
+    q = q.withColumn("mean", F.avg("q").over(Window.partitionBy(F.lit(0)))).where("q > mean")  # at most 600 pairs
+    edges = q.select(F.col("s_nationkey").cast("string").alias("source"), F.col("c_nationkey").cast("string").alias("target"))
+    return t("nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("label"), F.lit("class").alias("kind"), F.col("n_nationkey").cast("bigint").alias("ord")), edges
+
+
+BETWEENNESS = f"""WITH RECURSIVE {NATIONS}, walk(s, t, d) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation UNION SELECT w.s, e.t, w.d + 1 FROM walk w JOIN e ON e.s = w.t WHERE w.d < 24),
  dist AS (SELECT s, t, min(d) AS d FROM walk GROUP BY ALL), paths(s, t, d, n) AS (SELECT s, t, 0, CAST(1 AS DOUBLE) FROM dist WHERE s = t UNION ALL SELECT * FROM
   (SELECT p.s, e.t, p.d + 1 AS d, sum(p.n) AS n FROM paths p JOIN e ON e.s = p.t JOIN dist q ON q.s = p.s AND q.t = e.t AND q.d = p.d + 1 GROUP BY p.s, e.t, p.d + 1)),
- b AS (SELECT v.t AS v, sum(v.n * w.n / st.n) AS score FROM paths v JOIN paths w ON w.s = v.t JOIN paths st ON st.s = v.s AND st.t = w.t AND st.d = v.d + w.d WHERE v.s <> v.t AND w.s <> w.t AND v.s <> w.t GROUP BY v.t)
- SELECT CAST(n_nationkey AS VARCHAR) AS id, round_even(coalesce(score, 0) / (24 * 23), 6) AS betweenness FROM nation LEFT JOIN b ON v = n_nationkey""")
+ b AS (SELECT v.t AS v, sum(v.n * w.n / st.n) AS score FROM paths v JOIN paths w ON w.s = v.t JOIN paths st ON st.s = v.s AND st.t = w.t AND st.d = v.d + w.d WHERE v.s <> v.t AND w.s <> w.t AND v.s <> w.t GROUP BY v.t)"""
+
+
+@query(BETWEENNESS + """ SELECT CAST(n_nationkey AS VARCHAR) AS id, round_even(coalesce(score, 0) / (24 * 23), 6) AS betweenness FROM nation LEFT JOIN b ON v = n_nationkey""")
 def q_betweenness(spark, d):
-    t = lambda n: A.table(spark, d, n)
-    e = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    e = e.select(F.col("s_nationkey").cast("string").alias("source"), F.col("c_nationkey").cast("string").alias("target")).distinct()
-    return centrality.betweenness(t("nation").select(F.col("n_nationkey").cast("string").alias("id")), e).select("id", F.bround("score", 6).alias("betweenness"))
+    nodes, edges = nations(spark, d)
+    return centrality.betweenness(nodes.select("id"), edges).select("id", F.bround("score", 6).alias("betweenness"))
+
+
+@query(BETWEENNESS + """ SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS label, round_even(score / (24 * 23), 6) AS betweenness FROM nation JOIN b ON v = n_nationkey WHERE score > 0 ORDER BY betweenness DESC, n_nationkey LIMIT 10""")
+def q_bridge_nodes(spark, d):
+    return centrality.bridges(*nations(spark, d)).select("id", "label", "betweenness")
 
 
 @query(f"""WITH RECURSIVE {NATIONS}, walk(s, t) AS (SELECT s, t FROM e UNION SELECT w.s, e.t FROM walk w JOIN e ON e.s = w.t)
  SELECT CAST(a.s AS VARCHAR) AS node, min(CAST(a.t AS VARCHAR)) AS component FROM walk a JOIN walk b ON a.s = b.t AND a.t = b.s GROUP BY a.s""")
 def q_cycles_scc(spark, d):
-    t = lambda n: A.table(spark, d, n)
-    e = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return health.strongly_connected(e.select(F.col("s_nationkey").cast("string").alias("source"), F.col("c_nationkey").cast("string").alias("target")))
+    return health.strongly_connected(nations(spark, d)[1])
 
 
 @query()
