@@ -75,13 +75,18 @@ def inputs(spark: SparkSession, sf_dir: str, large: bool = False) -> DataFrame:
 
 def inputs_of(changes: DataFrame) -> DataFrame:
     """inputs() of change sets (analysis_id, ord, path)."""
-    c = changes.withColumn("module", P.impacted_module(F.col("path"))).withColumn("critical", P.contains_any(F.lower("path"), V.CRITICAL_ANALYZER))
+    # what hangs on the path alone is found once a path
+    facts = changes.select("path").distinct().withColumns({
+        "module": P.impacted_module(F.col("path")), "critical": P.contains_any(F.lower("path"), V.CRITICAL_ANALYZER), "is_test": P.is_test_path(F.col("path")),
+        "flag": P.contains_any(F.lower("path"), V.FLAG_WORDS), "deploys": P.contains_any(F.lower("path"), V.DEPLOY_WORDS),
+    })
+    c = changes.join(facts, "path")
     by_ord = lambda col: F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col(col).alias("v")))), lambda x: x["v"])
     some = lambda test, text: F.array_sort(F.array_compact(F.collect_set(F.when(F.expr(test), F.expr(text)))))
     return c.groupBy("analysis_id").agg(
         by_ord("path").alias("files"), F.array_sort(F.collect_set("module")).alias("impacted_modules"), F.sum(F.expr("CAST(ord % 7 AS INT)")).cast("int").alias("dependency_count"),
-        (~F.bool_or(P.is_test_path(F.col("path")))).alias("missing_tests"), F.array_sort(F.array_compact(F.collect_set(F.when(F.col("critical"), F.col("path"))))).alias("critical_modules"),
+        (~F.bool_or("is_test")).alias("missing_tests"), F.array_sort(F.array_compact(F.collect_set(F.when(F.col("critical"), F.col("path"))))).alias("critical_modules"),
         some("ord % 3 = 0", "concat('fn_', ord)").alias("affected_functions"), some("ord % 11 = 0", "concat('hub_', ord)").alias("hub_nodes"), some("ord % 13 = 0", "concat('bridge_', ord)").alias("bridge_nodes"),
-        F.bool_or(P.contains_any(F.lower("path"), V.FLAG_WORDS)).alias("flags"), F.bool_or(P.contains_any(F.lower("path"), V.DEPLOY_WORDS)).alias("deploy"),
+        F.bool_or("flag").alias("flags"), F.bool_or("deploys").alias("deploy"),
         F.sum(F.expr("CASE WHEN ord % 2 = 0 THEN 1 ELSE 0 END")).cast("int").alias("edges"), F.sum(F.expr("CASE WHEN ord % 5 = 0 THEN 2 ELSE 0 END")).cast("int").alias("unique_components"),
     ).withColumn("ownership", F.expr("map(files[0], concat('owner_', analysis_id))"))
