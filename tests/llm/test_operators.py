@@ -185,7 +185,7 @@ def test_verified_lines(spark):
     x = F.col("x")
     texts = d.select(F.col("a").alias("line_id"), x.alias("norm")).union(d.select("b", "y"))
     prints = line_dedup.prints_of(texts)
-    found = {r.a for r in line_dedup.verified(d.select("a", "b"), texts, prints).collect()}
+    found = {r.a for r in line_dedup.verified(d.select("a", "b"), texts, prints, Scratch(spark, "t")).collect()}
     near = lambda a, b: (line_simhash(a) ^ line_simhash(b)).bit_count() <= line_dedup.RADIUS and distance(a.split(), b.split()) <= 0.6 * max(len(a.split()), len(b.split()))
     assert found == {f"a{k}" for k, (a, b) in enumerate(rows) if alike(a, b) and near(a, b)}
     assert sum(alike(a, b) and not near(a, b) for a, b in rows) <= 0.02 * len(rows)
