@@ -22,9 +22,11 @@ def builtin_rules(spark: SparkSession) -> DataFrame:
 
 def rule_hits(changed: DataFrame, rules: DataFrame) -> DataFrame:
     """analysis_id, ord, path and the columns of each built-in rule that matches. The rule table is a fixed short list. A path is
-    matched once, however many change sets it is in.
+    matched once, however many change sets it is in; in a stream, where that would need state, once a row.
     """
     match = P.rule_matches(F.col("path"), F.col("path_markers"), F.col("extensions"), F.col("file_names"))
+    if changed.isStreaming:
+        return changed.join(F.broadcast(rules), match)
     hits = changed.select("path").distinct().join(F.broadcast(rules), match)
     return changed.join(hits, "path").select(*changed.columns, *rules.columns)
 

@@ -347,3 +347,39 @@ def test_gate_says_why(spark):
     gate = spark.createDataFrame([(1, 0.5, "DEGRADED"), (2, 0.98, "FULL")], "analysis_id long, evidence_completeness double, analysis_quality string")
     got = {r.analysis_id: r.score_description for r in health.gated(scored_, gate).collect()}
     assert got[2] is None and got[1] == "Risk score: 30/100 (MEDIUM) \u00b7 Analysis Quality: DEGRADED (50% evidence completeness) \u2014 " + V.GATE_EXPLANATIONS["DEGRADED"]
+
+
+def test_hits_by_window(spark, tmp_path):
+    from faultline.streaming import scoring
+
+    src = str(tmp_path / "in")
+    rows = [(1, 0, "auth/login.py", "2024-01-01 10:05:00"), (2, 0, "auth/token.py", "2024-01-01 10:50:00"), (3, 0, "auth/a.py", "2024-01-01 11:10:00"), (4, 0, "docs/x.md", "2024-01-01 11:20:00")]
+    spark.createDataFrame(rows, "analysis_id long, ord long, path string, arrived string").withColumn("arrived", F.to_timestamp("arrived")).write.parquet(src)
+    hits = scoring.hits_by_window(scoring.changed_stream(spark, src))
+    hits.writeStream.format("memory").queryName("hits_by_window").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    got = {(r.hour, r.n) for r in spark.sql("SELECT hour(window.start) AS hour, n FROM hits_by_window WHERE signal = 'authentication_change'").collect()}
+    assert got == {(10, 2), (11, 1)}
+
+
+def test_small_readers_and_views(spark, tmp_path):
+    from faultline.operators import export, store, views
+
+    files = spark.createDataFrame([(0, "a/b.py"), (1, "node_modules/x.js"), (2, "venv")], "ord long, path string")
+    assert [(r.filename, r.status) for r in diff.as_all_added(files).collect()] == [("a/b.py", "added")]
+    listing = spark.createDataFrame([(".git", True), ("Zed", True), ("alpha", False), ("dist", True)], "name string, is_dir boolean")
+    assert [r.name for r in readers.browse(listing, ["dist"]).collect()] == ["alpha", "Zed"]
+    folders = spark.createDataFrame([("src/Auth",), ("a/b/c/auth",), ("docs",)], "path string")
+    assert [r.path for r in readers.find_directories(folders, "auth").collect()] == ["src/Auth"]
+    xml = '<manifest><application><activity><intent-filter><action xmlns:android="u" android:name="go"/></intent-filter></activity></application></manifest>'
+    assert spark.range(1).select(readers.manifest_filters(F.lit(xml), "activity")).first()[0] == ["go"]
+    assert spark.range(1).select(P.missing_variables(F.lit("{{ a }} {{b}} {{ a }}"), ["b"])).first()[0] == ["a"]
+    statements = spark.createDataFrame([("FACT", 1), ("INFERENCE", 2)], "statement_type string, n int")
+    assert views.of_type(statements, "ALL").count() == 2 and [r.n for r in views.of_type(statements, "FACT").collect()] == [1]
+    stored = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int")
+    assert sorted((r.k, r.v) for r in store.replace_partition(stored, spark.createDataFrame([("a", 9)], "k string, v int"), "k").collect()) == [("a", 9), ("b", 3)]
+    s, ev, inputs = scored(spark, ["src/auth/login.py"])
+    sums = risk.scores(ev, inputs)
+    text = export.markdown(sums, export.risk_factors(ev, inputs.select("analysis_id", F.lit(1).alias("indirect"))), risk.ledger(ev, inputs), 1)
+    assert text.startswith("# Change risk report: 1") and f"**{s.score} / 100 ({s.level})**" in text and "FACT-001" in text
+    export.write_json(sums, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).first().export_format == "json"
