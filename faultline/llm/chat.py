@@ -93,7 +93,8 @@ def linked(conversations: DataFrame, scratch: Scratch) -> DataFrame:
     best = F.min(F.struct((F.col("part") > 0).alias("loose"), "level", "line", "part", (-F.col("source_turn")).alias("late"))).alias("x")
     links = scratch.keep(_latest(originals, quotes).groupBy(*KEY).agg(best).select("conv_id", "turn", (-F.col("x.late")).alias("reply_to"), F.lit(1).alias("depth")))
     roots = _roots(links, scratch)
-    l = _placed(roots, scratch).select(F.col("conv_id").alias("c2"), F.col("turn").alias("t2"), "reply_to", "root", "depth", "place")
+    # written, so that few links are seen to be few and messages need not be shuffled for them
+    l = scratch.keep(_placed(roots, scratch)).select(F.col("conv_id").alias("c2"), F.col("turn").alias("t2"), "reply_to", "root", "depth", "place")
     out = slim.join(l, (F.col("conv_id") == F.col("c2")) & (F.col("turn") == F.col("t2")), "left")
     levels = F.coalesce(F.array_max(F.transform("fl_quotes", lambda q: q["level"])), F.lit(0))
     return out.select("conv_id", "turn", "role", "text", levels.alias("max_level"), F.size("fl_quotes").alias("n_quotes"), "reply_to", F.coalesce("root", F.col("turn").cast("long")).alias("thread_turn"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("place", F.lit(0).cast("long")).alias("place"))
