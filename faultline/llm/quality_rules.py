@@ -120,15 +120,15 @@ def pruned(counts: list[tuple[int, int]]) -> int:
     return max(range(len(counts)), key=lambda k: ((counts[k][0] - counts[k][1]) / max(1, sum(counts[k])), -k)) + 1
 
 
-def learn(rows: DataFrame, bins: int = 32, max_rules: int = 8, max_conditions: int = 3, min_precision: float = 0.9, min_support: float = 0.001) -> DecisionList:
+def learn(rows: DataFrame, bins: int = 32, max_rules: int = 8, max_conditions: int = 3, min_precision: float = 0.9, min_support: float = 0.001, patience: int = 4) -> DecisionList:
     """Sequential covering over rows of statistics and `quality` (0 is what rules look for; null rows are ignored). Rows that the
     base test fails never reach the list, so it doesn't learn from them.
 
     Two thirds of the rows grow a rule, condition by condition, by FOIL gain over `bins` quantiles of each feature among the rows of
     either kind; the rest prune its last conditions by (p - n) / (p + n). A rule stays in the list if it is right on
     `min_precision` of the pruning rows it matches and of the growing rows, and finds `min_support` of all and three rows; what it
-    matches is then covered. If it does not stay, the condition it began with may begin no other rule until one stays.
-    Every step is one aggregation of at most features x bins rows. Without rows of both kinds: no rules.
+    matches is then covered. If it does not stay, the condition it began with may begin no other rule until one stays; `patience`
+    such rules in a row end the list. Every step is one aggregation of at most features x bins rows. Without rows of both kinds: no rules.
     """
     names = list(FEATURES)
     d = rows.where("quality IS NOT NULL").where(~base_failed()).select("quality", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(3)).alias("part"), *[F.expr(FEATURES[f]).alias(f) for f in names])
@@ -140,18 +140,22 @@ def learn(rows: DataFrame, bins: int = 32, max_rules: int = 8, max_conditions: i
     stacked = ", ".join(f"'{f}', size(filter(array({', '.join(f'{x!r}D' for x in v)}), x -> x <= {f}))" for f, v in cut.items())
     found: list[tuple[Condition, ...]] = []
     banned: set[tuple[str, bool]] = set()
+    begun: dict | None = None  # the counts that a rule begins with, the same until one stays
 
     def holds(rule: tuple[Condition, ...]) -> str:
         return " AND ".join(f"({c.feature} {'>=' if c.at_least else '<'} {c.threshold!r}D)" for c in rule) or "true"
 
-    while len(found) < max_rules:
+    while len(found) < max_rules and len(banned) < patience:
         left = d.where(" AND ".join(f"NOT ({holds(r)})" for r in found) or "true")
         grown: list[tuple[Condition, ...]] = []
         while len(grown) < max_conditions:
             rule = grown[-1] if grown else ()
-            grid = left.where("part < 2").where(holds(rule)).selectExpr("quality", f"stack({len(cut)}, {stacked}) AS (f, b)")
-            got = grid.groupBy("f", "b").agg(F.sum((F.col("quality") == 0).cast("long")).alias("p"), F.sum((F.col("quality") != 0).cast("long")).alias("n")).collect()
-            best = best_condition({f: sorted((r["b"], r["p"], r["n"]) for r in got if r["f"] == f) for f in cut}, cut, set() if grown else banned)
+            if rule or begun is None:
+                grid = left.where("part < 2").where(holds(rule)).selectExpr("quality", f"stack({len(cut)}, {stacked}) AS (f, b)")
+                got = grid.groupBy("f", "b").agg(F.sum((F.col("quality") == 0).cast("long")).alias("p"), F.sum((F.col("quality") != 0).cast("long")).alias("n")).collect()
+                counts = {f: sorted((r["b"], r["p"], r["n"]) for r in got if r["f"] == f) for f in cut}
+                begun = begun if rule else counts
+            best = best_condition(counts if rule else begun, cut, set() if grown else banned)
             if best is None:
                 break
             grown.append(with_condition(rule, best))
@@ -166,6 +170,7 @@ def learn(rows: DataFrame, bins: int = 32, max_rules: int = 8, max_conditions: i
             continue
         found.append(grown[k])
         banned.clear()
+        begun = None
     return DecisionList(tuple(found))
 
 
