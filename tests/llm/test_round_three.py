@@ -1,0 +1,288 @@
+"""Structure repair, exact dedup and vector codes against plain versions, and on odd rows."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from faultline.llm import codes, exact_dedup, queries, statements, turns
+from faultline.llm.common import Scratch
+
+SF = "/root/testdata/sf0.001"
+CONV = "conv_id long, turn long, role string, text string, fl_copies int, audit string"
+DOCS = "doc_id long, text string, fl_rid int, name string, h long, kept string"
+
+
+def faults(rows):
+    """Per row: fault, in order."""
+    seen, out = set(), []
+    for role, text in rows:
+        letters = re.sub(r"[\x20\x09-\x0d]", "", text)
+        fault = "blank" if not letters else "duplicate" if (role, text) in seen else "truncated" if letters[-1] not in ".!?" else ""
+        seen.add((role, text))
+        out.append(fault)
+    return out
+
+
+def every_repair(rows):
+    """The least (cost, audit, repaired) of all edits, tried one after the other."""
+    inserts = [()] + [("u",), ("a",), ("u", "a"), ("a", "u")]
+    kinds, best = faults(rows), None
+    edits = [["D"] if f in ("blank", "duplicate") else ["D", "K", "Ru", "Ra"] for f in kinds]
+    full = {"u": "user", "a": "assistant"}
+    for ways in itertools.product(*edits):
+        for gaps in itertools.product(inserts, repeat=len(rows) + 1):
+            cost, audit, out = 0, "", []
+            for k, gap in enumerate(gaps):
+                cost, audit, out = cost + 2 * len(gap), audit + "I" * len(gap), out + [(full[g], "") for g in gap]
+                if k < len(rows):
+                    way = ways[k]
+                    cost += {"D": 3, "K": 0}.get(way, 2) + (way != "D" and kinds[k] == "truncated")
+                    audit += way[0]
+                    if way != "D":
+                        out.append((rows[k][0] if way == "K" else full[way[1]], rows[k][1]))
+            if best and (cost, audit) >= best[:2]:
+                continue
+            if re.fullmatch("(s?(ua)+)?", "".join(r[:1] or "?" for r, _ in out)):
+                best = cost, audit, "\n".join(f"{r}:{t}" for r, t in out)
+    return best
+
+
+def by_strings(rows):
+    """The same by a search that carries whole strings."""
+    steps = {0: "us", 1: "u", 2: "a", 3: "u"}
+    to, full = {"s": 1, "u": 2, "a": 3}, {"u": "user", "a": "assistant"}
+    add = lambda out, role, text: f"{out}\n{role}:{text}" if out is not None else f"{role}:{text}"
+
+    def close(layer):
+        for _ in range(3):
+            for s, (c, a, o) in list(layer.items()):
+                x = "a" if s == 2 else "u"
+                new = (c + 2, a + "I", add(o, full[x], ""))
+                if to[x] not in layer or new[:2] < layer[to[x]][:2]:
+                    layer[to[x]] = new
+        return layer
+
+    layer = close({0: (0, "", None)})
+    for (role, text), fault in zip(rows, faults(rows)):
+        new = {}
+        for s, (c, a, o) in layer.items():
+            ways = [(s, (c + 3, a + "D", o))]
+            if fault not in ("blank", "duplicate"):
+                cut = fault == "truncated"
+                if role[:1] and role[:1] in steps[s]:
+                    ways.append((to[role[0]], (c + cut, a + "K", add(o, role, text))))
+                ways += [(to[x], (c + 2 + cut, a + "R", add(o, full[x], text))) for x in steps[s] if x != "s"]
+            for q, w in ways:
+                if q not in new or w[:2] < new[q][:2]:
+                    new[q] = w
+        layer = close(new)
+    c, a, o = min((layer[s] for s in (0, 3) if s in layer), key=lambda x: x[:2])
+    return c, a, o or ""
+
+
+def expected(rows):
+    """{conv_id: result} of undamaged (conv_id, turn, role, text), role and text filled."""
+    groups = defaultdict(list)
+    for c, t, r, x in rows:
+        groups[c].append((t is not None, t or 0, r or " " if r is not None else " ", x if x is not None else " "))
+    out = {}
+    for c, g in groups.items():
+        g.sort()
+        pairs, kinds = [(r, x) for _, _, r, x in g], None
+        kinds = Counter(faults(pairs))
+        ts = [t for some, t, _, _ in g if some]
+        illegal = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in itertools.pairwise(pairs))
+        cost, audit, text = by_strings(pairs)
+        out[c] = (max(ts) - min(ts) + 1 - len(set(ts)) if ts else 0, kinds["blank"], kinds["duplicate"], kinds["truncated"], illegal, cost, audit, hashlib.sha256(text.encode()).hexdigest())
+    return out
+
+
+def damage(rows):
+    out = []
+    for c, t, r, x in rows:
+        h = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        r, x = " " if r is None else r, " " if x is None else x
+        row = (c, t, "user" if h == 4 else r, "" if h == 1 else re.sub("[.!?]", "", x) if h == 2 else x)
+        out += [row] * {0: 0, 3: 2}.get(h, 1)
+    return out
+
+
+def conversations(seed, n, longest=9):
+    r, rows = random.Random(seed), []
+    for c in range(n):
+        for t in range(r.randrange(1, longest)):
+            role = r.choice(["user", "assistant", "user", "assistant", "system", "tool", None])
+            rows.append((c if c else None, r.choice([t, t, t, t + 1, None]), role, r.choice(["Yes.", "No", "", " \t", None, f"word {r.randrange(9)}!", "a.\n b", "Ja? "])))
+    return rows
+
+
+def test_search_by_strings_tries_everything():
+    r = random.Random(4)
+    for _ in range(60):
+        rows = [(r.choice(["user", "assistant", "system", "x"]), r.choice(["A.", "B", "", "C!"])) for _ in range(r.randrange(0, 4))]
+        assert by_strings(rows) == every_repair(rows), rows
+
+
+def test_repair_of_one_conversation():
+    r = random.Random(9)
+    for n in [0, 1, 2, 5, 8, 30, 120] * 12:
+        rows = [(r.choice(["user", "assistant", "user", "assistant", "system", "tool", ""]), r.choice(["A.", "B", "", f"C{r.randrange(50)}!", f"D{r.randrange(50)}"])) for _ in range(n)]
+        search = turns.Repair()
+        for (role, text), fault in zip(rows, faults(rows)):
+            search.add(1, role, text, 1, fault == "blank", fault == "truncated", fault != "duplicate")
+        got, (cost, audit, text) = search.result(), by_strings(rows)
+        assert (got["cost"], got["audit"], got["repaired_sha256"]) == (cost, audit, hashlib.sha256(text.encode()).hexdigest())
+
+
+@pytest.mark.parametrize("with_damage", [False, True])
+def test_repaired(spark, with_damage):
+    rows = conversations(2, 120)
+    df = spark.createDataFrame([(*r, 7, "x") for r in rows], CONV).repartition(5)
+    got = turns.repaired(turns.damaged(df) if with_damage else turns.filled(df)).collect()
+    want = expected(damage(rows) if with_damage else rows)
+    nothing = (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+    assert {x[0]: tuple(x[1:]) for x in got} == {c: want.get(c, nothing) for c in {r[0] for r in rows}}
+    assert len(got) == 120
+
+
+def test_repaired_turns_are_those_of_the_digest(spark):
+    df = turns.damaged(spark.createDataFrame([(*r, 7, "x") for r in conversations(5, 60)], CONV))
+    repairs = turns.repaired(df)
+    texts = defaultdict(list)
+    for r in sorted(turns.repaired_turns(df, repairs).collect(), key=lambda r: r.place):
+        texts[r.conv_id].append(f"{r.role}:{r.text}")
+    for r in repairs.collect():
+        assert hashlib.sha256("\n".join(texts[r.conv_id]).encode()).hexdigest() == r.repaired_sha256
+
+
+def test_repair_of_one_long_conversation(spark):
+    """A conversation with most rows, many equal, and a text of a million letters; and no rows at all."""
+    rows = [(1, t, "user" if t % 2 else "assistant", f"{t % 300}.") for t in range(4000)] + [(1, 7, "user", "long " * 200_000), (2, 0, "user", "Hi.")]
+    got = turns.repaired(turns.filled(spark.createDataFrame([(*r, 7, "x") for r in rows], CONV))).collect()
+    assert {x[0]: tuple(x[1:]) for x in got} == expected(rows)
+    none = spark.createDataFrame([], CONV)
+    assert turns.repaired(turns.damaged(none)).collect() == [] and turns.repaired_turns(turns.damaged(none), turns.repaired(turns.damaged(none))).collect() == []
+
+
+def exact_groups(rows):
+    groups = defaultdict(list)
+    for d, t in rows:
+        groups[t or ""].append(d)
+    most = {t: max((d for d in g if d is not None), default=None) for t, g in groups.items()}
+    return [(d, most[t or ""], len(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for d, t in rows], most, groups
+
+
+LONG = "".join(random.Random(1).choice("abcdé") for _ in range(20_000))
+EXACT = [(1, None), (2, ""), (None, ""), (3, "a"), (None, "alone"), (4, LONG), (5, LONG), (6, LONG + "x"), (7, LONG[:-1]), (8, LONG[:2048]), (9, LONG[:2048] * 2), (9, LONG[:2048] * 2), (10, " a"), (11, "A")]
+
+
+def test_exact_groups(spark):
+    rows = EXACT + [(100 + k, "ab" * (k % 7)) for k in range(40)]
+    df = spark.createDataFrame([(*r, 5, "n", 1, "k") for r in rows], DOCS).repartition(4)
+    got = exact_dedup.grouped(df, Scratch(spark, "t")).collect()
+    want, most, groups = exact_groups(rows)
+    assert Counter((x.doc_id, x.keep_id, x.group_size, x.text_sha256) for x in got) == Counter(want)
+    kept = [x for x in got if x.kept]
+    assert Counter(x.text_sha256 for x in kept) == Counter(hashlib.sha256(t.encode()).hexdigest() for t in groups) and all(x.doc_id == x.keep_id for x in kept)
+    left = exact_dedup.deduplicated(df, Scratch(spark, "t"))
+    assert left.columns == df.columns and Counter((x.doc_id, x.text or "") for x in left.collect()) == Counter((most[t], t) for t in groups)
+    none = spark.createDataFrame([], DOCS)
+    assert exact_dedup.grouped(none, Scratch(spark, "t")).collect() == [] and exact_dedup.deduplicated(none, Scratch(spark, "t")).collect() == []
+
+
+@pytest.mark.parametrize("values", [1, 3, 1 << 40])
+def test_identities_don_t_hang_on_the_hash(spark, values):
+    """With blocks of 4 bytes whose hashes are all or mostly equal, names still tell texts apart."""
+    r = random.Random(6)
+    texts = ["".join(r.choice("ab") for _ in range(r.randrange(0, 40))) for _ in range(300)] + ["ab" * 500, "ab" * 501, "ab" * 500]
+    rows = exact_dedup.numbered(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Scratch(spark, "t"))
+    named = exact_dedup.identities(rows, Scratch(spark, "t"), size=4, hashed=lambda b: F.pmod(F.xxhash64(b), F.lit(values)))
+    groups = defaultdict(set)
+    for x in named.join(rows, "fl_rid").collect():
+        groups[x.level, x.name].add(texts[x.doc_id])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(texts))
+
+
+def plain_codes(rows):
+    """(codes by row, digest) of (vec_id, vector, label) that are all usable."""
+    x = [[int(np.floor(v * 256)) for v in np.asarray(e, float)] for _, e, _ in rows]
+    size = len(x[0]) // 16
+    first = sorted({r[0]: e for r, e in reversed(sorted(zip(rows, x), key=lambda y: (y[0][0] is None, y[0][0] or 0, y[1])))}.items(), key=lambda y: (y[0] is None, y[0] or 0))
+    first = [e for k, e in first if k is not None][:64]
+    books = [[e[p * size : (p + 1) * size] for e in first] for p in range(16)]
+    nearest = lambda v, book: min((sum((a - b) ** 2 for a, b in zip(v, e)), k) for k, e in enumerate(book))
+    for step in range(3):
+        found = [[nearest(e[p * size : (p + 1) * size], books[p]) for p in range(16)] for e in x]
+        if step < 2:
+            for p in range(16):
+                for k in range(len(first)):
+                    mine = [e[p * size : (p + 1) * size] for e, f in zip(x, found) if f[p][1] == k]
+                    if mine:
+                        books[p][k] = [sum(c) // len(mine) for c in zip(*mine)]
+    errors = [sum(d for d, _ in f) for f in found]
+    by_label = Counter()
+    for (_, _, label), e in zip(rows, errors):
+        by_label[label] += e
+    digest = hashlib.sha256(",".join(str(c) for b in books for e in b for c in e).encode()).hexdigest()
+    return Counter((r[0], "".join(f"{k:02x}" for _, k in f), e, by_label[r[2]], digest) for r, f, e in zip(rows, found, errors))
+
+
+VECS = "vec_id long, embedding array<float>, label int, code string, error int, fl_vector int"
+
+
+@pytest.mark.parametrize("size,n", [(16, 30), (48, 150), (64, 260)])
+def test_codes(spark, size, n):
+    r = random.Random(size)
+    vector = lambda: [float(np.float32(r.choice([r.gauss(0, 0.3), r.gauss(0, 3), 0.0, -1 / 256]))) for _ in range(size)]
+    rows = [(r.randrange(10_000), vector(), r.choice([1, 2, None])) for _ in range(n)]
+    rows += [rows[0], rows[1], (rows[2][0], vector(), 1), (None, vector(), None)] + [(20_000 + k, rows[3][1], 1) for k in range(50)]
+    odd = [(-1, None, 1), (-2, [None] * size, 1), (-3, [float("nan")] * size, 1), (-4, [float("inf")] + [0.0] * (size - 1), 2), (-5, [], 1), (-6, [0.5] * 17, 1), (-7, [0.5] * 32, None)]
+    df = spark.createDataFrame([(*x, "c", 1, 2) for x in rows + odd], VECS).repartition(4)
+    got = codes.compressed(df, Scratch(spark, "t")).collect()
+    assert Counter(tuple(x) for x in got) == plain_codes(rows)
+    books = codes.fit(codes.kept(df).cache())
+    back = codes.restored(codes.compressed(df, Scratch(spark, "t")), books).collect()
+    assert {len(x.vector) for x in back} == {size}
+
+
+def test_nearest_loses_no_entry():
+    """Bounds filter, exact distances decide; ties go to the lower index, and parts of one or vast components are exact too."""
+    r = np.random.default_rng(3)
+    for size, spread in [(1, 50), (2, 3), (3, 200), (4, 2), (4, 300), (13, 100), (8, 1 << 25)]:
+        x, book = r.integers(-spread, spread + 1, (400, size)), r.integers(-spread, spread + 1, (64, size))
+        book[7], book[40] = book[3], x[5]
+        d = ((x[:, None] - book[None]) ** 2).sum(2)
+        best, least, counted = codes.nearest(x, book)
+        assert (best == d.argmin(1)).all() and (least == d.min(1)).all() and counted <= 400 * 65
+    x, book = r.integers(-200, 200, (400, 16)), r.integers(-200, 200, (64, 16))
+    assert codes.nearest(x, np.concatenate([book, x[:64]])[:64])[2] < 0.9 * 400 * 64
+
+
+def test_codes_of_vast_and_no_vectors(spark):
+    rows = [(1, [3e38] * 16, 1), (2, [-3e38] * 16, 1), (3, [0.1] * 16, None)]
+    got = {x.vec_id: x for x in codes.compressed(spark.createDataFrame([(*x, "c", 1, 2) for x in rows], VECS), Scratch(spark, "t")).collect()}
+    assert [got[k].code[:2] for k in (1, 2, 3)] == ["00", "01", "02"] and all(x.error == 0 for x in got.values())
+    for rest in ([], [(None, [0.5] * 16, 1)], [(1, [0.5] * 3, 1)]):
+        df = spark.createDataFrame([(*x, "c", 1, 2) for x in rest], VECS)
+        assert codes.compressed(df, Scratch(spark, "t")).collect() == []
+
+
+@pytest.mark.parametrize("name", ["op11_structure_repair", "op12_exact_dedup", "op13_vector_codes"])
+def test_queries_match_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    said = con.execute(statements.all_statements()[name])
+    columns = [d[0] for d in said.description]
+    want = Counter(tuple(map(str, r)) for r in said.fetchall())
+    got = queries.queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(columns) and Counter(tuple(str(x[c]) for c in columns) for x in got.collect()) == want
