@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -13,16 +12,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of the dictionary part that is trained on ordinary text and shared, and the (segment bytes, bytes) of the own parts
-#: of each pair of dictionaries.
-SHARED_BYTES, PAIRS = 32_768, ((16, 2_048), (24, 4_096))
-WINDOW, STRIDE = 8, 8
-#: Labelled documents of each kind that training reads at most, and the characters of the longest of them.
-SAMPLE, LONGEST = 4_000, 65_536
-#: Standard deviations by which a word must be commoner in one kind to be in its training text.
-EXCESS = 4.0
-#: Bytes saved by a window, for all pairs together, whose excess over ordinary windows a text is judged by.
-LEVELS = (4, 5, 6, 8, 10, 12, 16)
+#: Bytes of a dictionary, of the segments that zstandard's trainer puts together, and pairs of dictionaries.
+DICTIONARY_BYTES, SEGMENT, PAIRS = 65_536, 16, 5
+WINDOW, STRIDE = 12, 12
+#: Labelled documents of each kind that training reads at most, and the characters of the longest of them: 64 MB at most.
+SAMPLE, LONGEST = 4_000, 8_192
+#: Shares of ordinary windows below the levels that a text's windows are counted above, and bytes beyond the highest of them.
+SHARES, BEYOND = (0.5, 0.75, 0.9, 0.95, 0.98, 0.99, 0.995, 0.998, 0.999, 0.9995), (2, 4, 7)
 
 
 @dataclass(frozen=True)
@@ -30,6 +26,7 @@ class Model:
     """Pairs of dictionaries (ordinary, toxic) and the calibration of what their windows say about a text."""
 
     pairs: tuple[tuple[bytes, bytes], ...]
+    levels: tuple[int, ...]
     rates: tuple[float, ...]
     weights: tuple[float, ...]
     window: int = WINDOW
@@ -44,9 +41,9 @@ class Model:
         return out
 
     def features(self, margins: np.ndarray) -> list[float]:
-        """How far the windows at each level exceed the share they have in ordinary text, in standard deviations."""
+        """How far the windows above each level exceed the share they have in ordinary text, in standard deviations."""
         n, rate = len(margins), np.array(self.rates)
-        over = (margins[:, None] >= np.array(LEVELS)).sum(0)
+        over = (margins[:, None] >= np.array(self.levels)).sum(0)
         z = (over - n * rate) / np.sqrt(n * rate * (1 - rate) + 1)
         return [1.0, *np.log1p(np.maximum(z, 0)).tolist(), *np.minimum(z, 0).tolist()]
 
@@ -71,32 +68,22 @@ _MADE: dict[int, list] = {}
 def _compressors(m: Model) -> list:
     key = hash(m.pairs)
     if key not in _MADE:
-        # a thorough search: what the dictionary holds must not be missed
-        bare = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, window_log=17, hash_log=17, chain_log=17, search_log=6, min_match=4, target_length=32, write_content_size=False, write_checksum=False, write_dict_id=False)
-        make = lambda d: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=bare)
+        bare = zstandard.ZstdCompressionParameters.from_level(3, window_log=17, write_content_size=False, write_checksum=False, write_dict_id=False)
+        make = lambda d: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), compression_params=bare)
         _MADE[key] = [(make(o), make(t)) for o, t in m.pairs]
     return _MADE[key]
 
 
-def trained(samples: list[bytes], size: int, segment: int) -> bytes:
-    """A dictionary of at most `size` bytes that zstandard trains on the samples; what there is of them if it can't."""
+def trained(samples: list[bytes], size: int, segment: int = SEGMENT) -> bytes:
+    """A dictionary of at most `size` bytes, with entropy tables, that zstandard trains on the samples; what there is of them,
+    as plain content, if it can't.
+    """
     try:
         return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
     except zstandard.ZstdError:  # too few or too short
         return b"".join(samples)[:size]
 
 
-def peculiar(texts: list[list[bytes]], other: Counter, n_other: int, own: Counter, n_own: int, window: int) -> list[bytes]:
-    """Training text of one kind: windows over the words that its documents have at least twice as often as the other kind's
-    and by more than EXCESS standard deviations of that count, so that the trainer sees what sets it apart and not what both share.
-    """
-    out = []
-    for w in texts:
-        left = [x for x in w if own[x] - (mean := (other[x] + 0.5) * n_own / n_other) > max(mean, EXCESS * math.sqrt(mean + 1))]
-        out += [b" " + b" ".join(left[i : i + window]) + b" " for i in range(0, len(left), window)]
-    return out
-
-
 def _balanced(z: np.ndarray, ys: np.ndarray) -> float:
     """The cut of z with the best share of label 1 above it less the share of label 0 above it, the latter counted threefold."""
     cuts = np.unique(z)
@@ -105,33 +92,33 @@ def _balanced(z: np.ndarray, ys: np.ndarray) -> float:
     return float((cuts[k] + cuts[k - 1]) / 2 if k else cuts[k])
 
 
-def train(texts: list[str], labels: list[int], shared: int = SHARED_BYTES, pairs: tuple = PAIRS, window: int = WINDOW, stride: int = STRIDE) -> Model:
-    """Dictionaries trained by zstandard: a part that all share, on windows of ordinary text, and behind it, for each of `pairs`,
-    one on text peculiar to toxic documents and one on text peculiar to ordinary ones. How often ordinary windows reach each
-    level, the weights of a logistic regression and its cut at score 0.5 are then calibrated on every fourth document, which
-    the dictionaries don't see. Without documents of both kinds in both parts every score is 0.
+def train(texts: list[str], labels: list[int], size: int = DICTIONARY_BYTES, pairs: int = PAIRS, window: int = WINDOW, stride: int = STRIDE) -> Model:
+    """Dictionaries that zstandard trains on all windows of ordinary and on all windows of toxic documents.
+
+    Which of the strings that both kinds share get into a dictionary is chance, and that is most of what one pair says about a
+    window; so there are several pairs, each without another part of the documents, and what they save is added up. Levels, how often
+    ordinary windows reach them, the weights of a logistic regression and its cut at score 0.5 are calibrated on every fourth
+    document, which the dictionaries don't see. Without documents of both kinds in both parts every score is 0.
     """
     halves: tuple[list, list] = ([], [])
     for k, (t, y) in enumerate(zip(texts, labels)):
         halves[k % 4 == 3].append((t or "", int(y)))
-    none = Model((), (0.0,) * len(LEVELS), (-30.0, *(0.0,) * (2 * len(LEVELS))), window, stride)
+    n_levels = len(SHARES) + len(BEYOND)
+    none = Model((), (1,) * n_levels, (0.0,) * n_levels, (-30.0, *(0.0,) * (2 * n_levels)), window, stride)
     if not {0, 1} <= {y for _, y in halves[0]} or not {0, 1} <= {y for _, y in halves[1]}:
         return none
-    split = [[words_of(t) for t, y in halves[0] if y == kind] for kind in (0, 1)]
-    df = [Counter(x for w in part for x in set(w)) for part in split]
-    n = [len(part) for part in split]
-    base = trained([x for t, y in halves[0] if y == 0 for x in windows(t, window, window)], shared, 64)
-    samples = [peculiar(split[kind], df[1 - kind], n[1 - kind], df[kind], n[kind], window) for kind in (0, 1)]
-    made = []
-    for segment, size in pairs:
-        own = [trained(s, size, segment) for s in samples]
-        # equal lengths: what both dictionaries hold stands equally far from the text in both and costs the same
-        made.append(tuple(base + d.rjust(max(map(len, own)), b"\n") for d in own))
-    model = Model(tuple(made), (0.0,) * len(LEVELS), none.weights, window, stride)
+    cut = [[windows(t, window, window) for t, y in halves[0] if y == kind] for kind in (0, 1)]
+    left_out = lambda parts, i: [x for k, p in enumerate(parts) if k % pairs != i or len(parts) == 1 for x in p]
+    made = tuple(tuple(trained(left_out(parts, i), size) for parts in cut) for i in range(pairs))
+    model = replace(none, pairs=made)
     margins = [(model.margins(t), y) for t, y in halves[1]]
     plain = np.concatenate([m for m, y in margins if y == 0])
-    rates = tuple(float((plain >= c).mean()) + 1e-4 if len(plain) else 1e-4 for c in LEVELS)
-    model = Model(model.pairs, rates, none.weights, window, stride)
+    if not len(plain):
+        return none
+    levels = np.quantile(plain, SHARES).astype(int).tolist()
+    levels = tuple(levels + [levels[-1] + x for x in BEYOND])
+    rates = tuple(float((plain >= c).mean()) + 1e-4 for c in levels)
+    model = replace(model, levels=levels, rates=rates)
     x, ys = np.array([model.features(m) for m, _ in margins]), np.array([y for _, y in margins])
     scale = np.maximum(np.abs(x).max(0), 1e-9)
     z, w = x / scale, np.zeros(x.shape[1])
@@ -144,7 +131,7 @@ def train(texts: list[str], labels: list[int], shared: int = SHARED_BYTES, pairs
             break
     w = w / scale
     w[0] -= _balanced(x @ w, ys)
-    return Model(model.pairs, rates, tuple(float(v) for v in w), window, stride)
+    return replace(model, weights=tuple(float(v) for v in w))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE, longest: int = LONGEST) -> tuple[list[str], list[int]]:
@@ -170,8 +157,12 @@ def fit(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE) -> Model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, predicted of every row of docs (doc_id, text), over whole texts; null and empty texts score too."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of bounded size
+    """doc_id, score, predicted of every row of docs (doc_id, text), over whole texts.
+
+    Null and empty texts have no window and the score of that; equal texts score alike, so repeated rows and ties need no rule; rows without
+    doc_id score as well; other columns don't matter. No rows: no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # ten dictionaries of 64 KB, whatever the input
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value

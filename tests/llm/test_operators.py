@@ -463,6 +463,37 @@ def test_toxicity(spark, odd, none):
     assert all(0 <= x.score <= 1 for x in toxicity.scored(odd, model).collect()) and toxicity.scored(odd, model).count() == len(ODD)
     assert toxicity.scored(none, model).count() == 0
     assert toxicity.train(["a", "b"], [0, 0]).score("anything") < 0.5
+    # every dictionary is one of zstandard's own, with tables, trained on whole windows: it holds words that both kinds have
+    assert len(model.pairs) == toxicity.PAIRS and all(d[:4] == bytes.fromhex("37a430ec") for pair in model.pairs for d in pair)
+    shared = {w.encode() for _, t, _ in rows for w in t.split()} - {b.encode() for b in bad}
+    assert all(sum(w in d for w in shared) > 200 for pair in model.pairs for d in pair)
+    # scores by hand: compressed lengths of every window, counted above the levels, through the logistic weights
+    import math
+
+    import zstandard
+
+    for d, text, _ in rows[:25]:
+        w = text.encode().lower().split()
+        parts = [b" " + b" ".join(w[i : i + toxicity.WINDOW]) + b" " for i in range(0, len(w), toxicity.STRIDE)]
+        length = lambda d, p: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), compression_params=zstandard.ZstdCompressionParameters.from_level(3, window_log=17, write_content_size=False, write_checksum=False, write_dict_id=False)).compress(p))
+        saved = [sum(length(o, p) - length(t, p) for o, t in model.pairs) for p in parts]
+        z, n = [], len(parts)
+        for level, rate in zip(model.levels, model.rates):
+            z.append((sum(s >= level for s in saved) - n * rate) / math.sqrt(n * rate * (1 - rate) + 1))
+        x = [1.0] + [math.log1p(max(v, 0)) for v in z] + [min(v, 0) for v in z]
+        want = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(model.weights, x))))))
+        assert abs(got[d].score - want) < 1e-9 and got[d].predicted == (want >= 0.5)
+
+
+def test_toxicity_of_odd_tables(spark):
+    """A doc_id with several texts, repeated rows, clashing columns, a very long text; texts too long to learn from still score."""
+    rows = [(k, ("grimsnark " if k % 3 == 0 else "") + words(60, k, 300), "a") for k in range(90)]
+    rows += [(3, "another text", "a"), (3, "another text", "a"), (500, words(60_000, 5, 300), "b"), (None, "grimsnark", "a")]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(90)] + [(500, 1)], "doc_id long, toxic int")
+    texts, kinds = toxicity.training_rows(docs_of(spark, rows), labels, lambda d: d >= 0)
+    assert len(texts) == 90 and sum(kinds) == 30 and max(map(len, texts)) <= toxicity.LONGEST
+    got = toxicity.scored(docs_of(spark, rows), toxicity.train(texts, kinds)).collect()
+    assert Counter(x.doc_id for x in got) == Counter(d for d, _, _ in rows) and len({x.score for x in got if x.doc_id == 3}) <= 2
 
 
 def test_chat_linking(spark):
@@ -727,7 +758,24 @@ def test_passages_against_all_pairs(spark):
     assert sum(joined[i] == joined[j] for i, j in want) >= 0.9 * len(want)
 
 
-@pytest.mark.parametrize(("share", "least"), [(0.05, 1.0), (0.1, 0.95), (0.15, 0.9)])
+def test_passages_of_many_documents(spark):
+    """Two passages stand in 40 documents each, more than are tried with each other, and 60 of these share one of their own, too."""
+    r = random.Random(8)
+    fresh = lambda n: [f"q{r.randrange(10**6)}" for _ in range(n)]
+    both, one, two = fresh(120), fresh(70), fresh(70)
+    rows = []
+    for d in range(100):
+        parts = [fresh(60)] + [list(p) for p, has in ((both, d < passages.FEW + 28), (one, d % 2 == 0), (two, d % 3 == 0)) if has]
+        rows.append((d, " ".join(w for p in parts for w in p + fresh(30)), "a"))
+    got = passages.passages(docs_of(spark, rows), Scratch(spark, "t")).collect()
+    for mine in (set(range(passages.FEW + 28)), set(range(0, 100, 2)), set(range(0, 100, 3))):
+        order = sorted(mine)
+        near = {(x.a_doc_id, x.b_doc_id) for x in got} & {(a, b) for a in mine for b in mine}
+        root = closure(len(order), lambda i, j: (order[j], order[i]) in near)
+        assert len(set(root)) == 1
+
+
+@pytest.mark.parametrize(("share", "least"), [(0.05, 1.0), (0.1, 0.95), (0.15, 0.95), (0.18, 0.9), (0.2, 0.9)])
 def test_recall_of_edited_passages(spark, share, least):
     r = random.Random(int(share * 100))
     rows = []
