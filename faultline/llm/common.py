@@ -73,15 +73,20 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Bits of the map of wanted values in maybe_wanted, in rows of WORDS_A_ROW longs: 8 MB, whatever the input.
-MAP_BITS, WORDS_A_ROW = 1 << 26, 512
+#: Bits of the map of wanted values in maybe_wanted for each of them, and of the largest map (16 MB), in rows of WORDS_A_ROW longs.
+BITS_A_VALUE, MOST_BITS, WORDS_A_ROW = 16, 1 << 27, 512
 
 
 def maybe_wanted(rows: DataFrame, column: str, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows whose `column` is among the values of the same column of wanted, and few others: a bitmap of fixed size over
-    hashes is broadcast, so rows that can't match go before they are shuffled. An exact join has to settle the rest.
+    """The rows whose `column` is among the values of the same column of wanted, and few others: a bitmap over hashes is broadcast, so
+    rows that can't match go before they are shuffled. An exact join has to settle the rest. The map grows with the
+    wanted values up to MOST_BITS; where that is under 4 bits a value it would let most rows through, and all rows are returned.
     """
-    place = lambda: F.pmod(F.xxhash64(column), F.lit(MAP_BITS))
+    n = wanted.count()
+    if n * 4 > MOST_BITS:
+        return rows
+    bits = min(MOST_BITS, max(WORDS_A_ROW * 64, 1 << (n * BITS_A_VALUE - 1).bit_length() if n else 0))
+    place = lambda: F.pmod(F.xxhash64(column), F.lit(bits))
     bit, word = F.col("fl_map_place").bitwiseAND(F.lit(63)).cast("int"), F.shiftright("fl_map_place", 6)
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
     words = wanted.select(place().alias("fl_map_place")).groupBy(word.alias("word")).agg(F.bit_or(one).alias("bits"))
@@ -135,6 +140,41 @@ def runs(batches: Iterator[pd.DataFrame], keys: list[str], limit: int) -> Iterat
         yield part(), big
 
 
+def array_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each group of equal keys with two rows or more, whole, from frames sorted by keys."""
+    parts: list[dict[str, np.ndarray]] = []
+    key = None
+
+    def whole() -> dict[str, np.ndarray]:
+        return parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+
+    for frame in batches:
+        if not len(frame):
+            continue
+        columns = {c: frame[c].to_numpy() for c in frame.columns}
+        same = np.ones(len(frame) - 1, bool)
+        for k in keys:
+            same &= columns[k][1:] == columns[k][:-1]
+        cuts = np.concatenate(([0], np.flatnonzero(~same) + 1, [len(frame)]))
+        part = lambda i: {c: v[cuts[i] : cuts[i + 1]] for c, v in columns.items()}  # noqa: B023, E731
+        goes_on = bool(parts) and key == tuple(columns[k][0] for k in keys)
+        if goes_on:
+            parts.append(part(0))
+        if parts and (not goes_on or len(cuts) > 2):
+            group = whole()
+            parts = []
+            if len(group[keys[0]]) > 1:
+                yield group
+        for i in np.flatnonzero(np.diff(cuts[:-1]) > 1).tolist():
+            if i or not goes_on:
+                yield part(i)
+        if not parts:
+            parts = [part(len(cuts) - 2)]
+        key = tuple(columns[k][-1] for k in keys)
+    if parts and len((group := whole())[keys[0]]) > 1:
+        yield group
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of every node on an edge (a, b); root is the smallest node reachable.
 

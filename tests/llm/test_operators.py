@@ -186,7 +186,7 @@ def test_verified_lines(spark):
     texts = d.select(F.col("a").alias("line_id"), x.alias("norm")).union(d.select("b", "y"))
     prints = line_dedup.prints_of(texts)
     found = {r.a for r in line_dedup.verified(d.select("a", "b"), texts, prints, Scratch(spark, "t")).collect()}
-    near = lambda a, b: (line_simhash(a) ^ line_simhash(b)).bit_count() <= line_dedup.RADIUS and distance(a.split(), b.split()) <= 0.6 * max(len(a.split()), len(b.split()))
+    near = lambda a, b: max(len(a), len(b)) <= line_dedup.MOST_LETTERS or (line_simhash(a) ^ line_simhash(b)).bit_count() <= line_dedup.RADIUS and distance(a.split(), b.split()) <= 0.6 * max(len(a.split()), len(b.split()))
     assert found == {f"a{k}" for k, (a, b) in enumerate(rows) if alike(a, b) and near(a, b)}
     assert sum(alike(a, b) and not near(a, b) for a, b in rows) <= 0.02 * len(rows)
 
@@ -223,6 +223,49 @@ def test_recall_of_lines(spark):
         assert len(want) > 40 and sum(k in got for k in want) >= least * len(want), (n, edits)
 
 
+def test_recall_of_short_lines(spark):
+    """One letter of one word changed, left out or put in, in lines of one to eight words; and a word more or less."""
+    r, rows, pairs = random.Random(11), [], []
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(4, 9)))
+    for n in range(1, 9):
+        for k in range(80):
+            base = [word() for _ in range(n)]
+            other, i = list(base), r.randrange(n)
+            at = r.randrange(len(base[i]))
+            other[i] = base[i][:at] + r.choice(["#", "", "#" + base[i][at]]).replace("#", r.choice("aeiou")) + base[i][at + 1 :]
+            if k % 10 == 0 and n > 4:
+                other = [*base[:i], *base[i + 1 :]]
+            pairs.append((len(rows), n, alike(" ".join(base), " ".join(other))))
+            rows += [(len(rows), " ".join(base), "a"), (len(rows) + 1, " ".join(other), "a")]
+    rows.append((len(rows), "\u4e2d" * 60 + "\n" + "\u6587" + "\u4e2d" * 60 + "\n" + "z" * 70 + "\n" + "z" * 69, "a"))
+    got = {x.doc_id for x in line_dedup.deduplicated(docs_of(spark, rows), Scratch(spark, "t"), removed="gone").collect() if x.gone}
+    for n in range(1, 9):
+        want = [k + 1 for k, m, same in pairs if m == n and same]
+        assert len(want) > 30 and sum(k in got for k in want) >= 0.95 * len(want), n
+    assert not got & {k + 1 for k, _, same in pairs if not same}
+
+
+def test_lines_whose_blocks_are_all_in_thousands(spark):
+    """Lines of one long boilerplate and three words; in pairs of them the last and the first of the three differ, so no block is
+    in fewer lines than all of them.
+    """
+    r = random.Random(21)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common, rows = "please read the whole of this article before you write to us", []
+    for k in range(1900):
+        mine = word(34)
+        for _ in range(2 if k < 120 else 1):
+            rows.append((len(rows), f"{common} {word(4)} {mine} {word(4)}", "a"))
+    got = {x.doc_id for x in line_dedup.deduplicated(docs_of(spark, rows), Scratch(spark, "t"), removed="gone").collect() if x.gone}
+    assert got <= set(range(1, 240, 2)) and len(got) >= 0.9 * 120
+
+
+def test_blocks_are_few():
+    """Of a line of any length a bounded number counts."""
+    most = line_dedup.WINDOWS + line_dedup.PARTS
+    assert most <= 24 and line_dedup.MOST_LETTERS + 3 <= 64
+
+
 def test_line_simhash_of_long_lines(spark):
     rows = [(1, words(70_000, 1, 90), "a"), (2, words(400, 2), "a")]
     texts = docs_of(spark, rows).select(F.col("doc_id").alias("line_id"), F.col("text").alias("norm"))
