@@ -73,8 +73,8 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Bits of the map of wanted values in maybe_wanted for each of them, and of the largest map (16 MB), in rows of WORDS_A_ROW longs.
-BITS_A_VALUE, MOST_BITS, WORDS_A_ROW = 16, 1 << 27, 512
+#: Bits of the map of wanted values in maybe_wanted for each of them, and of the smallest and the largest map (16 MB), in rows of WORDS_A_ROW longs.
+BITS_A_VALUE, LEAST_BITS, MOST_BITS, WORDS_A_ROW = 64, 1 << 20, 1 << 27, 512
 
 
 def maybe_wanted(rows: DataFrame, column: str, wanted: DataFrame, scratch: Scratch) -> DataFrame:
@@ -85,7 +85,7 @@ def maybe_wanted(rows: DataFrame, column: str, wanted: DataFrame, scratch: Scrat
     n = wanted.count()
     if n * 4 > MOST_BITS:
         return rows
-    bits = min(MOST_BITS, max(WORDS_A_ROW * 64, 1 << (n * BITS_A_VALUE - 1).bit_length() if n else 0))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (n * BITS_A_VALUE).bit_length()))
     place = lambda: F.pmod(F.xxhash64(column), F.lit(bits))
     bit, word = F.col("fl_map_place").bitwiseAND(F.lit(63)).cast("int"), F.shiftright("fl_map_place", 6)
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
