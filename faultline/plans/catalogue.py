@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import paths as P
-from ..operators import centrality, diff, experiments, export, graph, health, policy, reconstruct, risk, store, traverse, views
+from ..operators import centrality, diff, experiments, export, graph, health, policy, reconstruct, risk, snapshots, store, traverse, views
 from ..sources import adapters as A
 from ..sources import parsers, readers
 from . import sql_views as S
@@ -278,6 +278,48 @@ def q_affected_symbols(spark, d):
     return diff.affected_symbols(symbols, ranges).select("path", "name", "kind", big("start_line"), big("end_line"))
 
 
+@query(f"""WITH {S.VERSIONS} SELECT 'modified' AS status, path, NULL AS previous_path FROM both_sides WHERE a <> b UNION ALL SELECT 'renamed', path, old_path FROM moved
+ UNION ALL SELECT 'deleted', path, NULL FROM lost WHERE path NOT IN (SELECT old_path FROM moved) UNION ALL SELECT 'added', path, NULL FROM fresh WHERE path NOT IN (SELECT path FROM moved)""")
+def q_snapshot_status(spark, d):
+    return snapshots.changes(*A.versions(spark, d), least=1).select("status", "path", "previous_path")
+
+
+@query(f"""WITH {S.VERSIONS}, tokens AS (SELECT side, path, line, count(*) AS n FROM (SELECT side, path, unnest(string_split(CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10))) AS line
+  FROM (SELECT 'old' AS side, path, text FROM lost WHERE path NOT IN (SELECT old_path FROM moved) UNION ALL SELECT 'new', path, text FROM fresh WHERE path NOT IN (SELECT path FROM moved)) WHERE text <> '') GROUP BY ALL),
+ sizes AS (SELECT side, path, sum(n) AS n_lines FROM tokens GROUP BY ALL),
+ met AS (SELECT a.path AS old_path, b.path AS path, sum(least(a.n, b.n)) AS common FROM tokens a JOIN tokens b ON a.line = b.line AND a.side = 'old' AND b.side = 'new' GROUP BY ALL)
+ SELECT m.old_path, m.path, CAST(common AS BIGINT) AS common, CAST(a.n_lines + b.n_lines AS BIGINT) AS lines FROM met m JOIN sizes a ON a.side = 'old' AND a.path = m.old_path JOIN sizes b ON b.side = 'new' AND b.path = m.path WHERE 4 * common >= a.n_lines + b.n_lines""")
+def q_snapshot_similar(spark, d):
+    old, new = A.versions(spark, d)
+    found = keep(snapshots.changes(old, new, least=1))
+    side = lambda files, status: files.join(found.where(F.col("status") == status).select("path"), "path", "left_semi")
+    pairs = snapshots.similar_files(side(old, "deleted"), side(new, "added"))
+    return pairs.select("old_path", "path", "common", F.round(2 * F.col("common") / F.col("similarity")).cast("bigint").alias("lines"))
+
+
+def snapshot_hunks(spark, d):
+    """(changes, hunks) between the two versions of all documents."""
+    old, new = A.versions(spark, d)
+    found = keep(snapshots.changes(old, new))
+    return found, snapshots.hunks(found, old, new)
+
+
+@query()
+def q_snapshot_hunks(spark, d):
+    found, hunks = snapshot_hunks(spark, d)
+    return hunks.join(found.select("path", "status", "previous_path"), "path")
+
+
+@query()
+def q_snapshot_symbols(spark, d):
+    """The paragraphs (three lines) of the new version that a hunk touches."""
+    hunks = keep(snapshot_hunks(spark, d)[1])
+    lines = A.versions(spark, d)[1].select("path", F.size(F.split("text", "\n")).alias("n"))
+    symbols = lines.select("path", "n", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(3))).alias("start_line"))
+    symbols = symbols.select("path", F.concat(F.lit("p"), "start_line").alias("name"), F.lit("function").alias("kind"), "start_line", F.least(F.col("start_line") + 2, "n").alias("end_line"))
+    return diff.affected_symbols(symbols, snapshots.ranges(hunks))
+
+
 # --- graphs ------------------------------------------------------------------------------------------------------------
 def tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, seeds) of the property graph over parts."""

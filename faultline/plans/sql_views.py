@@ -132,6 +132,16 @@ scores AS (SELECT *, CAST(round_even(greatest(least(normalized, 100.0), 0.0), 0)
 levels AS (SELECT *, CASE WHEN score >= 75 THEN 'CRITICAL' WHEN score >= 55 THEN 'HIGH' WHEN score >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM scores)"""
 
 
+#: The two versions of adapters.versions, and their lines with the number of each among its like in its file.
+VERSIONS = """docs AS (SELECT doc_id, doc_id % 10 AS k, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT *, string_split(text, chr(10)) AS l FROM docs),
+edited AS (SELECT *, array_to_string(list_filter(list_transform(range(len(l)), lambda i: CASE i % 5 WHEN 1 THEN NULL WHEN 3 THEN l[i + 1] || ' edited' ELSE l[i + 1] END), lambda x: x IS NOT NULL), chr(10)) || chr(10) || 'end of ' || doc_id AS e FROM cut),
+old AS (SELECT 'd/' || doc_id || '.txt' AS path, text FROM docs WHERE k <> 3),
+new AS (SELECT CASE WHEN k IN (1, 4) THEN 'moved/' ELSE 'd/' END || doc_id || '.txt' AS path, CASE WHEN k BETWEEN 4 AND 7 THEN e ELSE text END AS text FROM edited WHERE k <> 2),
+both_sides AS (SELECT coalesce(o.path, n.path) AS path, o.text AS a, n.text AS b FROM old o FULL JOIN new n ON o.path = n.path),
+lost AS (SELECT path, a AS text, row_number() OVER (PARTITION BY a ORDER BY path) AS nth FROM both_sides WHERE b IS NULL),
+fresh AS (SELECT path, b AS text, row_number() OVER (PARTITION BY b ORDER BY path) AS nth FROM both_sides WHERE a IS NULL),
+moved AS (SELECT l.path AS old_path, f.path FROM lost l JOIN fresh f ON l.text = f.text AND l.nth = f.nth)"""
 #: A property graph over parts: node kinds and edge kinds by key; the same as catalogue.graph().
 KINDS = ["file", "file", "file", "module", "class", "function", "api", "database", "folder", "package"]
 RELATIONS = ["IMPORTS", "CALLS", "EXPORTS", "DEPENDS_ON", "INHERITS", "USES", "IMPLEMENTS"]

@@ -90,3 +90,17 @@ def inputs_of(changes: DataFrame) -> DataFrame:
         F.bool_or("flag").alias("flags"), F.bool_or("deploys").alias("deploy"),
         F.sum(F.expr("CASE WHEN ord % 2 = 0 THEN 1 ELSE 0 END")).cast("int").alias("edges"), F.sum(F.expr("CASE WHEN ord % 5 = 0 THEN 2 ELSE 0 END")).cast("int").alias("unique_components"),
     ).withColumn("ownership", F.expr("map(files[0], concat('owner_', analysis_id))"))
+
+
+def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(old, new): two versions of a tree with a file (path, text) for each document. By doc_id % 10, 1 is moved, 2 deleted, 3 added, 4
+    moved and edited, 5 to 7 edited; an edit drops every fifth line, changes others and adds one.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    k = F.col("doc_id") % 10
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 1, F.lit(None)).when(i % 5 == 3, F.concat(x, F.lit(" edited"))).otherwise(x)), lambda x: x.isNotNull())
+    edited = F.concat(F.array_join(lines, "\n"), F.lit("\nend of "), F.col("doc_id").cast("string"))
+    at = lambda folder: F.concat(F.lit(folder), "doc_id", F.lit(".txt")).alias("path")
+    old = docs.where(k != 3).select(at("d/"), "text")
+    new = docs.where(k != 2).select(F.when(k.isin(1, 4), at("moved/")).otherwise(at("d/")).alias("path"), F.when((k >= 4) & (k <= 7), edited).otherwise(F.col("text")).alias("text"))
+    return old, new
