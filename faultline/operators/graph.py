@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import paths as P
+from ..plans.durable import keep
 
 # What may follow an import's base path, in order of preference
 CANDIDATE_ENDINGS = ["", ".kt", ".kts", ".java", ".ts", ".tsx", ".js", ".jsx", ".py", ".mjs", ".cjs", ".json", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/__init__.py"]
@@ -52,40 +53,81 @@ def candidates(bases: Column) -> Column:
     return F.flatten(F.transform(bases, lambda b: F.array(*[F.concat(b, F.lit(e)) for e in CANDIDATE_ENDINGS])))
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+#: Letters of the grams that index paths for substring search.
+GRAM = 6
+
+
+def containing(needles: DataFrame, files: DataFrame) -> DataFrame:
+    """repo_id, needle, path: of each needle (repo_id, needle) that paths of its repository (repo_id, path) contain, the smallest such path.
+
+    An inverted index of the paths' grams: a needle of up to GRAM letters is one itself, a longer one is looked up by the rarest of
+    its grams and compared with the paths that have it. A needle with a gram that no path has is dropped before that.
+    """
+    needles = keep(needles.where("needle <> ''").distinct())
+    size = F.least(F.length("needle"), F.lit(GRAM))
+    grams_of = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, n)))
+    # only grams as long as those asked for: at most GRAM lengths a repository
+    sizes = needles.groupBy("repo_id").agg(F.collect_set(size).alias("sizes"))
+    per = F.flatten(F.transform(F.filter("sizes", lambda n: n <= F.length("path")), lambda n: grams_of("path", n)))
+    index = keep(files.select("repo_id", "path").join(sizes, "repo_id").select("repo_id", "path", F.explode(per).alias("gram")))
+    frequency = index.groupBy("repo_id", "gram").agg(F.count("*").alias("df"), F.min("path").alias("least"))
+    asked = needles.select("repo_id", "needle", F.explode(grams_of("needle", size)).alias("gram")).join(frequency, ["repo_id", "gram"], "left")
+    rarest = asked.groupBy("repo_id", "needle").agg(F.min(F.struct("df", "gram", "least")).alias("x"), F.bool_or(F.col("df").isNull()).alias("absent")).where("NOT absent")
+    rarest = keep(rarest.select("repo_id", "needle", "x.gram", "x.least"))
+    short = rarest.where(F.length("needle") <= GRAM).select("repo_id", "needle", F.col("least").alias("path"))
+    met = rarest.where(F.length("needle") > GRAM).join(index, ["repo_id", "gram"]).where(F.contains("path", "needle"))
+    return short.unionByName(met.groupBy("repo_id", "needle").agg(F.min("path").alias("path")))
+
+
+def rewritten(imports: DataFrame, aliases: DataFrame) -> DataFrame:
+    """imports (repo_id, ord, k, src) with the first alias (repo_id, ord, prefix, replacement) that src begins with replaced. Prefixes of
+    the lengths that a repository's aliases have are joined equally.
+    """
+    key = ["repo_id", "ord", "k"]
+    sizes = aliases.groupBy("repo_id").agg(F.collect_set(F.length("prefix")).alias("sizes"))
+    heads = F.transform(F.filter("sizes", lambda n: n <= F.length("src")), lambda n: F.left("src", n))
+    asked = imports.join(sizes, "repo_id").select(*key, F.explode(heads).alias("prefix"))
+    hit = asked.join(aliases.select("repo_id", "prefix", "replacement", F.col("ord").alias("a_ord")), ["repo_id", "prefix"])
+    first = hit.groupBy(*key).agg(F.min(F.struct("a_ord", "prefix", "replacement")).alias("x"))
+    d = imports.join(first, key, "left")
+    src = F.when(F.col("x").isNotNull(), F.concat("x.replacement", F.substring("src", F.length("x.prefix") + 1, F.length("src")))).otherwise(F.col("src"))
+    return d.withColumn("src", src).drop("x")
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """imports (repo_id, ord, file_path, k, source_module, …) with target_path, null where nothing fits.
 
-    A ladder of equal joins: package and class names, candidate paths, dotted suffixes, path fragments on segment
-    boundaries, then stems of at least three letters. Where several files fit a rung the smallest path counts.
+    A ladder of equal joins: package and class names, then, with the first of a repository's aliases (repo_id, ord, prefix, replacement) put
+    in, candidate paths and dotted suffixes; what these leave is looked for anywhere in paths, and then by stems of at least three letters. A
+    relative import ends with its candidate paths. Where several files fit a rung the smallest path counts.
     """
     key = ["repo_id", "ord", "k"]
-    src = F.trim(P.slashed(F.col("source_module")))
-    i = imports.withColumn("src", src)
+    i = imports.withColumn("src", F.trim(P.slashed(F.col("source_module"))))
     f = files.select("repo_id", "ord", "file_path", "package_name", "defined_classes")
     packaged = f.where("coalesce(package_name, '') <> ''")
     names = packaged.select("repo_id", "ord", "file_path", F.explode(F.concat(F.array("package_name"), F.transform("defined_classes", lambda c: F.concat("package_name", F.lit("."), c)), "defined_classes")).alias("name"))
     names = names.groupBy("repo_id", "name").agg(F.max_by("file_path", "ord").alias("path"))
     asked = i.select(*key, F.posexplode(F.array(F.col("src"), F.element_at(F.split("src", r"\."), -1))).alias("rank", "name"))
     by_name = asked.join(names, ["repo_id", "name"]).select(*key, F.lit(1).alias("rung"), "rank", "path")
+    i = keep((i if aliases is None else rewritten(i, aliases)).select(*key, "file_path", "src").where("src <> ''"))
     tried = i.select(*key, F.posexplode(candidates(import_bases(F.col("file_path"), F.col("src")))).alias("rank", "path"))
     by_path = tried.join(f.select("repo_id", F.col("file_path").alias("path")), ["repo_id", "path"]).select(*key, F.lit(2).alias("rung"), "rank", "path")
-    far = i.where("src NOT LIKE '.%' AND src <> ''")
+    far = i.where("src NOT LIKE '.%'")
     seg = F.split("file_path", "/")
     tails = F.transform(F.sequence(F.lit(1), F.size(seg)), lambda n: F.array_join(F.slice(seg, n, F.size(seg)), "/"))
     tail = f.select("repo_id", F.col("file_path").alias("path"), F.explode(tails).alias("tail"))
     dotted = far.where("src LIKE '%.%'").select(*key, F.posexplode(F.array(*[F.concat(F.replace("src", F.lit("."), F.lit("/")), F.lit(e)) for e in DOTTED_ENDINGS])).alias("rank", "tail"))
     by_tail = dotted.join(tail, ["repo_id", "tail"]).select(*key, F.lit(3).alias("rung"), "rank", "path")
-    # a fragment of a path ends where a segment or its extension ends
-    heads = tail.select("repo_id", "path", F.explode(F.expr("transform(sequence(1, size(split(tail, '/'))), n -> array_join(slice(split(tail, '/'), 1, n), '/'))")).alias("frag"))
-    frags = heads.select("repo_id", "path", "frag").union(heads.select("repo_id", "path", F.regexp_replace("frag", r"\.[^./]+$", ""))).groupBy("repo_id", "frag").agg(F.min("path").alias("path"))
-    by_frag = far.select(*key, F.replace("src", F.lit("."), F.lit("/")).alias("frag")).join(frags, ["repo_id", "frag"]).select(*key, F.lit(4).alias("rung"), F.lit(0).alias("rank"), "path")
+    every = by_name.unionByName(by_path).unionByName(by_tail)
+    best = keep(every.groupBy(*key).agg(F.min(F.struct("rung", "rank", "path")).alias("x")).select(*key, "x.path"))
+    left = keep(far.join(best, key, "left_anti").withColumn("needle", F.replace("src", F.lit("."), F.lit("/"))))
+    inside = containing(left.select("repo_id", "needle"), f.select("repo_id", F.col("file_path").alias("path")))
+    by_part = keep(left.join(inside, ["repo_id", "needle"]).select(*key, "path"))
     stems = f.select("repo_id", F.col("file_path").alias("path"), F.get(F.split(F.element_at(seg, -1), r"\."), F.lit(0)).alias("stem")).groupBy("repo_id", "stem").agg(F.min("path").alias("path"))
-    plain = far.where("src NOT LIKE 'android.%' AND src NOT LIKE 'java.%' AND src NOT LIKE 'androidx.%'")
+    plain = left.join(by_part, key, "left_anti").where("src NOT LIKE 'android.%' AND src NOT LIKE 'java.%' AND src NOT LIKE 'androidx.%'")
     asked = plain.select(*key, F.element_at(F.split(F.element_at(F.split("src", r"\."), -1), "/"), -1).alias("stem")).where("length(stem) >= 3")
-    by_stem = asked.join(stems, ["repo_id", "stem"]).select(*key, F.lit(5).alias("rung"), F.lit(0).alias("rank"), "path")
-    every = by_name.unionByName(by_path).unionByName(by_tail).unionByName(by_frag).unionByName(by_stem)
-    best = every.groupBy(*key).agg(F.min(F.struct("rung", "rank", "path")).alias("x")).select(*key, F.col("x.path").alias("target_path"))
-    return imports.join(best, key, "left")
+    by_stem = asked.join(stems, ["repo_id", "stem"]).select(*key, "path")
+    return imports.join(best.unionByName(by_part).unionByName(by_stem).withColumnRenamed("path", "target_path"), key, "left")
 
 
 def import_rows(files: DataFrame) -> DataFrame:

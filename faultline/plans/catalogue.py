@@ -493,12 +493,21 @@ IMPORT_ROWS = f"""{S.FILES}, {S.IMPORTS}, f AS (SELECT ord, path FROM files WHER
  i AS (SELECT a.ord AS src, a.path AS file_path, dst, CASE dst % 3 WHEN 0 THEN regexp_replace(a.path, '[^/]*$', '') || regexp_extract(b.path, '([^/]*)$', 1) WHEN 1 THEN regexp_replace(b.path, '\\.[a-z]+$', '') END AS base FROM imports JOIN f a ON a.ord = src JOIN files b ON b.ord = dst)"""
 
 
-@query(f"""WITH {IMPORT_ROWS} SELECT src AS ord, i.dst % 3 AS form, count(t.path) > 0 AS found FROM i LEFT JOIN f t ON CASE i.dst % 3 WHEN 0 THEN t.path = i.base WHEN 1 THEN regexp_replace(t.path, '\\.(py|ts|tsx|kt|java)$', '') = i.base OR t.path = i.base OR regexp_replace(t.path, '\\.[a-z]+$', '') = i.base ELSE false END GROUP BY src, i.dst""")
+ENDINGS = " ".join(f"WHEN f.path = b.base || {S.text(e)} THEN {k}" for k, e in enumerate(graph.CANDIDATE_ENDINGS))
+
+
+@query(f"""WITH {IMPORT_ROWS}, b AS (SELECT DISTINCT base, dst % 3 AS form FROM i WHERE base IS NOT NULL),
+ exact AS (SELECT form, base, arg_min(path, rank) AS path FROM (SELECT b.form, b.base, f.path, CASE {ENDINGS} END AS rank FROM b JOIN f ON starts_with(f.path, b.base)) WHERE rank IS NOT NULL GROUP BY 1, 2),
+ part AS (SELECT b.base, min(f.path) AS path FROM b JOIN f ON contains(f.path, replace(b.base, '.', '/')) WHERE form = 1 GROUP BY 1)
+ SELECT src AS ord, i.dst, CASE WHEN i.dst % 6 = 1 THEN '~' ELSE '' END AS alias, coalesce(e.path, p.path) AS target_path
+ FROM i LEFT JOIN exact e ON e.base = i.base AND e.form = i.dst % 3 LEFT JOIN part p ON p.base = i.base AND i.dst % 3 = 1""")
 def q_import_resolution(spark, d):
     f = parsed(spark, d).where(~P.is_generated_or_vendor(F.col("file_path")))
-    rows = f.select("repo_id", "ord", "file_path", F.posexplode("imports").alias("k", "i")).select("repo_id", "ord", "file_path", "k", "i.source_module", "i.is_relative", "i.import_type", F.col("i.line_number").alias("dst"))
-    r = graph.resolve_imports(rows, f)
-    return r.select("ord", (F.col("dst") % 3).cast("bigint").alias("form"), F.col("target_path").isNotNull().alias("found"))
+    aliased = F.when(F.col("dst") % 6 == 1, "~").otherwise("")
+    rows = graph.import_rows(f).join(f.select("ord", F.posexplode("imports").alias("k", "i")).select("ord", "k", F.col("i.line_number").alias("dst")), ["ord", "k"])
+    rows = rows.withColumn("alias", aliased).withColumn("source_module", F.concat("alias", "source_module"))
+    aliases = spark.createDataFrame([("r", 1, "~missing", "gone"), ("r", 2, "~", ""), ("r", 3, "~src", "never")], "repo_id string, ord int, prefix string, replacement string")
+    return graph.resolve_imports(rows, f, aliases).select("ord", F.col("dst").cast("bigint").alias("dst"), "alias", "target_path")
 
 
 @query(f"""WITH {S.FILES}, f AS (SELECT * FROM files WHERE NOT {S.any_contains('lower(path)', V.IGNORED_PATTERNS)}),
