@@ -8,11 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.durable import keep
 from .scope import KEY, first_of, scope, scoped
 
 HUB_EXCLUDED = ["file", "folder", "package", "repository"]
 #: Sources of one repository whose paths one task follows.
 CHUNK = 64
+#: Edges of a repository up to which its paths are followed within tasks; above that by levels, as joins.
+TASK_EDGES = 200_000
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -54,27 +57,14 @@ def _dependencies(adjacency: dict[str, list[str]], sources: list[str]) -> dict[s
     return total
 
 
-def betweenness(ids: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """(repo_id,) id, score: Brandes' betweenness over directed edges between the ids of a repository, parallel edges
-    multiplying paths, divided by (n - 1)(n - 2); with two nodes or fewer the score is 0.
-
-    Sources are independent: CHUNK of them at a time meet their repository's edges in one task, so repositories and sources
-    spread over all tasks, and nothing comes to the driver. A task holds one repository's graph between its ids, so that
-    is what bounds its memory; `sources` takes a sample of them for large graphs.
-    """
-    if not scope(ids):
-        return betweenness(scoped(ids), scoped(edges), scoped(sources)).drop(KEY)
+def _within_tasks(starts: DataFrame, inner: DataFrame) -> DataFrame:
+    """repo_id, id, part: dependencies of starts (repo_id, id), CHUNK of them with their repository's edges in a task."""
     keys = [KEY]
-    own = ids.select(*keys, "id").distinct()
-    end = lambda c: own.withColumnRenamed("id", c)
-    inner = edges.select(*keys, "source", "target").join(end("source"), [*keys, "source"], "left_semi").join(end("target"), [*keys, "target"], "left_semi")
-    starts = own if sources is None else own.join(sources.select(*keys, "id"), [*keys, "id"], "left_semi")
     # chunks by hash: as many as the repository's sources need
     sizes = starts.groupBy(*keys).agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    by = [*keys, "chunk"]
     rows = starts.join(sizes, keys).select(*keys, F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"), F.col("id").alias("source"), F.lit(None).cast("string").alias("target"))
     graph = inner.join(sizes, keys).select(*keys, F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))).alias("chunk"), "source", "target")
-    schema = ", ".join([f"`{k}` {ids.schema[k].dataType.simpleString()}" for k in keys] + ["id string", "part double"])
+    schema = ", ".join([f"`{k}` {starts.schema[k].dataType.simpleString()}" for k in keys] + ["id string", "part double"])
 
     def part(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         is_edge = g["target"].notna()
@@ -86,10 +76,57 @@ def betweenness(ids: DataFrame, edges: DataFrame, sources: DataFrame | None = No
             out.insert(0, k, v)
         return out
 
-    sums = rows.unionByName(graph).groupBy(*by).applyInPandas(part, schema).groupBy(*keys, "id").agg(F.sum("part").alias("total"))
+    return rows.unionByName(graph).groupBy(*keys, "chunk").applyInPandas(part, schema)
+
+
+def _by_levels(starts: DataFrame, inner: DataFrame) -> DataFrame:
+    """As _within_tasks(), but as joins: forward, each level's nodes with the number of shortest paths from each start; backward, from the
+    last level to the first, what hangs on each node. A row is a start and a node it reaches, and no task holds a graph.
+    """
+    keys = [KEY]
+    edges = keep(inner.groupBy(*keys, "source", "target").agg(F.count("*").cast("double").alias("times")))
+    levels = [keep(starts.select(*keys, F.col("id").alias("start"), F.col("id").alias("node"), F.lit(1.0).alias("paths")))]
+    seen = levels[0].select(*keys, "start", "node")
+    while not levels[-1].isEmpty():
+        step = levels[-1].join(edges.withColumnRenamed("source", "node"), [*keys, "node"]).groupBy(*keys, "start", F.col("target").alias("node")).agg(F.sum(F.col("paths") * F.col("times")).alias("paths"))
+        levels.append(keep(step.join(seen, [*keys, "start", "node"], "left_anti")))
+        seen = seen.union(levels[-1].select(*keys, "start", "node"))
+    levels.pop()
+    total, hung = None, None
+    for k in range(len(levels) - 1, 0, -1):
+        d = levels[k]
+        d = d.withColumn("part", F.lit(0.0)) if hung is None else d.join(hung, [*keys, "start", "node"], "left").withColumn("part", F.coalesce(F.col("paths") * F.col("share"), F.lit(0.0))).drop("share")
+        d = keep(d)
+        out = d.select(*keys, F.col("node").alias("id"), "part")
+        total = out if total is None else total.union(out)
+        up = d.join(edges.withColumnRenamed("target", "node"), [*keys, "node"]).select(*keys, "start", F.col("source").alias("node"), (F.col("times") * (1 + F.col("part")) / F.col("paths")).alias("share"))
+        hung = up.groupBy(*keys, "start", "node").agg(F.sum("share").alias("share"))
+    return total if total is not None else starts.select(*keys, "id", F.lit(0.0).alias("part")).limit(0)
+
+
+def betweenness(ids: DataFrame, edges: DataFrame, sources: DataFrame | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
+    """(repo_id,) id, score: Brandes' betweenness over directed edges between the ids of a repository, parallel edges
+    multiplying paths, divided by (n - 1)(n - 2); with two nodes or fewer the score is 0.
+
+    Sources are independent. Repositories of up to `task_edges` edges meet CHUNK of their sources at a time in one task; in larger ones all
+    sources advance together, level by level, as joins. Both give the same scores, and nothing comes to the driver;
+    `sources` takes a sample of them.
+    """
+    if not scope(ids):
+        return betweenness(scoped(ids), scoped(edges), scoped(sources), task_edges).drop(KEY)
+    keys = [KEY]
+    own = ids.select(*keys, "id").distinct()
+    end = lambda c: own.withColumnRenamed("id", c)
+    inner = keep(edges.select(*keys, "source", "target").join(end("source"), [*keys, "source"], "left_semi").join(end("target"), [*keys, "target"], "left_semi"))
+    starts = own if sources is None else own.join(sources.select(*keys, "id"), [*keys, "id"], "left_semi")
+    large = keep(inner.groupBy(*keys).agg(F.count("*").alias("n_edges")).where(F.col("n_edges") > task_edges).select(*keys))
+    part = lambda d, how: d.join(large, keys, how)
+    parts = _within_tasks(part(starts, "left_anti"), part(inner, "left_anti"))
+    if not large.isEmpty():
+        parts = parts.unionByName(_by_levels(part(starts, "left_semi"), part(inner, "left_semi")))
+    sums = parts.groupBy(*keys, "id").agg(F.sum("part").alias("total"))
     n = own.groupBy(*keys).agg(F.count("*").alias("n"))
-    d = own.join(sums, [*keys, "id"], "left")
-    d = d.join(n, keys)
+    d = own.join(sums, [*keys, "id"], "left").join(n, keys)
     score = F.when(F.col("n") > 2, F.coalesce("total", F.lit(0.0)) / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(F.lit(0.0))
     return d.select(*keys, "id", score.alias("score"))
 

@@ -179,6 +179,30 @@ def function_ids(nodes: DataFrame, names: DataFrame) -> DataFrame:
     return nodes.where(F.col("kind").isin(["function", "class"])).join(names.select(*scope(nodes), "label").distinct(), [*scope(nodes), "label"], "left_semi")
 
 
+def reach_of_folders(inside: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id,) folder, reach: how many nodes outside a folder reach one of its files (inside: id, folder) over edges at any distance.
+
+    Folders are numbered and 64 of them are the bits of a long, so a node has a row for each 64 folders it reaches, not for each. In each
+    round the bits that nodes gained are or-ed into those that point at them, until no node gains any.
+    """
+    keys = scope(inside)
+    numbered = keep(inside.select(*keys, "folder").distinct().repartitionByRange(*keys, "folder").sortWithinPartitions(*keys, "folder").withColumn("n", F.monotonically_increasing_id()))
+    word, bit = F.shiftright("n", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n").bitwiseAND(F.lit(63)).cast("int"))
+    gained = keep(inside.join(numbered, [*keys, "folder"]).groupBy(*keys, F.col("id").alias("node"), word).agg(F.bit_or(bit).alias("bits")))
+    known, by = gained, [*keys, "node", "word"]
+    back = keep(edges.select(*keys, "source", F.col("target").alias("node")).distinct())
+    while not gained.isEmpty():
+        step = gained.join(back, [*keys, "node"]).groupBy(*keys, F.col("source").alias("node"), "word").agg(F.bit_or("bits").alias("more"))
+        gained = keep(step.join(known, by, "left").select(*by, F.col("more").bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0).cast("long")))).alias("bits")).where("bits <> 0"))
+        known = keep(known.union(gained).groupBy(*by).agg(F.bit_or("bits").alias("bits")))
+    # bits are counted by word first, so what is exploded is 64 counts a word
+    counts = known.groupBy(*keys, "word").agg(*[F.sum(F.getbit("bits", F.lit(k))).alias(f"c{k}") for k in range(64)])
+    each = counts.select(*keys, F.posexplode(F.array(*[F.col(f"c{k}") for k in range(64)])).alias("k", "c"), "word")
+    each = each.select(*keys, (F.shiftleft("word", 6) + F.col("k")).alias("n"), "c").join(numbered, [*keys, "n"])
+    own = inside.groupBy(*keys, "folder").agg(F.countDistinct("id").alias("own"))
+    return each.join(own, [*keys, "folder"]).select(*keys, "folder", (F.col("c") - F.col("own")).alias("reach"))
+
+
 def folder_metrics(files: DataFrame, edges: DataFrame, folders: DataFrame) -> DataFrame:
     """For folders (folder): files under it, distinct files outside that import it or that it imports, edge counts and
     how many files outside reach it at any distance. files: id, path; edges: source, target.
@@ -195,7 +219,7 @@ def folder_metrics(files: DataFrame, edges: DataFrame, folders: DataFrame) -> Da
     outgoing = out.groupBy(*keys, "folder").agg(F.count_if("t_in").alias("internal_edges"), F.countDistinct(F.when(F.col("t_in").isNull(), F.col("target"))).alias("external_targets"), F.count_if(F.col("t_in").isNull()).alias("n_out"))
     into = edges.select(*keys, "source", "target").join(t, [*keys, "target"]).join(s, [*keys, "source", "folder"], "left_anti")
     incoming = into.groupBy(*keys, "folder").agg(F.countDistinct("source").alias("external_importers"), F.count("*").alias("n_in"))
-    reach = search(edges, inside.select(*keys, F.col("folder").alias("key"), F.col("id").alias("node"), F.lit(0).alias("ord")), None).where("depth > 0").groupBy(*keys, F.col("key").alias("folder")).agg(F.count("*").alias("reach"))
+    reach = reach_of_folders(inside, edges)
     base = inside.groupBy(*keys, "folder").agg(F.count("*").alias("n_files"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     by = [*keys, "folder"]

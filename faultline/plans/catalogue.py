@@ -376,15 +376,16 @@ def q_blast_apis_tests(spark, d):
     return traverse.affected(traverse.blast("fallback", nodes, edges, seeds), nodes).select(join_list("apis"), join_list("db_models"), join_list("tests"))
 
 
-@query(f"""WITH {S.GRAPH}, folders AS (SELECT * FROM (VALUES ('src'), ('app/api'), ('docs')) AS f(folder)), m AS (SELECT folder, id FROM folders JOIN nodes ON starts_with(path, folder || '/')),
+@query(f"""WITH RECURSIVE {S.GRAPH}, folders AS (SELECT * FROM (VALUES ('src'), ('app/api'), ('docs')) AS f(folder)), walk(folder, node) AS (SELECT folder, id FROM folders JOIN nodes ON starts_with(path, folder || '/') UNION SELECT w.folder, e.source FROM walk w JOIN edges e ON e.target = w.node), m AS (SELECT folder, id FROM folders JOIN nodes ON starts_with(path, folder || '/')),
  x AS (SELECT s.folder AS sf, t.folder AS tf, e.source, e.target FROM edges e LEFT JOIN m s ON s.id = e.source LEFT JOIN m t ON t.id = e.target),
  o AS (SELECT f.folder, e.source, e.target, EXISTS (SELECT 1 FROM m WHERE m.folder = f.folder AND m.id = e.source) AS s_in, EXISTS (SELECT 1 FROM m WHERE m.folder = f.folder AND m.id = e.target) AS t_in FROM folders f, edges e)
  SELECT folder, (SELECT count(*) FROM m WHERE m.folder = o.folder) AS n_files, count(DISTINCT source) FILTER (t_in AND NOT s_in) AS external_importers, count(DISTINCT target) FILTER (s_in AND NOT t_in) AS external_targets,
- count(*) FILTER (s_in AND t_in) AS internal_edges, count(*) FILTER (s_in <> t_in) AS external_edges FROM o GROUP BY folder""")
+ count(*) FILTER (s_in AND t_in) AS internal_edges, count(*) FILTER (s_in <> t_in) AS external_edges,
+ (SELECT count(*) FROM walk w WHERE w.folder = o.folder) - (SELECT count(*) FROM m WHERE m.folder = o.folder) AS reach FROM o GROUP BY folder""")
 def q_folder_metrics(spark, d):
     nodes, edges, _ = tables(spark, d)
     folders = spark.createDataFrame([("src",), ("app/api",), ("docs",)], "folder string")
-    return traverse.folder_metrics(nodes.select("id", "path"), edges, folders).drop("reach")
+    return traverse.folder_metrics(nodes.select("id", "path"), edges, folders)
 
 
 @query(f"""WITH RECURSIVE {S.GRAPH}, e AS (SELECT * FROM edges WHERE relationship = 'CALLS'), roots AS (SELECT id FROM nodes ORDER BY ord LIMIT 20),
@@ -538,7 +539,22 @@ def q_fan_in_out(spark, d):
     return graph.fan(f, _direct_edges(spark, d)).select("file_path", "fan_in", "fan_out")
 
 
-@query()
+_LIKE = lambda roots: "(" + " OR ".join(f"starts_with(module, {S.text(r)})" for r in roots) + ")"
+
+
+@query(f"""WITH {IMPORT_ROWS}, b AS (SELECT DISTINCT base, dst % 3 AS form FROM i WHERE base IS NOT NULL),
+ exact AS (SELECT form, base, arg_min(path, rank) AS path FROM (SELECT b.form, b.base, f.path, CASE {ENDINGS} END AS rank FROM b JOIN f ON starts_with(f.path, b.base)) WHERE rank IS NOT NULL GROUP BY 1, 2),
+ part AS (SELECT b.base, min(f.path) AS path FROM b JOIN f ON contains(f.path, replace(b.base, '.', '/')) WHERE form = 1 GROUP BY 1),
+ r AS (SELECT src, i.file_path, CASE i.dst % 3 WHEN 0 THEN './' || regexp_extract(t.path, '([^/]*)$', 1) WHEN 1 THEN i.base ELSE 'missing.' || i.dst END AS module, coalesce(e.path, p.path) AS target
+  FROM i JOIN files t ON t.ord = i.dst LEFT JOIN exact e ON e.base = i.base AND e.form = i.dst % 3 LEFT JOIN part p ON p.base = i.base AND i.dst % 3 = 1),
+ k AS (SELECT *, starts_with(module, '.') OR {_LIKE(V.INTERNAL_ROOTS)} AS internal, {_LIKE(V.EXTERNAL_ROOTS)} AS external FROM r),
+ c AS (SELECT count(*) FILTER (internal) AS attempted, count(*) FILTER (internal AND target IS NOT NULL) AS resolved, count(*) FILTER (target IS NULL AND (internal OR NOT external)) AS unresolved,
+  count(DISTINCT file_path) FILTER (target = file_path) AS self_edges, count(*) FILTER (target IS NOT NULL) - count(DISTINCT file_path || ' ' || target) AS duplicate_edges FROM k),
+ q AS (SELECT *, round_even(resolved / attempted, 4) AS resolution_rate FROM c),
+ s AS (SELECT *, CASE WHEN resolution_rate >= 0.95 AND unresolved = 0 THEN 'HEALTHY' WHEN resolution_rate >= 0.7 THEN 'DEGRADED' ELSE 'POOR' END AS status FROM q)
+ SELECT 'r' AS repo_id, attempted, resolved, unresolved, self_edges, duplicate_edges, resolution_rate, status, array_to_string(list_filter([
+  CASE WHEN self_edges > 0 THEN 'Detected ' || self_edges || ' self-import statement(s).' END,
+  CASE WHEN status <> 'HEALTHY' THEN 'Graph quality is ' || status || ' (' || round_even(resolution_rate * 100, 1) || '% resolution rate, ' || unresolved || ' unresolved imports). Blast-radius confidence may be reduced.' END], lambda w: w IS NOT NULL), '|') AS warnings FROM s""")
 def q_import_counters(spark, d):
     f = parsed(spark, d).where(~P.is_generated_or_vendor(F.col("file_path")))
     c = graph.import_counters(graph.resolve_imports(graph.import_rows(f), f), f)
