@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import paths as P
 from ..plans.durable import keep
-from ..sources import parsers, readers
-from . import centrality, graph, health, risk, traverse
+from ..sources import parse_cache, parsers, readers, symbols
+from . import centrality, diff, graph, health, risk, snapshots, traverse
 
 
 @dataclass(frozen=True)
@@ -26,6 +26,7 @@ class Analysis:
     inputs: DataFrame
     evidence: DataFrame
     scores: DataFrame
+    affected: DataFrame
 
 
 def declared_entrypoints(sources: DataFrame) -> DataFrame:
@@ -51,12 +52,42 @@ def counters(sources: DataFrame, parsed: DataFrame) -> DataFrame:
     return seen.join(done, "repo_id", "left").withColumns(zero)
 
 
-def analyse(sources: DataFrame, changed: DataFrame, rules: DataFrame) -> Analysis:
+def changed_files(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(changed, ranges) of one analysis of each repository: what differs between two versions of its files (repo_id, analysis_id, path,
+    text), in order of path, and the lines of the new version that do.
+    """
+    ids = keep(new.select("repo_id", "analysis_id").unionByName(old.select("repo_id", "analysis_id")).distinct())
+    side = lambda d: d.select("repo_id", "path", "text")
+    found = keep(snapshots.changes(side(old), side(new)))
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy("path")) - 1
+    changed = found.join(ids, "repo_id").select("repo_id", "analysis_id", place.cast("long").alias("ord"), "path")
+    lines = snapshots.ranges(snapshots.hunks(found.where("status <> 'deleted'"), side(old), side(new), 0))
+    return keep(changed), keep(lines.join(ids, "repo_id"))
+
+
+def affected_functions(sources: DataFrame, ranges: DataFrame) -> DataFrame:
+    """repo_id, analysis_id, path, name, kind, start_line, end_line of the symbols of sources that the changed ranges (repo_id, analysis_id, path,
+    start, end) of an analysis touch. Only files with a range are scanned.
+    """
+    touched = sources.join(ranges.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi")
+    found = keep(symbols.symbols(touched.select("repo_id", "path", "text")))
+    # a repository can have several analyses: each has its ranges, as if it were a repository of its own
+    scoped = lambda d: d.withColumn("repo_id", F.struct("repo_id", "analysis_id")).drop("analysis_id")
+    each = found.join(ranges.select("repo_id", "path", "analysis_id").distinct(), ["repo_id", "path"])
+    hit = diff.affected_symbols(scoped(each), scoped(ranges))
+    return hit.select("repo_id.repo_id", "repo_id.analysis_id", "path", "name", "kind", "start_line", "end_line")
+
+
+def analyse(sources: DataFrame, changed: DataFrame, rules: DataFrame, ranges: DataFrame | None = None, owners: DataFrame | None = None, cache: str | None = None) -> Analysis:
     """Everything about change sets (repo_id, analysis_id, ord, path) of repositories whose files are sources (repo_id, ord, path,
     text). An analysis belongs to one repository. Without usable source the gate says so and lowers the score's confidence.
+
+    With ranges (repo_id, analysis_id, path, start, end) of changed lines the functions they touch are evidence, owners (repo_id, path,
+    owner) name reviewers, and `cache` is the folder of a parse cache.
     """
     spark = sources.sparkSession
-    parsed = keep(parsers.parse(sources.withColumn("n_chars", F.length(F.btrim(F.coalesce("text", F.lit("")))))))
+    counted = sources.withColumn("n_chars", F.length(F.btrim(F.coalesce("text", F.lit("")))))
+    parsed = keep(parsers.parse(counted) if cache is None else parse_cache.parse(counted, cache))
     declared = keep(declared_entrypoints(sources))
     files = parsed.withColumnRenamed("path", "file_path")
     nodes, edges = (keep(x) for x in graph.knowledge_graph(files, declared))
@@ -76,10 +107,20 @@ def analyse(sources: DataFrame, changed: DataFrame, rules: DataFrame) -> Analysi
         by_ord(P.contains_any(low, V.CRITICAL_WORKER)).alias("critical_modules"), F.bool_or(P.contains_any(low, V.FLAG_WORDS)).alias("flags"), F.bool_or(P.contains_any(low, V.DEPLOY_WORDS)).alias("deploy"),
     )
     none = F.array().cast("array<string>")
-    d = d.join(counts, by, "left").join(hubs, by, "left").join(bridges, by, "left")
+    no_ranges = spark.createDataFrame([], "name string").select(*[F.lit(None).cast(changed.schema[k].dataType).alias(k) for k in by], F.lit("").alias("path"), "name", F.lit("").alias("kind"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"))
+    affected = keep(no_ranges if ranges is None else affected_functions(sources, ranges))
+    names = affected.where("kind = 'function'").groupBy(*by).agg(F.transform(F.array_sort(F.collect_set(F.struct("path", "start_line", "name"))), lambda x: x["name"]).alias("affected_functions"))
+    reached = impact.where("depth > 0").groupBy("repo_id", F.col("key").alias("analysis_id")).agg(F.count("*").cast("int").alias("unique_components"))
+    # the edges that lead from what is impacted to what is impacted
+    ends = lambda c: impact.select("repo_id", F.col("key").alias("analysis_id"), F.col("node").alias(c))
+    among = traverse.PRESETS["fallback"].edges(edges).select("repo_id", "source", "target").join(ends("source"), ["repo_id", "source"]).join(ends("target"), [*by, "target"], "left_semi").groupBy(*by).agg(F.count("*").cast("int").alias("edges"))
+    if owners is not None:
+        owned = changed.join(owners, ["repo_id", "path"]).groupBy(*by).agg(F.map_from_entries(F.collect_set(F.struct("path", "owner"))).alias("ownership"))
+    d = d.join(counts, by, "left").join(hubs, by, "left").join(bridges, by, "left").join(names, by, "left").join(reached, by, "left").join(among, by, "left")
+    d = d.withColumn("ownership", F.lit(None).cast("map<string,string>")) if owners is None else d.join(owned, by, "left")
     inputs = keep(d.withColumns({
-        "dependency_count": F.coalesce("dependency_count", F.lit(0)), "hub_nodes": F.coalesce("hub_nodes", none), "bridge_nodes": F.coalesce("bridge_nodes", none), "affected_functions": none,
-        "edges": F.lit(0), "unique_components": F.lit(0), "ownership": F.create_map().cast("map<string,string>"),
+        "dependency_count": F.coalesce("dependency_count", F.lit(0)), "hub_nodes": F.coalesce("hub_nodes", none), "bridge_nodes": F.coalesce("bridge_nodes", none), "affected_functions": F.coalesce("affected_functions", none),
+        "edges": F.coalesce("edges", F.lit(0)), "unique_components": F.coalesce("unique_components", F.lit(0)), "ownership": F.coalesce("ownership", F.create_map().cast("map<string,string>")),
     }))
     size = nodes.groupBy("repo_id").agg(F.count("*").alias("ast_nodes"))
     gate = counters(sources, parsed).join(size, "repo_id", "left").withColumns({"ast_nodes": F.coalesce("ast_nodes", F.lit(0)), "has_git_diff": F.lit(True), "has_test_analysis": F.lit(True)})
@@ -87,4 +128,4 @@ def analyse(sources: DataFrame, changed: DataFrame, rules: DataFrame) -> Analysi
     evidence = keep(risk.evidence(changed.select("analysis_id", "ord", "path"), inputs, rules if rules is not None else risk.builtin_rules(spark)))
     scores = risk.scores(evidence, inputs)
     gated = inputs.select("repo_id", "analysis_id").join(gate.select("repo_id", "evidence_completeness", "analysis_quality"), "repo_id").drop("repo_id")
-    return Analysis(parsed, nodes, edges, impact, gate, inputs, evidence, health.gated(scores, gated))
+    return Analysis(parsed, nodes, edges, impact, gate, inputs, evidence, health.gated(scores, gated), affected)

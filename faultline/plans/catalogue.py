@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import paths as P
-from ..operators import centrality, diff, experiments, export, graph, health, policy, reconstruct, risk, snapshots, store, traverse, views
+from ..operators import analysis, centrality, diff, experiments, export, graph, health, policy, reconstruct, risk, snapshots, store, traverse, views
 from ..sources import adapters as A
 from ..sources import parsers, readers
 from . import sql_views as S
@@ -320,6 +320,24 @@ def q_snapshot_symbols(spark, d):
     return diff.affected_symbols(symbols, snapshots.ranges(hunks))
 
 
+CODE_CHANGED = "changed AS (SELECT ord % 5 AS analysis_id, ord, path FROM files WHERE ord % 3 = 0)"
+TREE_SCORED = S.scored_views().replace(S.CHANGED, CODE_CHANGED).replace("sum(ord % 7) AS dependency_count", "0 AS dependency_count").replace("FILTER (ord % 3 = 0) AS n_functions", f"FILTER (suffix = '.py' AND NOT {S.any_contains('low', V.IGNORED_PATTERNS)} AND NOT name IN {S.inside(V.PARSER_CONFIG_FILENAMES)}) AS n_functions")
+TREE_SCORED = TREE_SCORED.replace("FILTER (ord % 11 = 0) AS n_hubs", "FILTER (false) AS n_hubs").replace("FILTER (ord % 13 = 0) AS n_bridges", "FILTER (false) AS n_bridges")
+TREE_SCORED = TREE_SCORED.replace("sum(CASE WHEN ord % 2 = 0 THEN 1 ELSE 0 END) AS edges", "0 AS edges").replace("sum(CASE WHEN ord % 5 = 0 THEN 2 ELSE 0 END) AS unique_components", "0 AS unique_components")
+
+
+@query(f"""WITH {TREE_SCORED}, n AS (SELECT ord % 5 AS analysis_id, count(*) FILTER (NOT {S.any_contains('lower(path)', V.IGNORED_PATTERNS)}) AS n_nodes FROM files GROUP BY 1)
+ SELECT analysis_id, n_files, n_functions, len(modules) AS n_modules, CAST(score AS BIGINT) AS score, level, n_nodes FROM levels JOIN n USING (analysis_id)""")
+def q_analysis_scores(spark, d):
+    """From two versions of five repositories to their scores: diff, parse, graph, blast radius, symbols, evidence, score."""
+    old, new = A.code_versions(spark, d)
+    changed, ranges = analysis.changed_files(old, new)
+    a = analysis.analyse(new.drop("analysis_id"), changed, None, ranges, new.select("repo_id", "path", F.concat(F.lit("owner_"), "repo_id").alias("owner")))
+    sized = a.inputs.select("repo_id", "analysis_id", big(F.size("files"), "n_files"), big(F.size("affected_functions"), "n_functions"), big(F.size("impacted_modules"), "n_modules"))
+    nodes = a.nodes.where("kind = 'file'").groupBy("repo_id").agg(F.count("*").alias("n_nodes"))
+    return sized.join(a.scores.select("analysis_id", big("score"), "level"), "analysis_id").join(nodes, "repo_id").drop("repo_id")
+
+
 # --- graphs ------------------------------------------------------------------------------------------------------------
 def tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, seeds) of the property graph over parts."""

@@ -104,3 +104,18 @@ def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     old = docs.where(k != 3).select(at("d/"), "text")
     new = docs.where(k != 2).select(F.when(k.isin(1, 4), at("moved/")).otherwise(at("d/")).alias("path"), F.when((k >= 4) & (k <= 7), edited).otherwise(F.col("text")).alias("text"))
     return old, new
+
+
+def code_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(old, new): repo_id, analysis_id, ord, path, text of five repositories with a file for each part, every third of which changes: Python
+    files in the second of their two functions, others in a comment.
+    """
+    k = F.col("ord")
+
+    def side(version: str) -> DataFrame:
+        v = F.when(k % 3 == 0, F.lit(version)).otherwise("0")
+        code = F.format_string("def f%d_a(x):\n    return x\n\n\ndef f%d_b(x):\n    return x + %s\n", k, k, v)
+        text = F.when(F.col("path").endswith(".py"), code).otherwise(F.format_string("// file number %d in its version %s\n", k, v))
+        return files(spark, sf_dir).select(F.concat(F.lit("r"), k % 5).alias("repo_id"), (k % 5).alias("analysis_id"), "ord", "path", text.alias("text"))
+
+    return side("1"), side("2")

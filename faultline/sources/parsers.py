@@ -81,10 +81,20 @@ def java(files: DataFrame) -> DataFrame:
     })
 
 
+#: Strings, templates and comments, without a repeated choice, which the JVM's matcher would nest for each letter.
+TS_STRING = r""""[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`"""
+TS_COMMENT = r"//[^\n]*|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
+JSX_TEXT = r"(<[A-Za-z][\w.]*(?:\s[^<>]*)?>)[^<>{}]*(?=</)"
+
+
 def typescript(files: DataFrame) -> DataFrame:
-    """TypeScript and JavaScript facts of files (path, text): import sources, classes and interfaces, functions and methods."""
-    t = F.col("text")
-    imports = F.transform(_all(t, TS_IMPORT), lambda m: F.struct(m.alias("source_module"), m.alias("imported_name"), F.lit(None).cast("string").alias("alias"), m.startswith(".").alias("is_relative"), F.lit("SOURCE_IMPORT").alias("import_type"), F.lit(None).cast("int").alias("line_number")))
+    """TypeScript and JavaScript facts of files (path, text): import sources, classes and interfaces, functions and methods. Comments
+    count for nothing, strings and the text of JSX elements only as the sources of imports.
+    """
+    bare = F.regexp_replace("text", rf"({TS_STRING})|{TS_COMMENT}", "$1")
+    code = F.regexp_replace(bare, TS_STRING, "''")
+    t = F.when(F.lower("path").rlike(r"\.(tsx|jsx|js)$"), F.regexp_replace(code, JSX_TEXT, "$1")).otherwise(code)
+    imports = F.transform(_all(bare, TS_IMPORT), lambda m: F.struct(m.alias("source_module"), m.alias("imported_name"), F.lit(None).cast("string").alias("alias"), m.startswith(".").alias("is_relative"), F.lit("SOURCE_IMPORT").alias("import_type"), F.lit(None).cast("int").alias("line_number")))
     methods = F.filter(_all(t, TS_METHOD), lambda m: ~m.isin([*KEYWORDS, "function"]))
     return files.withColumns({"imports": imports, "defined_classes": _all(t, TS_CLASS), "defined_functions": F.array_distinct(F.concat(_all(t, TS_FUNCTION), methods))})
 
