@@ -11,6 +11,46 @@ def seed_rules(rules: DataFrame) -> DataFrame:
     return rules.select("signal", "name", "category", "description", "weight", F.lit(True).alias("enabled"), "threshold", "recommendation", "path_markers", "extensions", F.lit(False).alias("custom"), "rule_no")
 
 
+def seed(policies: DataFrame, rules: DataFrame) -> DataFrame:
+    """policies (id, …) each with the rules of a default policy. The built-in rules are a fixed list, which stands in the plan as a literal."""
+    listed = [r.asDict() for r in seed_rules(rules).orderBy("rule_no").collect()]
+    kinds = {f.name: f.dataType for f in seed_rules(rules).schema}
+    literal = lambda v, kind: F.array(*[F.lit(x) for x in v]).cast(kind) if isinstance(v, list) else F.lit(v).cast(kind)
+    items = F.array(*[F.struct(*[literal(v, kinds[c]).alias(c) for c, v in r.items()]) for r in listed])
+    return policies.withColumn("rule", F.explode(items)).select(*policies.columns, "rule.*")
+
+
+def listed(policies: DataFrame, rules: DataFrame) -> DataFrame:
+    """The policies (id, version, is_active, created_at) with how many rules (id, enabled) they have and how many of them are on, the active one
+    first, then the newest.
+    """
+    counts = rules.groupBy("id").agg(F.count("*").alias("n_rules"), F.count_if("enabled").alias("n_enabled"))
+    d = policies.join(counts, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_rules", "n_enabled")})
+    return d.orderBy(F.desc("is_active"), F.desc("created_at"), "id")
+
+
+def get(policies: DataFrame, rules: DataFrame, policy_id: str) -> DataFrame:
+    """One policy with its rules in order, one row; none if there is no such policy."""
+    columns = [c for c in rules.columns if c != "id"]
+    own = rules.where(F.col("id") == policy_id).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rule_no", *[c for c in columns if c != "rule_no"]))).alias("rules"))
+    return policies.where(F.col("id") == policy_id).join(own, "id", "left")
+
+
+def update(rules: DataFrame, changes: DataFrame) -> DataFrame:
+    """rules (id, signal, …) with the values of changes (id, signal and some of the other columns) where these are not null."""
+    new = [c for c in changes.columns if c not in ("id", "signal")]
+    c = changes.select("id", "signal", *[F.col(x).alias(f"new_{x}") for x in new])
+    return rules.join(c, ["id", "signal"], "left").select(*[F.coalesce(f"new_{x}", x).alias(x) if x in new else F.col(x) for x in rules.columns])
+
+
+def imported(rules: DataFrame, policy_id: str, rows: DataFrame) -> DataFrame:
+    """rules (id, signal, …) where those of one policy are rows (signal and others): absent columns null, enabled unless they say otherwise."""
+    have = {c: F.col(c) if c in rows.columns else F.lit(None) for c in rules.columns if c != "id"}
+    kinds = {f.name: f.dataType for f in rules.schema}
+    new = rows.select(F.lit(policy_id).cast(kinds["id"]).alias("id"), *[(F.coalesce(v, F.lit(True)) if c == "enabled" else v).cast(kinds[c]).alias(c) for c, v in have.items()])
+    return rules.where(F.col("id") != policy_id).unionByName(new.dropDuplicates(["signal"]))
+
+
 def active(policies: DataFrame) -> DataFrame:
     """The active policy, else the newest."""
     return policies.orderBy(F.desc("is_active"), F.desc("created_at"), "id").limit(1)

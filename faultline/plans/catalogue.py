@@ -138,13 +138,13 @@ def q_rule_hits(spark, d):
     return risk.rule_hits(A.changed(spark, d), risk.builtin_rules(spark)).select("analysis_id", "ord", "path", "signal")
 
 
-SPECIAL_CHANGED = f"WITH {PATHS}, c AS (SELECT 0 AS analysis_id, * FROM p WHERE ord < 0), {S.HITS}"
+SPECIAL_CHANGED = f"WITH {PATHS}, c AS (SELECT 0 AS analysis_id, * FROM p), {S.HITS}"
 
 
 @query(f"{SPECIAL_CHANGED} SELECT CAST(ord AS BIGINT) AS ord, path, signal FROM hits")
 def q_rule_hits_special(spark, d):
-    special = A.all_paths(spark, d).where("ord < 0").withColumn("analysis_id", F.lit(0))
-    return risk.rule_hits(special, risk.builtin_rules(spark)).select("ord", "path", "signal")
+    """Rules on every path of the tables and on the names that hit each rule's corner cases."""
+    return risk.rule_hits(A.all_paths(spark, d).withColumn("analysis_id", F.lit(0)), risk.builtin_rules(spark)).select("ord", "path", "signal")
 
 
 @query(f"WITH {SCORED} SELECT analysis_id, signal, n, score, array_to_string(file_paths, '|') AS file_paths FROM rule_ev")
@@ -705,14 +705,35 @@ def q_policy_switch(spark, d):
     return policy.save(policy.set_active(p, "7"), policy.clone(p, "3", "-1", "2")).select(F.col("id").cast("bigint").alias("id"), "is_active")
 
 
-@query("SELECT signal, weight, enabled FROM (VALUES " + ", ".join(f"({S.text(r[0])}, CAST({r[4]} AS DOUBLE), true)" for r in V.RULES) + ") AS r(signal, weight, enabled)")
+RULE_VALUES = "(VALUES " + ", ".join(f"({S.text(r[0])}, {S.text(' '.join((r[1], r[0], r[3])).lower())}, {S.text(r[2])}, CAST({r[4]} AS DOUBLE))" for r in V.RULES) + ") AS r(signal, body, category, weight)"
+
+
+def seeded(spark, d) -> DataFrame:
+    """The rules of a policy for each supplier, some of them changed: by rule number and supplier a weight or a rule that is off."""
+    policies = A.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"))
+    rules = policy.seed(policies, risk.builtin_rules(spark))
+    k = F.length("signal") + F.col("id").cast("int")
+    changes = rules.where(k % 3 == 0).select("id", "signal", F.when(k % 2 == 0, F.lit(0.5)).alias("weight"), F.when(k % 2 == 1, F.lit(False)).alias("enabled"))
+    return policy.update(rules, changes)
+
+
+SEEDED = f"seeded AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, signal, body, category, CASE WHEN (length(signal) + s_suppkey) % 6 = 0 THEN 0.5 ELSE weight END AS weight, (length(signal) + s_suppkey) % 6 <> 3 AS enabled FROM supplier, {RULE_VALUES})"
+
+
+@query(f"WITH {SEEDED} SELECT id, signal, weight, enabled FROM seeded")
 def q_policy_seed(spark, d):
-    return policy.seed_rules(risk.builtin_rules(spark)).select("signal", "weight", "enabled")
+    return seeded(spark, d).select("id", "signal", "weight", "enabled")
 
 
-@query("SELECT signal FROM (VALUES " + ", ".join(f"({S.text(r[0])}, {S.text(' '.join((r[1], r[0], r[3])).lower())}, {S.text(r[2])})" for r in V.RULES) + ") AS r(signal, body, category) WHERE category = 'security' AND contains(body, 'permission')")
+@query(f"WITH {SEEDED} SELECT id, signal FROM seeded WHERE category = 'security' AND contains(body, 'permission')")
 def q_policy_filter(spark, d):
-    return policy.filter_rules(risk.builtin_rules(spark), "security", "Permission").select("signal")
+    return policy.filter_rules(seeded(spark, d), "security", "Permission").select("id", "signal")
+
+
+@query(f"WITH {SEEDED} SELECT CAST(s_suppkey AS VARCHAR) AS id, CAST(count(*) AS BIGINT) AS n_rules, CAST(count(*) FILTER (enabled) AS BIGINT) AS n_enabled FROM supplier JOIN seeded ON id = CAST(s_suppkey AS VARCHAR) GROUP BY 1")
+def q_policy_list(spark, d):
+    policies = A.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), (F.col("s_suppkey") == 1).alias("is_active"), F.col("s_suppkey").alias("created_at"))
+    return policy.listed(policies, seeded(spark, d)).select("id", "n_rules", "n_enabled")
 
 
 @query("SELECT p_partkey AS ord, replace(lower(p_name), ' ', '_') AS signal, array_to_string(string_split(p_name, ' '), '|') AS words FROM part")
