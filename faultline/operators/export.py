@@ -162,17 +162,6 @@ def summary(scored: DataFrame, inputs: DataFrame) -> DataFrame:
     return d.select("analysis_id", text.alias("summary"))
 
 
-def markdown(scored: DataFrame, factors: DataFrame, ledger: DataFrame, analysis_id) -> str:
-    """One analysis as Markdown, from the few rows it has."""
-    own = lambda df, by: df.where(F.col("analysis_id") == analysis_id).orderBy(by).collect()
-    s = own(scored, "analysis_id")[0]
-    out = [f"# Change risk report: {analysis_id}", "", "## Risk score", "", f"**{s['score']} / 100 ({s['level']})**, evidence completeness {s['evidence_completeness']:.2f}", "", "## Risk factors", "", "| id | rule | points | evidence |", "|-|-|-|-|"]
-    out += [f"| {r['id']} | {r['signal']} | {r['points']} | {r['description']} |" for r in own(factors, "rank")] or ["| N/A | none | 0 | No scoring rule fired |"]
-    for title, kind in (("Facts", "FACT"), ("Inferences", "INFERENCE"), ("Recommendations", "RECOMMENDATION")):
-        out += ["", f"## {title}", ""] + [f"- **{r['id']}** {r['claim']}" for r in own(ledger, "ord") if r["statement_type"] == kind]
-    return "\n".join(out) + "\n"
-
-
 def canonical(scored: DataFrame, factors: DataFrame, ledger: DataFrame, files: DataFrame) -> DataFrame:
     """One nested row an analysis: its score, its factors by rank, its statements in order and its changed files."""
     listed = lambda df, by, columns, name: df.groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct(by, *columns))).alias(name))

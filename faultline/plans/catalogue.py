@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import paths as P
-from ..operators import analysis, centrality, diff, experiments, export, graph, health, policy, reconstruct, risk, snapshots, store, traverse, views
+from ..operators import analysis, centrality, diff, experiments, export, graph, health, policy, reconstruct, report, risk, snapshots, store, traverse, views
 from ..sources import adapters as A
 from ..sources import parsers, readers
 from . import sql_views as S
@@ -243,6 +243,29 @@ def q_reasons(spark, d):
     return risk.reasons(ev).join(risk.breakdown(ev).select("analysis_id", "rank", "signal"), ["analysis_id", "rank"]).select("analysis_id", big("rank"), "signal")
 
 
+def report_lines(spark, d) -> DataFrame:
+    """The Markdown report of every change set, a row a line."""
+    changes = keep(A.changed(spark, d))
+    inputs = keep(A.inputs_of(changes))
+    ev = keep(risk.evidence(changes, inputs, risk.builtin_rules(spark)))
+    sums = risk.scores(ev, inputs).join(inputs.select("analysis_id", F.col("dependency_count").alias("indirect"), F.size("files").alias("direct")), "analysis_id")
+    text = {"title": F.concat(F.lit("order/"), "analysis_id"), "branch": F.lit("main"), "generated": F.lit(""), "completeness": F.lit(""), "calibration": F.lit("RULE_BASED")}
+    none = {c: F.lit(0) for c in ("nodes", "edges", "cycles", "orphans", "unresolved", "health_score")}
+    a = sums.select("analysis_id", "score", "level", "evidence_completeness", F.lit("").alias("score_description"), F.col("raw_rule_score").alias("raw_score"), F.col("normalized_score").alias("normalized"), "direct", "indirect", F.col("direct").alias("raw_files"), F.col("direct").alias("relevant_files"))
+    a = keep(a.withColumns(text | none).withColumn("metadata", F.create_map(F.lit("analysis_id"), F.col("analysis_id").cast("string"))))
+    b = risk.breakdown(ev).select("analysis_id", F.col("rank").alias("ord"), F.col("signal").alias("rule"), F.lit("risk").alias("category"), "points", F.lit("").alias("evidence"), F.array().cast("array<string>").alias("files"))
+    files = changes.select("analysis_id", "ord", "path", P.file_type(F.col("path")).alias("category"), P.language_label(F.col("path")).alias("language"), F.lit("").alias("module"), F.array().cast("array<string>").alias("signals"), F.lit("").alias("status"))
+    return report.markdown_lines(a, factors=b, files=files)
+
+
+@query(f"""WITH {SCORED} SELECT CAST(analysis_id AS VARCHAR) AS analysis_id, '**Risk Rating:** `' || score || '/100 — ' || level || '`  ' AS line FROM levels
+ UNION ALL SELECT CAST(analysis_id AS VARCHAR), '**Changed Files Scope:** `' || n_files || '` total changed files (`' || n_files || '` architecturally relevant source/build files)' FROM levels
+ UNION ALL SELECT CAST(analysis_id AS VARCHAR), {S.text(report.NOTHING['factors'])} FROM levels WHERE n_evidence = 0 UNION ALL SELECT CAST(analysis_id AS VARCHAR), h FROM levels, (VALUES {', '.join(f"({S.text(h)})" for h in report.SECTIONS)}) AS s(h)""")
+def q_report_lines(spark, d):
+    lines = report_lines(spark, d)
+    return lines.where(F.col("line").startswith("**Risk") | F.col("line").startswith("**Changed") | F.col("line").startswith("## ") | (F.col("line") == report.NOTHING["factors"])).select("analysis_id", "line")
+
+
 # --- diffs and symbols -------------------------------------------------------------------------------------------------
 @query("""SELECT p_partkey AS key, CASE p_partkey % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'modified' WHEN 2 THEN 'deleted' ELSE 'renamed' END AS status, 'new/' || p_partkey AS filename,
  CASE WHEN p_partkey % 4 = 3 THEN 'old/' || p_partkey END AS previous_filename FROM part""")
