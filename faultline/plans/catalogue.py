@@ -1021,11 +1021,18 @@ def q_manifest_components(spark, d):
     return m.select(F.col("path").cast("bigint").alias("ord"), "package_name", "application_class", join_list(F.transform("components", lambda c: c["name"]), "components"))
 
 
-@query()
+@query(f"""WITH {S.FILES}, f AS (SELECT ord, path, regexp_extract(path, '[.]([a-z]+)$', 1) AS ext FROM files WHERE NOT {S.any_contains('lower(path)', V.IGNORED_PATTERNS)})
+ SELECT path, CASE WHEN ext = 'py' THEN 'python' WHEN ext IN ('ts', 'tsx') THEN 'typescript' WHEN ext = 'kt' THEN 'kotlin' WHEN ext = 'java' THEN 'java' ELSE 'text' END AS language,
+  CASE WHEN ext IN ('kt', 'java') THEN 'com.x' END AS package_name, CAST(CASE ext WHEN 'py' THEN 1 WHEN 'kt' THEN 2 WHEN 'java' THEN 2 WHEN 'ts' THEN 1 WHEN 'tsx' THEN 1 ELSE 0 END AS BIGINT) AS n_imports,
+  CASE WHEN ext IN ('py', 'ts', 'tsx', 'java') THEN 'K' || ord ELSE '' END AS defined_classes, CASE WHEN ext IN ('py', 'ts', 'tsx', 'java') THEN 'run' ELSE '' END AS defined_functions FROM f""")
 def q_parsed_sources(spark, d):
-    files = A.files(spark, d).where("path NOT LIKE '%.sql' AND path NOT LIKE '%.tf'")
-    body = F.concat(F.lit("package com.x;\nimport a.b.C;\nimport static d.E;\npublic class K"), "ord", F.lit(" {\n  public void run(int x) {\n  }\n}\n"))
-    return parsers.parse(files.select("path", body.alias("text"))).select("path", "language", "package_name", big(F.size("imports"), "n_imports"), join_list("defined_classes"), join_list("defined_functions"))
+    """Each file's facts: every language has an import, a class, a function and, in a comment, a class that is none."""
+    k, path = F.col("ord").cast("string"), F.col("path")
+    python = F.concat(F.lit("import a.b\nimport c.d as e\n# class No:\nclass K"), k, F.lit(":\n    def run(self):\n        pass\n"))
+    script = F.concat(F.lit("import { x } from './x'\n// import y from './y'\n/* class No { } */\nexport class K"), k, F.lit(" {\n  run(x: number) {\n    return 'class Not { }'\n  }\n}\n"))
+    other = F.concat(F.lit("package com.x;\nimport a.b.C;\nimport static d.E;\npublic class K"), k, F.lit(" {\n  public void run(int x) {\n  }\n}\n"))
+    body = F.when(path.endswith(".py"), python).when(path.rlike(r"\.tsx?$"), script).otherwise(other)
+    return parsers.parse(A.files(spark, d).select("path", body.alias("text"))).select("path", "language", "package_name", big(F.size("imports"), "n_imports"), join_list("defined_classes"), join_list("defined_functions"))
 
 
 @query(f"WITH {S.FILES}, {S.PARTS.format(table='files')}, x AS (SELECT suffix, count(*) AS n, min(ord) AS f FROM p GROUP BY 1 ORDER BY n DESC, f LIMIT 1) SELECT CASE suffix WHEN '.ts' THEN 'TypeScript' WHEN '.tsx' THEN 'TypeScript' WHEN '.py' THEN 'Python' WHEN '.java' THEN 'Java' ELSE upper(substr(suffix, 2)) END AS language FROM x")
