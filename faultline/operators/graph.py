@@ -6,6 +6,10 @@ api_routes, package_deps, framework_signals (as parsers.parse gives them).
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -285,16 +289,37 @@ def discovered_modules(nodes: DataFrame) -> DataFrame:
     return nodes.where("module IS NOT NULL").groupBy("module").agg(F.count("*").alias("n_nodes"), F.sum("fan_out").alias("fan_out"), F.min_by("kind", "ord").alias("kind"))
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """repo_id, graph_hash of rows (repo_id, side, quoted id) sorted by repo_id, side (0 edges, 1 nodes) and id; only a running digest is held."""
+    out, now, digest, side, first = [], None, None, 0, True
+
+    def end() -> None:
+        if digest is not None:
+            digest.update(b"]}" if side else b'], "nodes": []}')
+            out.append({"repo_id": now, "graph_hash": digest.hexdigest()})
+
+    for batch in batches:
+        for repo, to, quoted in zip(*(batch.column(c).to_pylist() for c in ("repo_id", "side", "quoted"))):
+            if digest is None or repo != now:
+                end()
+                now, digest, side, first = repo, hashlib.sha256(b'{"edges": ['), 0, True
+            if to != side:
+                digest.update(b'], "nodes": [')
+                side, first = to, True
+            digest.update((("" if first else ", ") + quoted).encode())
+            first = False
+    end()
+    yield pa.RecordBatch.from_pylist(out, pa.schema([("repo_id", pa.string()), ("graph_hash", pa.string())]))
+
+
 def graph_hash(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """SHA-256 of the sorted ids as a JSON object with ', ' and ': ' separators; ids are escaped to ASCII.
+    """repo_id, graph_hash: SHA-256 of the sorted ids as a JSON object with ', ' and ': ' separators; ids are escaped to ASCII.
 
-    Sorted ids are gathered for each repository, which is as large as one repository's graph.
+    A digest takes its letters in order, so a repository's ids stream through one task, sorted and spilled by Spark; none are gathered.
     """
-    quoted = lambda c: F.concat(F.lit('"'), json_ascii(c), F.lit('"'))
-    listed = lambda d, name: d.groupBy("repo_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), quoted), ", ").alias(name))
-    d = listed(nodes, "n").join(listed(edges, "e"), "repo_id", "full")
-    text = F.concat(F.lit('{"edges": ['), F.coalesce("e", F.lit("")), F.lit('], "nodes": ['), F.coalesce("n", F.lit("")), F.lit("]}"))
-    return d.select("repo_id", F.sha2(text, 256).alias("graph_hash"))
+    ids = edges.select("repo_id", F.lit(0).alias("side"), "id").unionByName(nodes.select("repo_id", F.lit(1).alias("side"), "id")).where("id IS NOT NULL")
+    quoted = F.concat(F.lit('"'), json_ascii(F.col("id")), F.lit('"')).alias("quoted")
+    return ids.repartition("repo_id").sortWithinPartitions("repo_id", "side", "id").select("repo_id", "side", quoted).mapInArrow(_digests, "repo_id string, graph_hash string")
 
 
 def json_ascii(text: Column) -> Column:

@@ -504,10 +504,12 @@ def q_edge_type_counts(spark, d):
     return graph.edge_type_counts(tables(spark, d)[1])
 
 
-@query(f"""WITH {S.GRAPH} SELECT sha256('{{"edges": ["' || (SELECT string_agg(source || '->' || target, '", "' ORDER BY source || '->' || target) FROM edges) || '"], "nodes": ["' || (SELECT string_agg(id, '", "' ORDER BY id) FROM nodes) || '"]}}') AS graph_hash""")
+@query(f"""WITH {S.GRAPH}, e AS (SELECT '"\\u00e9' || source || '->' || target || '"' AS id FROM edges), n AS (SELECT '"\\u00e9' || id || '"' AS id FROM nodes)
+ SELECT sha256('{{"edges": [' || (SELECT string_agg(id, ', ' ORDER BY id) FROM e) || '], "nodes": [' || (SELECT string_agg(id, ', ' ORDER BY id) FROM n) || ']}}') AS graph_hash""")
 def q_graph_hash(spark, d):
     nodes, edges, _ = tables(spark, d)
-    return graph.graph_hash(nodes.withColumn("repo_id", F.lit("r")), edges.select(F.lit("r").alias("repo_id"), F.concat("source", F.lit("->"), "target").alias("id"))).select("graph_hash")
+    own = lambda df, name: df.select(F.lit("r").alias("repo_id"), F.concat(F.lit("é"), name).alias("id"))
+    return graph.graph_hash(own(nodes, F.col("id")), own(edges, F.concat("source", F.lit("->"), "target"))).select("graph_hash")
 
 
 @query(f"WITH {S.FILES}, {S.CHANGED} SELECT DISTINCT analysis_id, 'module:' || split_part(path, '/', 1) AS source, 'file:' || path AS target, 'owns' AS relationship FROM changed")

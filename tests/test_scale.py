@@ -52,3 +52,20 @@ def test_reach_of_folders_against_walks(spark):
                     todo.append(s)
         want[q, folder] = len(seen) - len(ids)
     assert {(x.repo_id, x.folder): x.reach for x in found.collect()} == want and len({f for _, f in want}) > 64
+
+
+def test_graph_hash_of_any_ids(spark):
+    """As json.dumps has it, for two repositories, one of them without edges; ids with quotes, letters of all planes and control characters."""
+    import hashlib
+    import json
+
+    from faultline.operators import graph
+
+    ids = ["a", 'q"uote', "é", "😀", "\x01", "back\\slash", "z", "a", "ß/ü"]
+    nodes = [(q, i) for q in ("one", "two") for i in ids]
+    edges = [("one", f"{a}->{b}") for a in ids for b in ids]
+    schema = "repo_id string, id string"
+    got = {x.repo_id: x.graph_hash for x in graph.graph_hash(spark.createDataFrame(nodes, schema).repartition(3), spark.createDataFrame(edges, schema).repartition(3)).collect()}
+    said = lambda q: json.dumps({"edges": sorted(e for r, e in edges if r == q), "nodes": sorted(n for r, n in nodes if r == q)})
+    assert got == {q: hashlib.sha256(said(q).encode()).hexdigest() for q in ("one", "two")}
+    assert graph.graph_hash(spark.createDataFrame([], schema), spark.createDataFrame([], schema)).collect() == []
