@@ -78,6 +78,15 @@ def test_maybe_wanted_keeps_all_wanted(spark):
     assert maybe_wanted(rows, "x", wanted.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_maybe_wanted_beyond_its_map(spark, monkeypatch):
+    """With more wanted values than the largest map can tell apart all rows stay, and the exact join settles them."""
+    from faultline.llm import common
+
+    monkeypatch.setattr(common, "MOST_BITS", 1 << 10)
+    rows = spark.range(3000).withColumn("x", F.xxhash64("id"))
+    assert common.maybe_wanted(rows, "x", rows.where("id % 5 = 0").select("x"), Scratch(spark, "t")).count() == 3000
+
+
 def test_covering_masks_cover():
     masks, r = near_dedup.covering_masks(3, list(range(64)), 4), random.Random(1)
     assert len(masks) == 15
