@@ -137,7 +137,11 @@ def mix(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
-    """The rows of docs as the mix has them: not at all, once or as often as their copies say; columns as in docs."""
+    """The rows of docs as the mix has them: not at all, once or as often as their copies say; columns as in docs, whatever their names.
+
+    Null and empty texts have size 0 and are taken with their source's whole copies; repeated rows share one draw and are all in or all
+    out; ties in rank are in or out together. No rows: no rows.
+    """
     weight, seed = how.get("weight"), how.get("seed", 9)
     plan = fit_mix(docs.select("doc_id", "text", "source", *([weight] if weight else [])), scratch, **how).drop("source_size", "target")
     own = carried(docs, "doc_id", "text", "source", *([weight] if weight else []))

@@ -152,7 +152,8 @@ def fingerprint_hex(fp: str) -> Column:
 
 def deduplicated(docs: DataFrame, scratch: Scratch, radius: int = 3, words: int = 3) -> DataFrame:
     """One row of each group of near copies, columns as in docs: the one with the smallest doc_id, rows without one
-    last, then the smallest text hash; of rows equal in both, any one.
+    last, then the smallest text hash; of rows equal in both (ties, repeated rows), any one. Null and empty texts are a group of their
+    own, texts count whole whatever their length, other columns are carried under no name of ours. No rows: no rows.
     """
     marked = scratch.keep(fingerprints(docs, words))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("x")
