@@ -270,8 +270,8 @@ def skipped(spark: SparkSession, files: DataFrame, folder: str, split_bytes: int
 def round_trip(pages: DataFrame, scratch: Scratch, min_payload: int = 0) -> DataFrame:
     """Writes pages to archives in the shared folder and reads the records back.
 
-    Null html is empty; a null url is empty; a null page_id stays null. Of equal payloads the smallest page_id's is the response, of repeated
-    rows of that page one, and the others revisit it; payloads of any length are written whole; other columns are not read. No rows:
+    Null html is empty; a null url is empty; a null page_id stays null. Of equal payloads the smallest page_id answers, all its
+    repeated rows alike, and the others revisit it; payloads of any length are written whole; other columns are not read. No rows:
     no files, no records.
     """
     spark, folder = pages.sparkSession, scratch.root + "/warc"
