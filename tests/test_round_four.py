@@ -8,3 +8,32 @@ def test_keys_without_a_candidate_in_their_blast_set_have_a_row(spark):
     found = spark.createDataFrame([("a", f"h{k}") for k in range(8)] + [("b", "x"), ("b", "y")], "key string, node string")
     got = {r.key: r.ids for r in traverse.in_blast(candidates, found).collect()}
     assert got == {"a": ["h0", "h4", "h1", "h5", "h2"], "b": None}
+
+
+def test_rules_by_plain_tests_are_those_of_rule_matches(spark):
+    """On paths for each kind of mark, and their near misses; a rule's row comes once a path however many of its marks are there."""
+    from pyspark.sql import functions as F
+
+    from faultline.functions import paths as P
+    from faultline.operators import risk
+    from faultline.sources.adapters import SPECIAL
+
+    rules = risk.builtin_rules(spark)
+    more = [f"x/{m}{end}" for r in rules.collect() for m in [*(r.path_markers or []), *(r.file_names or [])] for end in ("", "a.py", "/y.ts", "_z.kt")]
+    paths = spark.createDataFrame([(k % 3, k, p) for k, p in enumerate([*SPECIAL, *more, None, ""])], "analysis_id long, ord long, path string")
+    want = paths.join(rules, P.rule_matches(F.col("path"), F.col("path_markers"), F.col("extensions"), F.col("file_names")))
+    rows = lambda df: sorted((r.ord, r.path, r.signal) for r in df.select("ord", "path", "signal").collect())
+    hits = risk.rule_hits(paths, rules)
+    assert rows(hits) == rows(want) and len(rows(want)) > 300
+    plain, slim = ({tuple(map(str, r)) for r in risk.rule_evidence(h, rules=t).collect()} for h, t in ((want, None), (hits, rules)))
+    assert plain == slim
+
+
+def test_signals_make_only_what_is_asked_for(spark):
+    """The plan of signal and score alone has no text of a description; the rule table is not read from Python."""
+    from faultline.operators import risk
+    from faultline.sources import adapters as A
+
+    plan = risk.dynamic_signals(A.inputs(spark, "/root/testdata/sf0.001")).select("analysis_id", "signal", "score")._jdf.queryExecution().optimizedPlan().toString()
+    assert "downstream component(s)" not in plan and "format_string" not in plan
+    assert "LogicalRDD" not in risk.builtin_rules(spark)._jdf.queryExecution().optimizedPlan().toString()
