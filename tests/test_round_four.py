@@ -37,3 +37,16 @@ def test_signals_make_only_what_is_asked_for(spark):
     plan = risk.dynamic_signals(A.inputs(spark, "/root/testdata/sf0.001")).select("analysis_id", "signal", "score")._jdf.queryExecution().optimizedPlan().toString()
     assert "downstream component(s)" not in plan and "format_string" not in plan
     assert "LogicalRDD" not in risk.builtin_rules(spark)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_substring_search_meets_few_paths_that_lack_the_needle(spark):
+    """With 20,000 numbered paths each gram of six letters is in many; what is compared stays near what is found."""
+    from faultline.operators import graph
+
+    paths = [f"src/auth/green_lace_{k}.sql" for k in range(20000)]
+    needles = [p[:-4] for p in paths[::50]] + ["ce_777", "nowhere/at_all", "auth/green_lace_1999", paths[7], "e", "green", paths[9] + "x"]
+    rows = lambda values, c: spark.createDataFrame([("r", v) for v in values], f"repo_id string, {c} string")
+    want = {n: min(p for p in paths if n in p) for n in needles if any(n in p for p in paths)}
+    assert {x.needle: x.path for x in graph.containing(rows(needles, "needle"), rows(paths, "path")).collect()} == want
+    matches = sum(n in p for n in set(needles) for p in paths if len(n) > graph.GRAM)
+    assert graph.looked_up(rows(needles, "needle"), rows(paths, "path"))[1].count() <= 1.2 * matches
