@@ -50,3 +50,17 @@ def test_substring_search_meets_few_paths_that_lack_the_needle(spark):
     assert {x.needle: x.path for x in graph.containing(rows(needles, "needle"), rows(paths, "path")).collect()} == want
     matches = sum(n in p for n in set(needles) for p in paths if len(n) > graph.GRAM)
     assert graph.looked_up(rows(needles, "needle"), rows(paths, "path"))[1].count() <= 1.2 * matches
+
+
+def test_all_similar_files_are_paired_however_many_share_a_line(spark):
+    """Sixty lost and sixty fresh files with the same two lines and one or two of their own, some of them copies: all pairs are found."""
+    from faultline.operators import snapshots
+
+    text = lambda k: "\n".join(["shared one", "shared two", f"own {k % 50}"] + ([f"more {k % 50}"] if k % 7 == 0 else []))
+    lost, fresh = ({f"{side}/{(k * 37) % 60}": text(k + off) for k in range(60)} for side, off in (("old", 0), ("new", 25)))
+    frame = lambda files: spark.createDataFrame(list(files.items()), "path string, text string")
+    lines = lambda t: set(t.split("\n"))
+    common = {(a, b): len(lines(x) & lines(y)) for a, x in lost.items() for b, y in fresh.items()}
+    want = {(a, b, n) for (a, b), n in common.items() if 2 * n >= 0.5 * (len(lines(lost[a])) + len(lines(fresh[b])))}
+    got = [(r.old_path, r.path, r.common) for r in snapshots.similar_files(frame(lost), frame(fresh)).collect()]
+    assert set(got) == want and len(got) == len(want) > 3000
