@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,21 +102,54 @@ def _named(attribute: str) -> str:
     return f"@*[local-name()='{attribute}']"
 
 
+PARSED = "package_name string, permissions array<string>, app string, parts array<struct<kind string, name string, exported boolean>>"
+
+
+def _parsed_manifest(text: str | None) -> dict | None:
+    """What a manifest says, from one parse: tags and attributes count by local name, attributes in order of their names; prefixes needn't
+    be declared.
+    """
+    if not text:
+        return None
+    path, package, permissions, apps, found = [], [], [], [], {tag: [] for tag, _ in COMPONENTS}
+
+    def start(tag, attributes):
+        tag = tag.split(":")[-1]
+        path.append(tag)
+        own = sorted((k, v) for k, v in attributes.items() if k != "xmlns" and not k.startswith("xmlns:"))
+        named = lambda name: [v for k, v in own if k.split(":")[-1] == name]
+        if path == ["manifest"]:
+            package.extend(named("package"))
+        elif path == ["manifest", "uses-permission"]:
+            permissions.extend(named("name"))
+        elif path == ["manifest", "application"]:
+            apps.extend(named("name"))
+        elif len(path) == 3 and path[:2] == ["manifest", "application"] and tag in found:
+            found[tag].append((named("name"), "true" in named("exported")))
+
+    parser = expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler = start, lambda tag: path.pop()
+    parser.Parse(text, True)
+    parts = []
+    for tag, kind in COMPONENTS:
+        exported = {n for names, yes in found[tag] if yes for n in names}
+        parts += [{"kind": kind, "name": n, "exported": n in exported} for names, _ in found[tag] for n in names]
+    return {"package_name": (package + [""])[0], "permissions": permissions, "app": (apps + [None])[0], "parts": parts}
+
+
+def _parsed_manifests(texts: pd.Series) -> pd.DataFrame:
+    none = dict.fromkeys(("package_name", "permissions", "app", "parts"))
+    return pd.DataFrame([_parsed_manifest(t) or none for t in texts], columns=list(none), dtype=object)
+
+
 def manifest(files: DataFrame) -> DataFrame:
-    """package_name, permissions, application_class, components, entrypoints of Android manifests (path, text), by XPath."""
-    x = lambda q: F.xpath("text", F.lit(q))
-    package = F.coalesce(F.get(x("/manifest/@package"), F.lit(0)), F.lit(""))
-    app = F.get(x(f"/manifest/application/{_named('name')}"), F.lit(0))
-    d = files.withColumns({"package_name": package, "permissions": x(f"/manifest/uses-permission/{_named('name')}"), "app": app})
-
-    def components(tag: str, kind: str) -> Column:
-        names = x(f"/manifest/application/{tag}/{_named('name')}")
-        exported = x(f"/manifest/application/{tag}[{_named('exported')}='true']/{_named('name')}")
-        return F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), class_name(F.col("package_name"), n).alias("name"), F.array_contains(exported, n).alias("exported")))
-
-    parts = [components(tag, kind) for tag, kind in COMPONENTS]
+    """package_name, permissions, application_class, components, entrypoints of Android manifests (path, text), parsed once each; text
+    that is no XML is an error, null or empty text has no lists.
+    """
+    d = files.withColumn("fl_parsed", pandas_udf(_parsed_manifests, PARSED)("text")).select("path", "fl_parsed.*").withColumn("package_name", F.coalesce("package_name", F.lit("")))
     own = F.when(F.coalesce("app", F.lit("")) != "", F.array(F.struct(F.lit("application").alias("kind"), class_name(F.col("package_name"), F.col("app")).alias("name"), F.lit(False).alias("exported"))))
-    d = d.withColumn("components", F.concat(F.coalesce(own, F.array().cast("array<struct<kind:string,name:string,exported:boolean>>")), *parts))
+    parts = F.transform("parts", lambda c: F.struct(c["kind"].alias("kind"), class_name(F.col("package_name"), c["name"]).alias("name"), c["exported"].alias("exported")))
+    d = d.withColumn("components", F.concat(F.coalesce(own, F.array().cast("array<struct<kind:string,name:string,exported:boolean>>")), parts))
     full = F.transform("components", lambda c: c["name"])
     short = F.transform(F.filter("components", lambda c: c["kind"] != "application"), lambda c: F.element_at(F.split(c["name"], r"\."), -1))
     return d.select("path", "package_name", "permissions", F.when(F.col("app") != "", class_name(F.col("package_name"), F.col("app"))).alias("application_class"), "components", F.array_sort(F.array_distinct(F.concat(full, short))).alias("entrypoints"))
