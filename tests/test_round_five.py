@@ -22,3 +22,22 @@ def test_manifests_are_parsed_once_each(spark):
     assert got["2"].package_name == "z" and parts("3") == [("service", "S", False)]
     assert got["2"].components == got["4"].components == [] and got["4"].package_name == got["5"].package_name == got["6"].package_name == ""
     assert got["5"].components is got["6"].components is got["6"].permissions is None
+
+
+def test_graph_ids_are_sorted_in_many_tasks(spark):
+    """No task sorts a repository's ids whole: they are read in order from sorted files, also where a repository goes over several."""
+    import hashlib
+    import json
+
+    from pyspark.sql import functions as F
+
+    from faultline.operators import graph
+
+    rows = [(q, f"{k * 7919 % 1000}\u00e9") for q, n in ((None, 40), ("a", 3), ("b", 900), ("c", 1), ("d", 2)) for k in range(n)]
+    nodes = spark.createDataFrame(rows, "repo_id string, id string")
+    edges = nodes.where("repo_id <> 'c'").select("repo_id", F.concat("id", F.lit("->"), "id").alias("id"))
+    found = graph.graph_hash(nodes, edges)
+    assert not [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Sort" in x]
+    ids = lambda q: sorted(i for r, i in rows if r == q)
+    said = lambda q: json.dumps({"edges": [] if q in (None, "c") else sorted(f"{i}->{i}" for i in ids(q)), "nodes": ids(q)})
+    assert sorted((x.repo_id or "", x.graph_hash) for x in found.collect()) == sorted((q or "", hashlib.sha256(said(q).encode()).hexdigest()) for q in (None, "a", "b", "c", "d"))
