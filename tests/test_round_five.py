@@ -41,3 +41,30 @@ def test_graph_ids_are_sorted_in_many_tasks(spark):
     ids = lambda q: sorted(i for r, i in rows if r == q)
     said = lambda q: json.dumps({"edges": [] if q in (None, "c") else sorted(f"{i}->{i}" for i in ids(q)), "nodes": ids(q)})
     assert sorted((x.repo_id or "", x.graph_hash) for x in found.collect()) == sorted((q or "", hashlib.sha256(said(q).encode()).hexdigest()) for q in (None, "a", "b", "c", "d"))
+
+
+def test_equally_alike_files_do_not_take_a_round_each(spark, monkeypatch):
+    """60 lost and 60 new files, each as much alike as any other: as the greedy choice, in few written tables; also by rounds alone."""
+    from faultline.operators import snapshots
+
+    rows = [(q, f"old/{a * 7 % 60:02}", f"new/{b * 11 % 60:02}", 0.5 + (a % 3 == b % 3) / 4) for q in ("r", "s") for a in range(60) for b in range(60 if q == "r" else 2)]
+    pairs = spark.createDataFrame(rows, "repo_id string, old_path string, path string, similarity double")
+    old, new, want = set(), set(), set()
+    for q, a, b, s in sorted(rows, key=lambda x: (x[0], -x[3], a_name(x[1]) != a_name(x[2]), x[1], x[2])):
+        if (q, a) not in old and (q, b) not in new:
+            old.add((q, a))
+            new.add((q, b))
+            want.add((q, a, b, s))
+    written = []
+    monkeypatch.setattr(snapshots, "keep", lambda df, keep=snapshots.keep: written.append(1) or keep(df))
+    got = snapshots.one_to_one(pairs)
+    assert {tuple(r) for r in got.select("repo_id", "old_path", "path", "similarity").collect()} == want and len(want) == 62 and len(written) < 6
+    few = pairs.where("repo_id = 'r' AND old_path < 'old/06' AND path < 'new/06' OR repo_id = 's'")
+    rows_of = lambda d: {tuple(r) for r in d.select("repo_id", "old_path", "path").collect()}
+    at_once = rows_of(snapshots.one_to_one(few))
+    monkeypatch.setattr(snapshots, "AT_ONCE", 20)
+    assert rows_of(snapshots.one_to_one(few)) == at_once
+
+
+def a_name(path):
+    return path.split("/")[-1]
