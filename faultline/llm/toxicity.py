@@ -12,8 +12,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a dictionary, of the segments that zstandard's trainer puts together, and pairs of dictionaries.
-DICTIONARY_BYTES, SEGMENT, PAIRS = 65_536, 16, 5
+#: Bytes of the dictionary that a pair has in common and of what each of the two has behind it, of the segments that zstandard's trainer
+#: puts together, and pairs of dictionaries.
+DICTIONARY_BYTES, OWN_BYTES, SEGMENT, PAIRS = 98_304, 32_768, 16, 5
+#: What a trained dictionary begins with, and bytes in which its tables end at the latest.
+MAGIC, TABLES = bytes.fromhex("37a430ec"), 256
 WINDOW, STRIDE = 12, 12
 #: Labelled documents of each kind that training reads at most, and the characters of the longest of them: 64 MB at most.
 SAMPLE, LONGEST = 4_000, 8_192
@@ -84,6 +87,11 @@ def trained(samples: list[bytes], size: int, segment: int = SEGMENT) -> bytes:
         return b"".join(samples)[:size]
 
 
+def content(dictionary: bytes) -> bytes:
+    """The strings of a dictionary without its tables."""
+    return dictionary[TABLES:] if dictionary[:4] == MAGIC else dictionary
+
+
 def _balanced(z: np.ndarray, ys: np.ndarray) -> float:
     """The cut of z with the best share of label 1 above it less the share of label 0 above it, the latter counted threefold."""
     cuts = np.unique(z)
@@ -92,11 +100,12 @@ def _balanced(z: np.ndarray, ys: np.ndarray) -> float:
     return float((cuts[k] + cuts[k - 1]) / 2 if k else cuts[k])
 
 
-def train(texts: list[str], labels: list[int], size: int = DICTIONARY_BYTES, pairs: int = PAIRS, window: int = WINDOW, stride: int = STRIDE) -> Model:
+def train(texts: list[str], labels: list[int], size: int = DICTIONARY_BYTES, pairs: int = PAIRS, window: int = WINDOW, stride: int = STRIDE, own: int = OWN_BYTES) -> Model:
     """Dictionaries that zstandard trains on all windows of ordinary and on all windows of toxic documents.
 
-    Which of the strings that both kinds share get into a dictionary is chance, and that is most of what one pair says about a
-    window; so there are several pairs, each without another part of the documents, and what they save is added up. Levels, how often
+    Which of the strings that both kinds share get into a dictionary is chance, and that would be most of what a pair says about a
+    window; so both of a pair begin with one dictionary of ordinary text and its tables, and only the strings behind it are of their
+    kind. There are several pairs, each without another part of the documents, and what they save is added up. Levels, how often
     ordinary windows reach them, the weights of a logistic regression and its cut at score 0.5 are calibrated on every fourth
     document, which the dictionaries don't see. Without documents of both kinds in both parts every score is 0.
     """
@@ -109,7 +118,8 @@ def train(texts: list[str], labels: list[int], size: int = DICTIONARY_BYTES, pai
         return none
     cut = [[windows(t, window, window) for t, y in halves[0] if y == kind] for kind in (0, 1)]
     left_out = lambda parts, i: [x for k, p in enumerate(parts) if k % pairs != i or len(parts) == 1 for x in p]
-    made = tuple(tuple(trained(left_out(parts, i), size) for parts in cut) for i in range(pairs))
+    base = [trained(left_out(cut[0], i), size) for i in range(pairs)]
+    made = tuple(tuple(base[i] + content(trained(left_out(parts, i), own)) for parts in cut) for i in range(pairs))
     model = replace(none, pairs=made)
     margins = [(model.margins(t), y) for t, y in halves[1]]
     plain = np.concatenate([m for m, y in margins if y == 0])
@@ -162,7 +172,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts have no window and the score of that; equal texts score alike, so repeated rows and ties need no rule; rows without
     doc_id score as well; other columns don't matter. No rows: no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # ten dictionaries of 64 KB, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # ten dictionaries of 128 KB, whatever the input
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
