@@ -96,7 +96,8 @@ def analyse(sources: DataFrame, changed: DataFrame, rules: DataFrame, ranges: Da
     impact = keep(traverse.blast("fallback", nodes, edges, start))
     counts = traverse.blast_counts(impact).select("repo_id", F.col("key").alias("analysis_id"), F.col("total").cast("int").alias("dependency_count"))
     hit = lambda found, name: traverse.in_blast(found, impact).select("repo_id", F.col("key").alias("analysis_id"), F.col("ids").alias(name))
-    hubs, bridges = hit(centrality.hubs(nodes, edges), "hub_nodes"), hit(centrality.bridges(nodes, edges), "bridge_nodes")
+    hubs = hit(centrality.ranked(centrality.hubs(nodes, edges), "degree"), "hub_nodes")
+    bridges = hit(centrality.ranked(centrality.bridges(nodes, edges), "betweenness"), "bridge_nodes")
     c = changed.join(declared.select("repo_id", "modules"), "repo_id", "left")
     c = c.withColumn("module", P.impacted_module(F.col("path"), F.coalesce("modules", F.array().cast("array<string>"))))
     by_ord = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("ord", "path")))), lambda x: x["path"])
