@@ -79,3 +79,11 @@ def test_aliases_that_make_an_import_relative(spark):
     for aliases in ([("r", 1, "#", "./"), ("r", 2, "~", "")], [("r", 1, "#", " ./"), ("r", 2, "~", " ")]):
         got = graph.resolve_imports(i, f, spark.createDataFrame(aliases, "repo_id string, ord int, prefix string, replacement string")).collect()
         assert {x.ord: x.target_path for x in got} == {0: "a/x.py", 1: "b/x.py", 2: "b/y.py", 3: None, 4: None}
+
+
+def test_lines_of_every_analysis_are_made_in_one_pass(spark):
+    """A report reads its analyses once for all lines that each of them has, where it read them for each part."""
+    from faultline.plans import catalogue
+
+    plan = catalogue.report_lines(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") <= 15
